@@ -93,7 +93,7 @@ def repetition_penalty_reward(completion: Column | str, n: int = 3, max_penalty:
         total = F.size(tokens) - F.lit(n - 1)
         grams = F.transform(
             F.sequence(F.lit(1), total),
-            lambda start: F.array_join(F.slice(tokens, start, n), " "),
+            lambda start: F.concat_ws(" ", *[F.element_at(tokens, start + i) for i in range(n)]),
         )
         repeated = 1 - F.size(F.array_distinct(grams)) / total
         return F.when(F.size(tokens) >= n, repeated * max_penalty).otherwise(F.lit(0.0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # The markers that generated responses carry.
 FENCE = "```"
 BULLET_START = "- **["
+TITLE_END = "]**: "
 SECTION_ENDS = ("\n\nBy following these suggestions,", "Here is how the student")
 SUGGESTIONS_END = "\n\n[End of Optimization Suggestions]"
 SUGGESTION_TAG = "SUGG"
@@ -37,9 +38,12 @@ UNSCORED_CATEGORY = "Code Cleaning and Readability Improvements"
 SCORED_CATEGORIES = tuple(name for name in CATEGORY_NAMES if name != UNSCORED_CATEGORY)
 UNRECOGNIZED = "N/A"
 
-# Unicode white space plus the four ASCII separators, at either end of the text.
-_SPACE = r"[\s\x1c-\x1f]"
-_ENDS = rf"(?U)\A{_SPACE}+|{_SPACE}+\z"
+# Every character that counts as white space, and as a line break.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE = f"[{WHITE_SPACE}]"
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _FINITE_NUMBER = r"\A\s*[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?\s*\z"
 
@@ -54,8 +58,8 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    """Remove white space at both ends, by the Unicode definition (`trim` knows only the blank)."""
-    return F.regexp_replace(as_column(text), _ENDS, "")
+    """Remove white space at both ends, by the Unicode definition (a plain `trim` knows only the blank)."""
+    return F.btrim(as_column(text), F.lit(WHITE_SPACE))
 
 
 def _split_stripped(text: Column | str, pattern: str) -> Column:
@@ -65,7 +69,7 @@ def _split_stripped(text: Column | str, pattern: str) -> Column:
 
 def words(text: Column | str) -> Column:
     """White-space separated words; an empty array for blank text."""
-    return _split_stripped(text, rf"(?U){_SPACE}+")
+    return _split_stripped(text, f"{_SPACE}+")
 
 
 def lines(text: Column | str) -> Column:
@@ -128,7 +132,7 @@ def extract_last_code(text: Column | str, language: str = "cpp", default: str =
 
 def extract_fenced_trimmed(text: Column | str, default: str = "") -> Column:
     """Body of the first cpp fence, leading white space dropped, or the default."""
-    body = _first_group(as_column(text), rf"(?sU){FENCE}cpp{_SPACE}*(.*?){FENCE}")
+    body = _first_group(as_column(text), rf"(?s){FENCE}cpp{_SPACE}*(.*?){FENCE}")
     return F.coalesce(body, F.lit(default))
 
 
@@ -186,13 +190,15 @@ def relevant_section(response: Column | str) -> Column:
 
 def strategy_entries(suggestion: Column | str) -> Column:
     """`array<struct<title, content>>`, one entry per title, at its first place with its last text."""
-    item_pattern = r"(?s)\A- \*\*\[(.*?)\]\*\*: (.+)"
     items = F.transform(F.split(strip(suggestion), r"\n(?=- \*\*\[)"), strip)
+    titled = F.filter(
+        items, lambda item: F.startswith(item, F.lit(BULLET_START)) & F.contains(item, F.lit(TITLE_END))
+    )
     parsed = F.transform(
-        F.filter(items, lambda item: item.rlike(item_pattern)),
+        titled,
         lambda item: F.struct(
-            strip(F.regexp_extract(item, item_pattern, 1)).alias("title"),
-            strip(F.regexp_extract(item, item_pattern, 2)).alias("content"),
+            strip(F.substr(F.substring_index(item, TITLE_END, 1), F.lit(len(BULLET_START) + 1))).alias("title"),
+            strip(F.substr(item, F.locate(TITLE_END, item) + len(TITLE_END))).alias("content"),
         ),
     )
 

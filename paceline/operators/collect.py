@@ -5,28 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceline.functions.text import as_column
 from paceline.operators.ranking import dense_index
 
 
-def _stack_sides(pairs: DataFrame) -> DataFrame:
-    """One row per side of a pair; `write_no` is unique and grows in the order of writing (tgt after src)."""
-    sides = F.array(
-        F.struct(
-            (F.col("seq") * 2).alias("write_no"),
-            F.col("src_id").alias("solution_id"),
-            "problem_id",
-            F.col("src_agg_runtime").alias("runtime"),
-            F.col("src_code").alias("code"),
-        ),
-        F.struct(
-            (F.col("seq") * 2 + 1).alias("write_no"),
-            F.col("tgt_id").alias("solution_id"),
-            "problem_id",
-            F.col("tgt_agg_runtime").alias("runtime"),
-            F.col("tgt_code").alias("code"),
-        ),
-    )
-    return pairs.select(F.inline(sides))
+def stack_sides(pairs: DataFrame, **columns: str | Column | tuple[str | Column, str | Column]) -> DataFrame:
+    """One row per side of a pair, with the named columns only: a (slow, fast) tuple, or one for both sides.
+
+    `write_no` is unique and grows in the order of writing, the fast side after the slow one.
+    """
+
+    def side(which: int) -> Column:
+        picked = {name: value[which] if isinstance(value, tuple) else value for name, value in columns.items()}
+        fields = [as_column(value).alias(name) for name, value in picked.items()]
+        return F.struct((F.col("seq") * 2 + which).alias("write_no"), *fields)
+
+    return pairs.select(F.inline(F.array(side(0), side(1))))
 
 
 def collect_unique_solutions(pairs: DataFrame) -> DataFrame:
@@ -35,8 +29,16 @@ def collect_unique_solutions(pairs: DataFrame) -> DataFrame:
     Only (id, write number) is aggregated, with map-side maxima. The programs meet the
     winners on the unique write number, so an id in very many pairs makes no hot key.
     """
-    winners = _stack_sides(pairs).groupBy("solution_id").agg(F.max("write_no").alias("write_no"))
-    return _stack_sides(pairs).join(winners.select("write_no"), "write_no", "left_semi")
+    written = stack_sides(pairs, solution_id=("src_id", "tgt_id"))
+    winners = written.groupBy("solution_id").agg(F.max("write_no").alias("write_no"))
+    sides = stack_sides(
+        pairs,
+        solution_id=("src_id", "tgt_id"),
+        problem_id="problem_id",
+        runtime=("src_agg_runtime", "tgt_agg_runtime"),
+        code=("src_code", "tgt_code"),
+    )
+    return sides.join(winners.select("write_no"), "write_no", "left_semi")
 
 
 def attach_users(solutions: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.numbers import INFINITY, grade_output, submission_score
+from paceline.functions.text import words
 
 TIMING_MODES = ("gem5", "binary", "both")
 _NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
@@ -81,16 +82,17 @@ def aggregate_runtime(
     )
 
 
-def result_maps(tests: DataFrame, sub: Sequence[str] = ("seq",)) -> DataFrame:
-    """`tc2time` and `tc2success` for sinks; a submission has a fixed, small number of tests."""
+def result_maps(tests: DataFrame, sub: Sequence[str] = ("seq",), chunk_tests: int = 1000) -> DataFrame:
+    """`tc2time` and `tc2success` for sinks, a row per submission and `chunk_tests` test numbers."""
     entries = F.sort_array(F.collect_list(F.struct("tc_no", "time_s", "success")))
     time = F.when(F.col("success"), F.col("time_s")).otherwise(F.lit(INFINITY))
     return (
         tests.withColumn("time_s", time)
-        .groupBy(*sub)
+        .groupBy(*sub, F.floor(F.col("tc_no") / F.lit(chunk_tests)).alias("chunk"))
         .agg(entries.alias("_tests"))
         .select(
             *sub,
+            "chunk",
             F.map_from_entries(F.transform("_tests", lambda t: F.struct(t["tc_no"], t["time_s"]))).alias("tc2time"),
             F.map_from_entries(F.transform("_tests", lambda t: F.struct(t["tc_no"], t["success"]))).alias("tc2success"),
         )
@@ -143,9 +145,8 @@ def parse_stats_lines(stats: DataFrame) -> DataFrame:
     A repeated key counts with its last line. `value` is null for nan, infinity and text that is no number;
     `pos` counts the values of a key from 0.
     """
-    kept = stats.filter((F.trim("line") != "") & ~F.contains("line", F.lit("Begin")) & ~F.contains("line", F.lit("End")))
-    parts = F.split(F.regexp_replace(F.regexp_replace("line", r"(?d)#.*", ""), r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
-    parsed = kept.withColumn("_parts", parts).filter(F.size("_parts") > 1)
+    kept = stats.filter(~F.contains("line", F.lit("Begin")) & ~F.contains("line", F.lit("End")))
+    parsed = kept.withColumn("_parts", words(F.substring_index("line", "#", 1))).filter(F.size("_parts") > 1)
     last = (
         parsed.groupBy("file", F.col("_parts")[0].alias("key"))
         .agg(F.max(F.struct("line_no", "_parts")).alias("_last"))

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def dense_index(df: DataFrame, order_col: str, name: str, width: int = 1_000_000) -> DataFrame:
+def dense_index(df: DataFrame, order_col: str, name: str, width: int = 100_000) -> DataFrame:
     """Add the 0-based position of each row by a unique integer column.
 
     Rows are cut into value ranges of `width`; as the column is unique, no range holds more
     rows than that. Ranges are numbered in parallel and shifted by the running count of the
     ranges before them, which is one row per range.
     """
-    bucket = F.floor(F.col(order_col) / F.lit(width))
-    bucketed = df.withColumn("_bucket", bucket)
+    bucketed = df.withColumn("_bucket", F.col(order_col) - F.pmod(F.col(order_col), F.lit(width)))
     offsets = (
         bucketed.groupBy("_bucket")
         .agg(F.count("*").alias("_rows"))
@@ -32,12 +31,13 @@ def dense_index(df: DataFrame, order_col: str, name: str, width: int = 1_000_000
 
 
 def top_k_per_group(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str, salt_on: str, salts: int = 64
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str, salt_on: str, salts: int = 1024
 ) -> DataFrame:
     """Rows ranked 1..k inside each group, the rank in column `name`.
 
     Each group is first ranked in `salts` parts and cut to k rows per part, so the second
-    ranking sees at most `k * salts` rows of a group, however large the group is.
+    ranking sees at most `k * salts` rows of a group, however large the group is. For a small k
+    the engine also cuts every part before the first shuffle.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
     first = W.partitionBy(*group, "_salt").orderBy(*order)
@@ -49,3 +49,48 @@ def top_k_per_group(
         .withColumn(name, F.row_number().over(second))
         .filter(F.col(name) <= k)
     )
+
+
+def running_extremes(
+    df: DataFrame,
+    key: Sequence[str],
+    order_col: str,
+    block: str,
+    minima: Mapping[str, Column],
+    maxima: Mapping[str, Column],
+    last: str,
+) -> DataFrame:
+    """Running minima and maxima along `order_col` of each key, and whether a row is its key's last.
+
+    Ranks are cut into the blocks of column `block`, which holds a bounded number of rows of a
+    key. Rows are scanned inside their block, and carry in what the blocks before theirs reached.
+    A key that fits into one block has no such carry, so that table is as a rule empty.
+    """
+    totals = df.groupBy(*key, block).agg(
+        *[F.min(value).alias(name) for name, value in minima.items()],
+        *[F.max(value).alias(name) for name, value in maxima.items()],
+    )
+    blocks = W.partitionBy(*key).orderBy(block)
+    before = blocks.rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select(
+        *key,
+        block,
+        *[F.min(name).over(before).alias(f"_before_{name}") for name in minima],
+        *[F.max(name).over(before).alias(f"_before_{name}") for name in maxima],
+        F.lag(block).over(blocks).isNotNull().alias("_has_before"),
+        F.lead(block).over(blocks).isNotNull().alias("_has_after"),
+    ).filter(F.col("_has_before") | F.col("_has_after"))
+    rows = W.partitionBy(*key, block).orderBy(order_col)
+    so_far = rows.rowsBetween(W.unboundedPreceding, W.currentRow)
+    scanned = df.select(
+        "*",
+        *[F.min(value).over(so_far).alias(name) for name, value in minima.items()],
+        *[F.max(value).over(so_far).alias(name) for name, value in maxima.items()],
+        F.lead(order_col).over(rows).isNull().alias(last),
+    )
+    joined = scanned.join(carried, [*key, block], "left")
+    merged = {name: F.least(F.col(name), F.col(f"_before_{name}")) for name in minima}
+    merged |= {name: F.greatest(F.col(name), F.col(f"_before_{name}")) for name in maxima}
+    merged[last] = F.col(last) & ~F.coalesce("_has_after", F.lit(False))
+    carries = [f"_before_{name}" for name in (*minima, *maxima)]
+    return joined.withColumns(merged).drop("_has_before", "_has_after", *carries)

@@ -22,9 +22,14 @@ from paceline.functions.numbers import (
     threshold_name,
 )
 from paceline.functions.text import strip
+from paceline.operators.ranking import running_extremes
 
 SLOW, REFERENCE = "src_code", "tgt_code"
 KEY_COLUMNS = ("problem_id", "tests", "src_id", "tgt_id", "fastest_runtime", "fastest_accuracy")
+# Generations scanned together, and the values of a row that has none.
+GENERATION_BLOCK = 1024
+BLOCK = "gen_block"
+FAILED = {"gen": 0, "agg_runtime": INFINITY, "adjusted_runtime": INFINITY, "accuracy": 0.0}
 KEY_SUFFIXES = ("_compilation", "_accuracy", "_runtime", "_tc2time")
 
 
@@ -117,26 +122,35 @@ def _program_key() -> Column:
     return F.sha2(F.concat(SLOW, REFERENCE), 256)
 
 
+def with_blocks(results: DataFrame, width: int = GENERATION_BLOCK) -> DataFrame:
+    """Add the block of each generation; see `best_at_k`."""
+    return results.withColumn(BLOCK, F.col("gen") - F.col("gen") % width)
+
+
 def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "seq") -> DataFrame:
-    """Reference rows without results, appended as one failed generation.
+    """Results of all reference rows; a row without any gets one failed generation.
+
+    Rows are the same when both their programs are; the first row of the results counts, else
+    the first of the reference. `results` is long (row id, `gen`, `agg_runtime`, `accuracy`, and
+    what else was measured), `reference` has a row per row id. Programs end in the key.
 
-    Rows are the same when both their programs are; the first row of each side counts. Results
-    are long: row id, programs, `gen`, `code`, `agg_runtime`, `accuracy`. Programs are dropped.
+    Rows meet their results block by block, so one row with very many generations is spread
+    over tasks.
     """
-    keyed_results = results.withColumn("_key", _program_key()).drop(SLOW, REFERENCE)
-    keyed_reference = reference.withColumn("_key", _program_key()).drop(SLOW, REFERENCE)
-    first_result = keyed_results.groupBy("_key").agg(F.min(row_id).alias(row_id))
-    first_reference = keyed_reference.groupBy("_key").agg(F.min(row_id).alias(row_id))
-    kept = keyed_results.join(first_result.select(row_id), row_id, "left_semi")
-    missing_ids = first_reference.join(first_result.select("_key"), "_key", "left_anti")
-    missing = (
-        keyed_reference.join(missing_ids.select(row_id), row_id, "left_semi")
-        .withColumn("gen", F.lit(0).cast(results.schema["gen"].dataType))
-        .withColumn("code", F.lit(None).cast("string"))
-        .withColumn("agg_runtime", F.lit(INFINITY))
-        .withColumn("accuracy", F.lit(0.0))
+    blocked = with_blocks(results)
+    keyed = reference.withColumn("_key", _program_key()).drop(SLOW, REFERENCE)
+    rows = keyed.join(blocked.select(row_id, BLOCK).distinct(), row_id, "left")
+    # False sorts first: rows with results come before rows without.
+    first = rows.groupBy("_key").agg(F.min(F.struct(F.col(BLOCK).isNull().alias("_empty"), row_id)).alias("_first"))
+    chosen = rows.join(first.select(F.col(f"_first.{row_id}").alias(row_id)), row_id, "left_semi").drop("_key")
+    completed = chosen.join(blocked.withColumn("_measured", F.lit(True)), [row_id, BLOCK], "left")
+    missing = F.col("_measured").isNull()
+    fills = {name: value for name, value in FAILED.items() if name in results.columns}
+    return (
+        completed.withColumns({name: F.when(missing, F.lit(value)).otherwise(F.col(name)) for name, value in fills.items()})
+        .withColumn(BLOCK, F.coalesce(F.col(BLOCK), F.lit(0)))
+        .drop("_measured")
     )
-    return kept.unionByName(missing).drop("_key")
 
 
 def adjust_runtime(results: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -171,16 +185,24 @@ def problem_best(fastest: DataFrame) -> DataFrame:
 def best_at_k(results: DataFrame, threshold: float = 1.0, row_id: str = "seq") -> DataFrame:
     """Per row and k the best runtime and accuracy of the first k generations.
 
-    The window runs inside one row's generations, a handful by design of the sampling.
+    Generations are scanned in blocks of a fixed width and blocks carry over, so no task has
+    to hold a row's generations, however many there are.
     """
-    so_far = W.partitionBy(row_id).orderBy("gen").rowsBetween(W.unboundedPreceding, W.currentRow)
+    if BLOCK not in results.columns:
+        results = with_blocks(results)
+    best = running_extremes(
+        results,
+        [row_id],
+        "gen",
+        BLOCK,
+        {"best_runtime": nan_to_null("adjusted_runtime")},
+        {"best_accuracy": nan_to_null("accuracy")},
+        "is_last",
+    )
     return (
-        results.withColumn("k", F.col("gen") + 1)
-        .withColumn("best_runtime", F.min(nan_to_null("adjusted_runtime")).over(so_far))
-        .withColumn("best_accuracy", F.max(nan_to_null("accuracy")).over(so_far))
+        best.withColumn("k", F.col("gen") + 1)
         .withColumn("is_correct", F.coalesce(F.col("best_accuracy") == threshold, F.lit(False)))
         .withColumn("speedup", floored_speedup("src_runtime", "best_runtime"))
-        .withColumn("is_last", F.lead("gen").over(W.partitionBy(row_id).orderBy("gen")).isNull())
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from paceline.functions.numbers import SPEEDUP_BANDS
 from paceline.functions.text import SCORED_CATEGORIES, bind
+from paceline.operators.collect import stack_sides
 from paceline.operators.ranking import top_k_per_group
 
 UNSCORED = -100.0
@@ -27,12 +28,9 @@ def add_speedup(df: DataFrame) -> DataFrame:
 
 def submission_runtimes(pairs: DataFrame) -> DataFrame:
     """H2: runtime of each submission on either side of a pair, the last write wins."""
-    sides = F.array(
-        F.struct((F.col("seq") * 2).alias("write_no"), F.col("src_id").alias("solution_id"), F.col("cpu_time")[0].alias("runtime")),
-        F.struct((F.col("seq") * 2 + 1).alias("write_no"), F.col("tgt_id").alias("solution_id"), F.col("cpu_time")[1].alias("runtime")),
-    )
+    runtimes = (F.col("cpu_time")[0], F.col("cpu_time")[1])
     return (
-        pairs.select(F.inline(sides))
+        stack_sides(pairs, solution_id=("src_id", "tgt_id"), runtime=runtimes)
         .groupBy("solution_id")
         .agg(F.max(F.struct("write_no", "runtime")).alias("_last"))
         .select("solution_id", "_last.runtime")

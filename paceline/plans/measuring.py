@@ -8,6 +8,7 @@ from paceline.functions import rewards as reward_columns
 from paceline.functions.text import words
 from paceline.operators import measurements, rewards
 from paceline.plans.registry import query, r6
+from paceline.session import spread
 
 _INF = "CAST('Infinity' AS DOUBLE)"
 _LINES = r"string_split(regexp_replace({}, '^\s+|\s+$', '', 'g'), chr(10))"
@@ -137,7 +138,7 @@ STATS_VALUES = f"""SELECT file, key, pos, raw, CASE WHEN raw IN ('nan', 'inf', '
 
 
 def _stats(v):
-    lines = v("stats_text").select("file", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    lines = spread(v("stats_text"), "file").select("file", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
     return measurements.parse_stats_lines(lines)
 
 

@@ -123,12 +123,14 @@ ADJUSTED = f"""SELECT *, CASE WHEN code IS NULL OR accuracy < 1 THEN {_INF} ELSE
 
 
 def _adjusted(v):
-    return report.adjust_runtime(report.complete_missing(v("eval_results"), v("eval_rows")))
+    # Adjusted before it is completed: only numbers travel, not the generated programs.
+    adjusted = report.adjust_runtime(v("gens")).drop("code")
+    return report.complete_missing(adjusted, v("eval_rows"))
 
 
 @query("e9_complete_missing", f"SELECT seq, CAST(gen AS BIGINT) AS gen, code, agg_runtime, accuracy FROM ({COMPLETED}) c")
 def _(v):
-    completed = report.complete_missing(v("eval_results"), v("eval_rows"))
+    completed = report.complete_missing(v("gens"), v("eval_rows"))
     return completed.select("seq", F.col("gen").cast("bigint").alias("gen"), "code", "agg_runtime", "accuracy")
 
 

@@ -7,15 +7,20 @@ functions the two engines name differently.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from paceline.functions.text import CATEGORY_NAMES
+from paceline.session import apply_settings, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables of long texts and their unique keys.
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
 SPARK_NAMES = {"array": "array", "series": "sequence", "size": "size"}
 DUCKDB_NAMES = {"array": "list_value", "series": "generate_series", "size": "len"}
 
@@ -29,15 +34,13 @@ SELECT o_orderkey AS seq, 's' || CAST(o_orderkey AS STRING) AS solution_id,
   '  int main(){ /* ' || o_orderpriority || chr(10) || ' */ // ' || o_orderstatus || chr(10) || 'return '
     || CAST(o_orderkey AS STRING) || '; }' || chr(10) AS code
 FROM @orders""",
-    # Each submission with the next faster and with the fastest of its user's: linear in the submissions.
+    # Each submission with the next faster one of its user's.
     "raw_pairs": """
-SELECT s.seq * 2 + s.kind AS seq, s.solution_id AS src_id, t.solution_id AS tgt_id, s.problem_id,
-  s.runtime AS src_agg_runtime, t.runtime AS tgt_agg_runtime, s.code AS src_code, t.code AS tgt_code
-FROM (
-  SELECT seq, solution_id, problem_id, user_id, runtime, code, 0 AS kind, rk - 1 AS wanted FROM @ranked_subs
-  UNION ALL
-  SELECT seq, solution_id, problem_id, user_id, runtime, code, 1 AS kind, 1 AS wanted FROM @ranked_subs WHERE rk > 2
-) s JOIN @ranked_subs t ON s.problem_id = t.problem_id AND s.user_id = t.user_id AND t.rk = s.wanted""",
+SELECT * FROM (
+  SELECT seq, solution_id AS src_id, lag(solution_id) OVER w AS tgt_id, problem_id,
+    runtime AS src_agg_runtime, lag(runtime) OVER w AS tgt_agg_runtime, code AS src_code, lag(code) OVER w AS tgt_code
+  FROM @subs WINDOW w AS (PARTITION BY problem_id, user_id ORDER BY runtime, seq)) p
+WHERE tgt_id IS NOT NULL""",
     "ranked_subs": """
 SELECT *, row_number() OVER (PARTITION BY problem_id, user_id ORDER BY runtime, seq) AS rk FROM @subs""",
     "known_pairs": """
@@ -142,9 +145,9 @@ SELECT seq AS completion_id, gen AS optimizer, CAST(60 AS DOUBLE) AS src_runtime
 FROM @gens""",
     # The evaluated rows: a submission as source, its user's fastest program as reference.
     "eval_rows": """
-SELECT s.seq, s.problem_id, s.solution_id AS src_id, t.solution_id AS tgt_id, s.code AS src_code, t.code AS tgt_code,
-  s.runtime AS src_runtime, t.runtime AS tgt_runtime
-FROM @ranked_subs s JOIN @ranked_subs t ON s.problem_id = t.problem_id AND s.user_id = t.user_id AND t.rk = 1""",
+SELECT seq, problem_id, solution_id AS src_id, first_value(solution_id) OVER w AS tgt_id, code AS src_code,
+  first_value(code) OVER w AS tgt_code, runtime AS src_runtime, first_value(runtime) OVER w AS tgt_runtime
+FROM @subs WINDOW w AS (PARTITION BY problem_id, user_id ORDER BY runtime, seq)""",
     "eval_results": """
 SELECT r.*, g.gen, g.code, g.agg_runtime, g.accuracy FROM @eval_rows r JOIN @gens g ON r.seq = g.seq""",
     "baselines": """
@@ -168,13 +171,17 @@ def _needed(name: str, seen: list[str]) -> None:
     seen.append(name)
 
 
-def _with_views(body: str, names: dict[str, str]) -> str:
+def _with_views(body: str, names: dict[str, str], table: Callable[[str], str] = str) -> str:
     needed: list[str] = []
     for name in _REFERENCE.findall(body):
         _needed(name, needed)
 
+    def word(match: re.Match) -> str:
+        name = match.group(1)
+        return table(name) if name in TABLES else names.get(name, name)
+
     def spell(text: str) -> str:
-        return _REFERENCE.sub(lambda m: names.get(m.group(1), m.group(1)), text)
+        return _REFERENCE.sub(word, text)
 
     views = ",\n".join(f"{name} AS ({spell(VIEWS[name])}\n)" for name in needed)
     body = spell(body).strip()
@@ -193,15 +200,25 @@ class Inputs:
     """The views of one data folder as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark = apply_settings(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, str] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.table(self._registered(name))
+
+    def _registered(self, name: str) -> str:
+        """The temporary view of a table; tables whose text is worked on are spread over the cores."""
+        if name not in self._tables:
+            frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in TEXT_KEYS:
+                frame = spread(frame, TEXT_KEYS[name])
+            self._tables[name] = f"paceline_{name}"
+            frame.createOrReplaceTempView(self._tables[name])
+        return self._tables[name]
 
     def sql(self, body: str) -> DataFrame:
-        tables = {name: f"parquet.`{self.sf_dir}/{name}.parquet`" for name in TABLES}
-        return self.spark.sql(_with_views(body, {**SPARK_NAMES, **tables}))
+        return self.spark.sql(_with_views(body, SPARK_NAMES, self._registered))
 
     def __call__(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM @{name}")

@@ -6,13 +6,16 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed settings: adaptive execution splits hot join partitions and picks broadcast
 # sides from measured sizes, so no operator carries a broadcast hint on table data.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also split a hot join partition where an aggregation on the same key follows: partial
+    # aggregates then cross the extra shuffle, and only when a partition is in fact hot.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -32,6 +35,23 @@ def build_session(app: str = "paceline", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set the same on a session somebody else has built; all of them are runtime settings."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over the cores by a unique key where the input has fewer files than cores.
+
+    A small table is one task per row group, and stays so through every expression before the
+    first shuffle. Tables in many files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder of `spark.checkpoint.dir`; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

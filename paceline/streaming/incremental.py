@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,13 +33,15 @@ def incremental_generation(
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    columns = [name for name in _column_names(schema) if name != id_col]
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    id_type = fields[id_col].dataType.simpleString()
+    columns = [name for name in fields.fieldNames() if name not in (id_col, order_col)]
 
     def answer(rows: DataFrame, batch_id: int) -> None:
-        first = rows.groupBy(id_col).agg(F.min(F.struct(order_col, *[c for c in columns if c != order_col])).alias("_row"))
+        first = rows.groupBy(id_col).agg(F.min(F.struct(order_col, *columns)).alias("_row"))
         todo = first.select(id_col, "_row.*")
         if path_exists(rows.sparkSession, sink):
-            done = rows.sparkSession.read.schema(f"{id_col} string, batch_id bigint").parquet(sink)
+            done = rows.sparkSession.read.schema(f"{id_col} {id_type}, batch_id bigint").parquet(sink)
             todo = todo.join(done.filter(F.col("batch_id") != batch_id).select(id_col), id_col, "left_anti")
         batch_generate(todo, loader, model, batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
@@ -53,6 +53,3 @@ def incremental_generation(
         .start()
     )
 
-
-def _column_names(schema: StructType | str) -> Sequence[str]:
-    return (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fieldNames()
