@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paceline.functions.text import as_column, finite_number, lines
+from paceline.functions.text import as_column, finite_number
 
 INFINITY = float("inf")
 # The speedup thresholds of the report and the bands of the distribution.
@@ -48,16 +48,16 @@ def adjusted_runtime(
     return F.when(failed, F.lit(INFINITY)).otherwise(as_column(runtime))
 
 
-def grade_output(actual: Column | str, expected: Column | str, tolerance: float = 1e-3) -> Column:
+def grade_lines(actual: Column | str, expected: Column | str, tolerance: float = 1e-3) -> Column:
     """M1: share of expected lines met by position, as text or as numbers; null without expected lines."""
+    actual, expected = as_column(actual), as_column(expected)
 
     def met(got: Column, wanted: Column) -> Column:
         close = F.abs(finite_number(got) - finite_number(wanted)) < tolerance
         return F.coalesce(got == wanted, F.lit(False)) | F.coalesce(close, F.lit(False))
 
-    wanted_lines = lines(expected)
-    matches = F.filter(F.zip_with(lines(actual), wanted_lines, met), lambda hit: hit)
-    return F.try_divide(F.size(matches).cast("double"), F.size(wanted_lines))
+    matches = F.filter(F.zip_with(actual, expected, met), lambda hit: hit)
+    return F.try_divide(F.size(matches).cast("double"), F.size(expected))
 
 
 def submission_score(compiled: Column | str, accuracy: Column | str, runtime: Column | str) -> Column:

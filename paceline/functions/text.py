@@ -44,7 +44,7 @@ WHITE_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 _SPACE = f"[{WHITE_SPACE}]"
-_LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_BREAKS = ("\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 _FINITE_NUMBER = r"\A\s*[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?\s*\z"
 
 
@@ -62,19 +62,22 @@ def strip(text: Column | str) -> Column:
     return F.btrim(as_column(text), F.lit(WHITE_SPACE))
 
 
-def _split_stripped(text: Column | str, pattern: str) -> Column:
-    stripped = strip(text)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, pattern))
-
-
 def words(text: Column | str) -> Column:
     """White-space separated words; an empty array for blank text."""
-    return _split_stripped(text, f"{_SPACE}+")
+    return F.array_remove(F.split(strip(text), f"{_SPACE}+"), "")
 
 
 def lines(text: Column | str) -> Column:
-    """Lines of the stripped text; an empty array for blank text."""
-    return _split_stripped(text, _LINE_BREAK)
+    """Lines of the stripped text; an empty array for blank text.
+
+    Breaks are replaced one by one and split at a single character: both are plain byte
+    searches, where a pattern would be compiled for each row.
+    """
+    stripped = strip(text)
+    unified = stripped
+    for line_break in LINE_BREAKS:
+        unified = F.replace(unified, F.lit(line_break), F.lit("\n"))
+    return F.when(stripped != "", F.split(unified, "\n")).otherwise(F.array().cast("array<string>"))
 
 
 def finite_number(text: Column | str) -> Column:

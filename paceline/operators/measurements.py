@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.functions.numbers import INFINITY, grade_output, submission_score
-from paceline.functions.text import words
+from paceline.functions.numbers import INFINITY, grade_lines, submission_score
+from paceline.functions.text import lines, words
 
 TIMING_MODES = ("gem5", "binary", "both")
 _NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
@@ -16,8 +16,8 @@ _NUMBER = r"\A[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
 
 def grade_outputs(actual: DataFrame, expected: DataFrame, key: Sequence[str]) -> DataFrame:
     """M1: score of each program output against the expected output of its test."""
-    joined = actual.join(expected, list(key))
-    return joined.withColumn("score", grade_output("actual", "expected"))
+    split = actual.join(expected, list(key)).withColumns({"_got": lines("actual"), "_wanted": lines("expected")})
+    return split.withColumn("score", grade_lines("_got", "_wanted")).drop("_got", "_wanted")
 
 
 def accuracy_by_submission(

@@ -51,6 +51,28 @@ def top_k_per_group(
     )
 
 
+def block_carries(
+    df: DataFrame, key: Sequence[str], block: str, minima: Mapping[str, Column], maxima: Mapping[str, Column]
+) -> DataFrame:
+    """Per (key, block): the extremes of the key's earlier blocks as `carry_<name>`, and whether a later one exists.
+
+    Blocks are summed up first, with partial aggregates, so only one row per block is ordered.
+    """
+    totals = df.groupBy(*key, block).agg(
+        *[F.min(value).alias(name) for name, value in minima.items()],
+        *[F.max(value).alias(name) for name, value in maxima.items()],
+    )
+    blocks = W.partitionBy(*key).orderBy(block)
+    before = blocks.rowsBetween(W.unboundedPreceding, -1)
+    return totals.select(
+        *key,
+        block,
+        *[F.min(name).over(before).alias(f"carry_{name}") for name in minima],
+        *[F.max(name).over(before).alias(f"carry_{name}") for name in maxima],
+        F.lead(block).over(blocks).isNotNull().alias("carry_more"),
+    )
+
+
 def running_extremes(
     df: DataFrame,
     key: Sequence[str],
@@ -62,35 +84,14 @@ def running_extremes(
 ) -> DataFrame:
     """Running minima and maxima along `order_col` of each key, and whether a row is its key's last.
 
-    Ranks are cut into the blocks of column `block`, which holds a bounded number of rows of a
-    key. Rows are scanned inside their block, and carry in what the blocks before theirs reached.
-    A key that fits into one block has no such carry, so that table is as a rule empty.
+    Rows are scanned inside their block, which holds a bounded number of a key's rows, and then
+    meet the carry columns of `block_carries`, which `df` must have.
     """
-    totals = df.groupBy(*key, block).agg(
-        *[F.min(value).alias(name) for name, value in minima.items()],
-        *[F.max(value).alias(name) for name, value in maxima.items()],
-    )
-    blocks = W.partitionBy(*key).orderBy(block)
-    before = blocks.rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *key,
-        block,
-        *[F.min(name).over(before).alias(f"_before_{name}") for name in minima],
-        *[F.max(name).over(before).alias(f"_before_{name}") for name in maxima],
-        F.lag(block).over(blocks).isNotNull().alias("_has_before"),
-        F.lead(block).over(blocks).isNotNull().alias("_has_after"),
-    ).filter(F.col("_has_before") | F.col("_has_after"))
     rows = W.partitionBy(*key, block).orderBy(order_col)
     so_far = rows.rowsBetween(W.unboundedPreceding, W.currentRow)
-    scanned = df.select(
-        "*",
-        *[F.min(value).over(so_far).alias(name) for name, value in minima.items()],
-        *[F.max(value).over(so_far).alias(name) for name, value in maxima.items()],
-        F.lead(order_col).over(rows).isNull().alias(last),
+    return df.select(
+        *[name for name in df.columns if not name.startswith("carry_")],
+        *[F.least(F.min(value).over(so_far), F.col(f"carry_{name}")).alias(name) for name, value in minima.items()],
+        *[F.greatest(F.max(value).over(so_far), F.col(f"carry_{name}")).alias(name) for name, value in maxima.items()],
+        (F.lead(order_col).over(rows).isNull() & ~F.coalesce("carry_more", F.lit(False))).alias(last),
     )
-    joined = scanned.join(carried, [*key, block], "left")
-    merged = {name: F.least(F.col(name), F.col(f"_before_{name}")) for name in minima}
-    merged |= {name: F.greatest(F.col(name), F.col(f"_before_{name}")) for name in maxima}
-    merged[last] = F.col(last) & ~F.coalesce("_has_after", F.lit(False))
-    carries = [f"_before_{name}" for name in (*minima, *maxima)]
-    return joined.withColumns(merged).drop("_has_before", "_has_after", *carries)

@@ -22,7 +22,7 @@ from paceline.functions.numbers import (
     threshold_name,
 )
 from paceline.functions.text import strip
-from paceline.operators.ranking import running_extremes
+from paceline.operators.ranking import block_carries, running_extremes
 
 SLOW, REFERENCE = "src_code", "tgt_code"
 KEY_COLUMNS = ("problem_id", "tests", "src_id", "tgt_id", "fastest_runtime", "fastest_accuracy")
@@ -127,6 +127,10 @@ def with_blocks(results: DataFrame, width: int = GENERATION_BLOCK) -> DataFrame:
     return results.withColumn(BLOCK, F.col("gen") - F.col("gen") % width)
 
 
+def _extremes() -> tuple[dict[str, Column], dict[str, Column]]:
+    return {"best_runtime": nan_to_null("adjusted_runtime")}, {"best_accuracy": nan_to_null("accuracy")}
+
+
 def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "seq") -> DataFrame:
     """Results of all reference rows; a row without any gets one failed generation.
 
@@ -135,11 +139,15 @@ def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "se
     what else was measured), `reference` has a row per row id. Programs end in the key.
 
     Rows meet their results block by block, so one row with very many generations is spread
-    over tasks.
+    over tasks. Adjusted results also get the carries `best_at_k` needs, on the way.
     """
     blocked = with_blocks(results)
+    if "adjusted_runtime" in results.columns:
+        blocks = block_carries(blocked, [row_id], BLOCK, *_extremes())
+    else:
+        blocks = blocked.select(row_id, BLOCK).distinct()
     keyed = reference.withColumn("_key", _program_key()).drop(SLOW, REFERENCE)
-    rows = keyed.join(blocked.select(row_id, BLOCK).distinct(), row_id, "left")
+    rows = keyed.join(blocks, row_id, "left")
     # False sorts first: rows with results come before rows without.
     first = rows.groupBy("_key").agg(F.min(F.struct(F.col(BLOCK).isNull().alias("_empty"), row_id)).alias("_first"))
     chosen = rows.join(first.select(F.col(f"_first.{row_id}").alias(row_id)), row_id, "left_semi").drop("_key")
@@ -160,11 +168,9 @@ def adjust_runtime(results: DataFrame, threshold: float = 1.0) -> DataFrame:
 
 def fastest_generated(results: DataFrame, row_id: str = "seq") -> DataFrame:
     """Per row the fastest adjusted runtime over its generations."""
-    return results.groupBy(row_id).agg(
-        F.min(nan_to_null("adjusted_runtime")).alias("fastest_runtime"),
-        F.any_value("problem_id").alias("problem_id"),
-        F.any_value("src_runtime").alias("src_runtime"),
-        F.any_value("tgt_runtime").alias("tgt_runtime"),
+    # What the row id determines is part of the key: a hash aggregate, where strings as values would be sorted.
+    return results.groupBy(row_id, "problem_id", "src_runtime", "tgt_runtime").agg(
+        F.min(nan_to_null("adjusted_runtime")).alias("fastest_runtime")
     )
 
 
@@ -188,17 +194,10 @@ def best_at_k(results: DataFrame, threshold: float = 1.0, row_id: str = "seq") -
     Generations are scanned in blocks of a fixed width and blocks carry over, so no task has
     to hold a row's generations, however many there are.
     """
-    if BLOCK not in results.columns:
+    if "carry_more" not in results.columns:
         results = with_blocks(results)
-    best = running_extremes(
-        results,
-        [row_id],
-        "gen",
-        BLOCK,
-        {"best_runtime": nan_to_null("adjusted_runtime")},
-        {"best_accuracy": nan_to_null("accuracy")},
-        "is_last",
-    )
+        results = results.join(block_carries(results, [row_id], BLOCK, *_extremes()), [row_id, BLOCK])
+    best = running_extremes(results, [row_id], "gen", BLOCK, *_extremes(), "is_last")
     return (
         best.withColumn("k", F.col("gen") + 1)
         .withColumn("is_correct", F.coalesce(F.col("best_accuracy") == threshold, F.lit(False)))
