@@ -35,9 +35,14 @@ def ratio(numerator: Column | str, denominator: Column | str) -> Column:
 
 
 def floored_speedup(slow: Column | str, fast: Column | str) -> Column:
-    """Speedup of at least 1; NaN (failed over failed) counts as 1."""
-    speedup = ratio(slow, fast)
-    return F.when(speedup.isNull() | F.isnan(speedup) | (speedup < 1), F.lit(1.0)).otherwise(speedup)
+    """Speedup of at least 1; NaN (failed over failed) and null count as 1.
+
+    Runtimes are not negative, so only a slow runtime above the fast one needs dividing. The
+    short form matters: report stages use it many times over in one generated method.
+    """
+    slow, fast = as_column(slow), as_column(fast)
+    speedup = F.coalesce(F.try_divide(slow, fast), F.lit(INFINITY))
+    return F.when((slow > fast) & ~F.isnan(slow), speedup).otherwise(F.lit(1.0))
 
 
 def adjusted_runtime(

@@ -208,43 +208,40 @@ def best_at_k(results: DataFrame, threshold: float = 1.0, row_id: str = "seq") -
 def report_at_k(best: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS) -> DataFrame:
     """Per k the means over all rows; a row with fewer generations counts with its last best.
 
-    Rows are not padded to the largest k. One aggregation yields per k the sums over rows that
-    reach k and over rows that end at k; the rows that ended before k are a running sum over
-    the few k.
+    Rows are not padded to the largest k: those that ended before k are a running sum over the
+    few k. Nor is each threshold counted per row: rows are summed up by k and the band their
+    speedup falls in, and the thresholds are read off that small table.
     """
-    measures = {
-        "accuracy": F.col("best_accuracy"),
-        "correct": F.col("is_correct").cast("int"),
-        "speedup": F.col("speedup"),
-        **{f"ge_{threshold_name(t)}": (F.col("speedup") >= t).cast("int") for t in thresholds},
+    band = sum([(F.col("speedup") >= t).cast("int") for t in sorted(thresholds)], F.lit(0))
+    cells = best.groupBy("k", "is_last", band.alias("band")).agg(
+        F.count("*").alias("n"),
+        F.count("best_accuracy").alias("acc_n"),
+        F.sum("best_accuracy").alias("accuracy"),
+        F.sum(F.col("is_correct").cast("int")).alias("correct"),
+        F.sum("speedup").alias("speedup"),
+    )
+    measures = {name: F.col(name) for name in ("n", "acc_n", "accuracy", "correct", "speedup")}
+    measures |= {
+        f"ge_{threshold_name(t)}": F.when(F.col("band") > i, F.col("n")) for i, t in enumerate(sorted(thresholds))
     }
-    aggregates = [
-        F.count("*").alias("_n"),
-        F.count_if("is_last").alias("_n_last"),
-        F.count("best_accuracy").alias("_acc_n"),
-        F.count(F.when(F.col("is_last"), F.col("best_accuracy"))).alias("_acc_n_last"),
-    ]
-    for name, value in measures.items():
-        aggregates.append(F.coalesce(F.sum(value), F.lit(0)).alias(f"_{name}"))
-        aggregates.append(F.coalesce(F.sum(F.when(F.col("is_last"), value)), F.lit(0)).alias(f"_{name}_last"))
-    per_k = best.groupBy("k").agg(*aggregates)
+    per_k = cells.groupBy("k").agg(
+        *[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in measures.items()],
+        *[F.coalesce(F.sum(F.when(F.col("is_last"), value)), F.lit(0)).alias(f"{name}_last") for name, value in measures.items()],
+    )
     ended_before = W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)
 
     def total(name: str) -> Column:
-        return F.col(f"_{name}") + F.coalesce(F.sum(f"_{name}_last").over(ended_before), F.lit(0))
-
-    rows = total("n")
-    columns = [
-        F.col("k"),
-        rows.alias("programs"),
-        F.try_divide(total("accuracy"), total("acc_n")).alias("mean_accuracy"),
-        F.try_divide(total("correct"), rows).alias("mean_correct"),
-        F.try_divide(total("speedup"), rows).alias("mean_speedup"),
-    ]
-    columns += [
-        F.try_divide(total(f"ge_{threshold_name(t)}"), rows).alias(f"share_ge_{threshold_name(t)}") for t in thresholds
-    ]
-    return per_k.select(*columns)
+        return F.col(name) + F.coalesce(F.sum(f"{name}_last").over(ended_before), F.lit(0))
+
+    totals = per_k.select("k", *[total(name).alias(name) for name in measures])
+    return totals.select(
+        "k",
+        F.col("n").alias("programs"),
+        F.try_divide("accuracy", "acc_n").alias("mean_accuracy"),
+        F.try_divide("correct", "n").alias("mean_correct"),
+        F.try_divide("speedup", "n").alias("mean_speedup"),
+        *[F.try_divide(f"ge_{threshold_name(t)}", "n").alias(f"share_ge_{threshold_name(t)}") for t in thresholds],
+    )
 
 
 def _shares(speedup: Column, thresholds: Sequence[float]) -> list[Column]:
