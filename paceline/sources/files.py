@@ -101,9 +101,9 @@ def read_model_outputs(spark: SparkSession, folder: str, schema: StructType | st
     )
 
     def listed(text: Column) -> Column:
-        return F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).when(
-            text.isNotNull(), F.array(text)
-        )
+        # Text in brackets that is no list is one answer.
+        several = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
+        return F.coalesce(several, F.when(text.isNotNull(), F.array(text)))
 
     return keyed.select(
         "model",

@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from paceline.operators.measurements import parse_stats_lines, simulated_seconds
+from paceline.sources import files
+
+
+def test_records_as_lines_and_as_one_document(spark, tmp_path):
+    (tmp_path / "lines.jsonl").write_text('{"a": 1}\n{"a": 2, "b": "x"}\n')
+    (tmp_path / "whole.json").write_text(json.dumps([{"a": 1}, {"a": 2, "b": "x"}], indent=2))
+    schema = "a int, b string"
+    wanted = {(1, None), (2, "x")}
+    assert set(map(tuple, files.read_records(spark, str(tmp_path / "lines.jsonl"), schema).collect())) == wanted
+    assert set(map(tuple, files.read_records(spark, str(tmp_path / "whole.json"), schema, lines=False).collect())) == wanted
+
+
+def test_cleaned_name(spark, tmp_path):
+    frame = spark.createDataFrame([(1, None)], "a int, b string")
+    path = files.write_records(frame, f"{tmp_path}/out.jsonl", cleaned=True)
+    assert path == f"{tmp_path}/out_cleaned.jsonl"
+    assert tuple(files.read_records(spark, path, "a int, b string").first()) == (1, None)
+    assert spark.read.text(path).first()[0] == '{"a":1,"b":null}'
+
+
+def test_metadata_last_row_wins_and_gaps_are_skipped(spark, tmp_path):
+    header = "submission_id,problem_id,user_id,date,language\n"
+    (tmp_path / "p1.csv").write_text(header + "s1,p1,u1,0,C\ns2,p1,u1,0,C\ns1,p1,u2,0,C\n")
+    (tmp_path / "p2.csv").write_text(header + "s2,p2,u9,0,C\ns3,p2\ns4,p2,,0,C\n")
+    (tmp_path / "other.csv").write_text(header + "s9,p9,u9,0,C\n")
+    got = files.read_submission_metadata(spark, f"{tmp_path}/p*.csv")
+    assert set(map(tuple, got.collect())) == {("s1", "p1", "u2"), ("s2", "p2", "u9")}
+
+
+def test_problem_statements(spark, tmp_path):
+    (tmp_path / "p1.html").write_text("<p>one\ntwo</p>\n")
+    (tmp_path / "p 2.html").write_text("second")
+    statements = files.read_problem_statements(spark, f"{tmp_path}/*.html")
+    problems = spark.createDataFrame([("p1",), ("p3",)], "problem_id string")
+    got = {r["problem_id"]: r["instruction"] for r in files.attach_statements(problems, statements).collect()}
+    assert got == {"p1": "<p>one\ntwo</p>\n", "p3": ""}
+    assert [r[0] for r in files.missing_statements(problems, statements).collect()] == ["p3"]
+    assert {r["problem_id"] for r in statements.collect()} == {"p1", "p 2"}
+
+
+def test_registered_dataset_is_renamed(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text('{"instruction": "i", "output": "o"}\n')
+    registry = {"d": {"file_name": "d.jsonl", "columns": {"prompt": "instruction", "response": "output"}}}
+    got = files.load_registered_dataset(spark, registry, "d", str(tmp_path), "instruction string, output string")
+    assert got.first().asDict() == {"prompt": "i", "response": "o"}
+
+
+def test_materialize_once_computes_once_and_not_after_a_crash(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    path = f"{tmp_path}/saved"
+    assert files.materialize_once(spark, path, build).count() == 3
+    assert files.materialize_once(spark, path, build).count() == 3 and len(calls) == 1
+    (tmp_path / "saved" / "_SUCCESS").rename(tmp_path / "gone")
+    files.materialize_once(spark, path, build)
+    assert len(calls) == 2
+
+
+def test_model_outputs_are_found_by_their_file_name(spark, tmp_path):
+    rows = [
+        {"seq": 1, "m-1.5_resp": ["r1", "r2"], "m-1.5": ["c1", None]},
+        {"seq": 2, "m-1.5_resp": ["r3"], "m-1.5": ["c3"]},
+    ]
+    (tmp_path / "m-1.5.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    (tmp_path / "resp.jsonl").write_text(json.dumps({"seq": 3, "resp_resp": "[only] one", "resp": None}) + "\n")
+    got = files.read_model_outputs(spark, str(tmp_path), "seq int").orderBy("seq").collect()
+    assert [(r["model"], r["seq"], r["responses"], r["codes"]) for r in got] == [
+        ("m-1.5", 1, ["r1", "r2"], ["c1", None]),
+        ("m-1.5", 2, ["r3"], ["c3"]),
+        ("resp", 3, ["[only] one"], None),
+    ]
+
+
+def test_model_of_key_removes_only_the_suffix(column):
+    assert column(files.model_of_key(F.col("text")), ["sep_resp", "pers_resp_resp"]) == ["sep", "pers_resp"]
+
+
+def test_report_files(spark, tmp_path):
+    summary = spark.createDataFrame([(1, 0.5)], "k int, mean double")
+    files.write_report(summary, spark.range(4), str(tmp_path / "out"))
+    assert spark.read.csv(f"{tmp_path}/out/summary", header=True).columns == ["k", "mean"]
+    assert spark.read.json(f"{tmp_path}/out/rows").count() == 4
+
+
+def test_stats_files_keep_line_order_across_splits(spark, tmp_path):
+    body = "".join(f"filler_{i}  {i}\n" for i in range(4000))
+    (tmp_path / "a.txt").write_text("sim_ticks 1\nsim_freq 10\n" + body + "sim_ticks 5 # last\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        values = parse_stats_lines(files.read_stats_files(spark, f"{tmp_path}/*.txt"))
+        assert simulated_seconds(values).first()["sim_seconds_precise"] == 0.5
+        assert values.count() == 4002
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
