@@ -66,7 +66,8 @@ WHERE problem_rank <= 4 ORDER BY speedup DESC, doc_id LIMIT {SAMPLE}""",
 )
 def _(v):
     rows = v("category_resp").select("doc_id", "problem_id", "speedup", "cross_user")
-    return selection.top_speedup_capped(rows, SAMPLE, 4, "doc_id").drop("cross_user")
+    capped = selection.top_speedup_capped(rows, SAMPLE, 4, "doc_id").drop("cross_user")
+    return capped.withColumn("problem_rank", F.col("problem_rank").cast("bigint"))
 
 
 _ORD = ", ".join(f"({i}, '{name}')" for i, name in enumerate(SCORED_CATEGORIES))

@@ -186,7 +186,8 @@ NAMES = rf"""SELECT doc_id, pos, name FROM (
 
 @query("t6_extract_category_names", NAMES)
 def _(v):
-    return v("category_resp").select("doc_id", F.posexplode(text.category_names("resp")).alias("pos", "name"))
+    names = v("category_resp").select("doc_id", F.posexplode(text.category_names("resp")).alias("pos", "name"))
+    return names.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 CLASSIFY = "Categories:\n{{  category  }}\nStrategy: {{  strategy  }}\nAnswer with one category name."

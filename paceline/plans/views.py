@@ -94,14 +94,14 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' Loop Efficiency Techniques ' || chr
 FROM @documents""",
     "gens": """
 SELECT l_orderkey AS seq,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS gen,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS BIGINT) AS gen,
   CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE 'g' || CAST(l_partkey AS STRING) END AS code,
   l_extendedprice / CAST(1000 AS DOUBLE) AS agg_runtime,
   CASE WHEN l_returnflag = 'R' THEN l_discount * 5 ELSE CAST(1 AS DOUBLE) END AS accuracy
 FROM @lineitem""",
     "test_results": """
 SELECT l_orderkey AS seq,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS tc_no,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS BIGINT) AS tc_no,
   l_tax < CAST(0.075 AS DOUBLE) AS success, l_quantity / CAST(100 AS DOUBLE) AS time_s, l_returnflag AS flag
 FROM @lineitem""",
     "native_times": """
