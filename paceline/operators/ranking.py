@@ -54,11 +54,13 @@ def top_k_per_group(
 def block_carries(
     df: DataFrame, key: Sequence[str], block: str, minima: Mapping[str, Column], maxima: Mapping[str, Column]
 ) -> DataFrame:
-    """Per (key, block): the extremes of the key's earlier blocks as `carry_<name>`, and whether a later one exists.
+    """Per (key, block): the extremes of the key's earlier blocks as `carry_<name>`, and whether there
+    are earlier (`carry_any`) and later (`carry_more`) ones.
 
     Blocks are summed up first, with partial aggregates, so only one row per block is ordered.
     """
     totals = df.groupBy(*key, block).agg(
+        F.count("*").alias("_rows"),
         *[F.min(value).alias(name) for name, value in minima.items()],
         *[F.max(value).alias(name) for name, value in maxima.items()],
     )
@@ -69,6 +71,7 @@ def block_carries(
         block,
         *[F.min(name).over(before).alias(f"carry_{name}") for name in minima],
         *[F.max(name).over(before).alias(f"carry_{name}") for name in maxima],
+        F.lag(block).over(blocks).isNotNull().alias("carry_any"),
         F.lead(block).over(blocks).isNotNull().alias("carry_more"),
     )
 

@@ -142,16 +142,16 @@ def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "se
     over tasks. Adjusted results also get the carries `best_at_k` needs, on the way.
     """
     blocked = with_blocks(results)
-    if "adjusted_runtime" in results.columns:
-        blocks = block_carries(blocked, [row_id], BLOCK, *_extremes())
-    else:
-        blocks = blocked.select(row_id, BLOCK).distinct()
-    keyed = reference.withColumn("_key", _program_key()).drop(SLOW, REFERENCE)
-    rows = keyed.join(blocks, row_id, "left")
-    # False sorts first: rows with results come before rows without.
-    first = rows.groupBy("_key").agg(F.min(F.struct(F.col(BLOCK).isNull().alias("_empty"), row_id)).alias("_first"))
-    chosen = rows.join(first.select(F.col(f"_first.{row_id}").alias(row_id)), row_id, "left_semi").drop("_key")
-    completed = chosen.join(blocked.withColumn("_measured", F.lit(True)), [row_id, BLOCK], "left")
+    extremes = _extremes() if "adjusted_runtime" in results.columns else ({}, {})
+    blocks = block_carries(blocked, [row_id], BLOCK, *extremes)
+    tried = blocks.filter(~F.col("carry_any")).select(row_id, F.lit(True).alias("_tried"))
+    keyed = reference.select(row_id, _program_key().alias("_key")).join(tried, row_id, "left")
+    first_tried = F.min(F.when(F.col("_tried"), F.col(row_id)))
+    first = keyed.groupBy("_key").agg(F.coalesce(first_tried, F.min(row_id)).alias(row_id))
+    chosen = reference.drop(SLOW, REFERENCE).join(first.select(row_id), row_id, "left_semi")
+    completed = chosen.join(blocks.drop("carry_any"), row_id, "left").join(
+        blocked.withColumn("_measured", F.lit(True)), [row_id, BLOCK], "left"
+    )
     missing = F.col("_measured").isNull()
     fills = {name: value for name, value in FAILED.items() if name in results.columns}
     return (
