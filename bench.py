@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-All queries run once to warm up and then $BENCH_RUNS times in turn; each one's median counts.
+Each query runs once to warm up and then $BENCH_RUNS times; the median counts.
 Results go to the no-op sink, so that every column of every row is computed.
 """
 
@@ -44,13 +44,15 @@ HEADLINES = (
 
 
 def medians(names, action, runs: int) -> dict[str, float]:
-    taken: dict[str, list[float]] = {name: [] for name in names}
-    for _ in range(runs + 1):
-        for name in names:
+    result = {}
+    for name in names:
+        taken = []
+        for _ in range(runs + 1):
             start = time.perf_counter()
             action(name)
-            taken[name].append(time.perf_counter() - start)
-    return {name: round(statistics.median(times[1:]), 3) for name, times in taken.items()}
+            taken.append(time.perf_counter() - start)
+        result[name] = round(statistics.median(taken[1:]), 3)
+    return result
 
 
 def duckdb_seconds(sf_dir: str, cpus: str, runs: int, names) -> dict[str, float]:
