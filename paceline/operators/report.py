@@ -59,7 +59,7 @@ def explode_generations(df: DataFrame, generations: str, pad: bool = False) -> D
         return df.select("*", F.posexplode(generations).alias("gen", "code")).drop(generations)
     arity = generation_arity(df, generations).scalar()
     return (
-        df.withColumn("gen", F.explode(F.sequence(F.lit(0), arity - 1)))
+        df.withColumn("gen", F.explode(F.when(arity > 0, F.sequence(F.lit(0), arity - 1))))
         .withColumn("code", F.get(generations, F.col("gen")))
         .drop(generations)
     )

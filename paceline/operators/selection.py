@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,8 +154,6 @@ def average_speedup(df: DataFrame, speedup: str = "speedup") -> DataFrame:
     return df.agg(F.round(F.avg(speedup), 2).alias("avg_speedup"))
 
 
-def select_training_rows(
-    df: DataFrame, n: int, id_col: str = "id", seed: int = 0, finish: Callable[[DataFrame], DataFrame] = lambda d: d
-) -> DataFrame:
+def select_training_rows(df: DataFrame, n: int, id_col: str = "id", seed: int = 0) -> DataFrame:
     """Best pairs, scored by rarity and balanced over problems: the steps of a selection run in one plan."""
-    return finish(balanced_round_robin(rarity_score(best_only(df)), n, id_col, seed))
+    return balanced_round_robin(rarity_score(best_only(df)), n, id_col, seed)

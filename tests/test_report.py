@@ -154,6 +154,7 @@ def test_expand_melt_and_unmelt_round_trip(spark):
     padded_rows = report.explode_generations(frame, "model", pad=True)
     assert padded_rows.count() == 6
     assert report.explode_generations(frame, "model").count() == 3
+    assert report.explode_generations(frame.filter("src_id = 3"), "model", pad=True).count() == 0
 
 
 def test_unmelt_keeps_both_targets_of_a_source(spark):
