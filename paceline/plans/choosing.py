@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
@@ -144,16 +144,17 @@ def _(v):
     return selection.average_speedup(v("category_resp"))
 
 
-# Generation. The stub answers with its prompt in a fence, so the results are known without a model.
-def fenced_echo():
-    return lambda prompts: [f"Sure:\n```cpp\n{prompt}\n```" for prompt in prompts]
+# Generation. The stubs answer with their prompt in a fence, so the results are known without a model.
+# They are made inside a function so that they travel to the workers whole, not by module name.
+def stub_model(answer: Callable[[str], str | list[str]]):
+    def load():
+        return lambda prompts: [answer(prompt) for prompt in prompts]
 
+    return load
 
-def two_answers():
-    def answer(prompts: Sequence[str]) -> list[list[str]]:
-        return [[f"```\n{prompt}\n```", "no code"] for prompt in prompts]
 
-    return answer
+fenced_echo = stub_model(lambda prompt: f"Sure:\n```cpp\n{prompt}\n```")
+two_answers = stub_model(lambda prompt: [f"```\n{prompt}\n```", "no code"])
 
 
 RESUME_DATA = """SELECT solution_id AS id, seq, CASE WHEN runtime < 150 THEN 'r' || CAST(seq AS STRING) END AS resp FROM @subs"""
