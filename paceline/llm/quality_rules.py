@@ -8,6 +8,7 @@ whose hot keys adaptive execution may split.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,14 +21,14 @@ from paceline.llm.common import checkpointed, query, table, text_batches, text_k
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# Digits count as one digit, so that dates and page numbers do not tell lines apart.
-DIGITS = bytes.maketrans(b"123456789", b"000000000")
+# Numbers count as one, so that dates and page numbers do not tell lines apart.
+NUMBER = re.compile(rb"[0-9]+")
 WINDOW = 5
 
 
 def line_hash(line: bytes) -> int:
-    """Signed 64 bits of a line in ASCII lower case with single blanks and digits as zeros."""
-    value = xxhash.xxh64_intdigest(b" ".join(line.lower().translate(DIGITS).split()))
+    """Signed 64 bits of a line in ASCII lower case with single blanks and numbers as zero."""
+    value = xxhash.xxh64_intdigest(b" ".join(NUMBER.sub(b"0", line.lower()).split()))
     return value - (1 << 64) if value >> 63 else value
 
 
