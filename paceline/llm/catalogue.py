@@ -1,6 +1,6 @@
 """Every query of this subpackage, by importing the modules that register them."""
 
-from paceline.llm import chat_formatting, language_id, license_scans, packing, piece_encoding, quality_rules, url_filters  # noqa: F401
+from paceline.llm import chat_formatting, language_id, license_scans, nearest, packing, piece_encoding, quality_rules, simhash, url_filters  # noqa: F401
 from paceline.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
