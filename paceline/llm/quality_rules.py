@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm.common import checkpointed, query, table, text_batches, text_key
@@ -62,16 +62,18 @@ def measure(text: str | None) -> tuple[tuple[int, ...], list[dict]]:
     return (len(words), len(text) - blanks, symbols, dup_lines, repeat_words(words)), [{"h": h, "w": w} for h, w in line_words.items()]
 
 
+def host_name(host: Column) -> Column:
+    """A null host is a host of its own."""
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit(""))
+
+
 LINES = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
 
 
 def measured(docs: DataFrame, id_column: str, text: str, host: str) -> DataFrame:
     """Id, host, text key, measures and lines of every row."""
     text_batches(docs.sparkSession)
-    # A null host is a host of its own.
-    picked = docs.select(
-        F.col(id_column), F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("host"), text_key(F.col(text)).alias("key"), F.col(text).alias("text")
-    )
+    picked = docs.select(F.col(id_column), host_name(F.col(host)).alias("host"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
