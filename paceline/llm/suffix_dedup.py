@@ -293,7 +293,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", min_length: int = MIN_LE
     text_batches(docs.sparkSession)
     every = checkpointed(anchors(docs, text, min_length, gram), "anchors")
     repeated = every.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).filter("n > 1")
-    shared = checkpointed(every.join(repeated.select("a", (F.col("least") != F.col("most")).alias("mixed")), "a"), "shared-anchors")
+    # Written first, so that both sides of the join are shuffled for it and a hot anchor may be split.
+    repeated = checkpointed(repeated.select("a", (F.col("least") != F.col("most")).alias("mixed")), "repeated-anchors")
+    shared = checkpointed(every.join(repeated, "a"), "shared-anchors")
     place = F.struct("key", "start", "windows", "offset")
     kinds = checkpointed(shared.groupBy("a", "c", "mixed").agg(F.count("*").alias("n"), F.min(place).alias("place")), "contexts")
     mixed = kinds.filter("mixed").select("a", "c", "place.*")
