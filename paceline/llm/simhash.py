@@ -71,10 +71,10 @@ def cuts(free: int, radius: int) -> list[tuple[int, int]]:
 def sharded(rows: DataFrame, radius: int) -> DataFrame:
     """Rows (shard, free, fp) dealt into shards by two blocks of their free bits."""
     frees = [row[0] for row in rows.select("free").distinct().collect()]  # fixed set: at most 10 ** level masks
-    plan = [(f, signed(k), signed(r)) for f in frees for k, r in cuts(f % (1 << BITS), radius)]
-    masks = rows.sparkSession.createDataFrame(plan, "free bigint, equal bigint, left bigint")
-    joined = rows.join(masks, "free")
-    return joined.select(F.xxhash64("shard", "equal", F.col("fp").bitwiseAND(F.col("equal"))).alias("shard"), F.col("left").alias("free"), "fp")
+    entry = lambda equal, left: F.struct(F.lit(signed(equal)).cast("bigint").alias("equal"), F.lit(signed(left)).cast("bigint").alias("left"))
+    plan = [part for f in frees for part in (F.lit(f).cast("bigint"), F.array(*[entry(*cut) for cut in cuts(f % (1 << BITS), radius)]))]
+    dealt = rows.select("shard", "fp", F.explode(F.element_at(F.create_map(*plan), F.col("free"))).alias("cut")) if plan else rows.select("shard", "fp", F.struct(F.col("free").alias("equal"), F.col("free").alias("left")).alias("cut"))
+    return dealt.select(F.xxhash64("shard", "cut.equal", F.col("fp").bitwiseAND(F.col("cut.equal"))).alias("shard"), F.col("cut.left").alias("free"), "fp")
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, shard_limit: int = SHARD_LIMIT) -> DataFrame:

@@ -112,3 +112,9 @@ def test_odd_vectors_and_hot_lists(spark):
     few = spark.createDataFrame([(0, [1.0], ""), (7, [2.0], ""), (100, [4.0], "")], schema)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.nearest(few, probes=1).collect()) == [(0, 1, 7, 1.0), (0, 2, 100, 3.0), (100, 1, 7, 2.0), (100, 2, 0, 3.0)]
     assert nearest.nearest(frame.filter("false")).count() == 0
+
+
+def test_no_cross_join(spark):
+    frame = spark.createDataFrame([(5,), (6,)], "fp bigint")
+    plan = simhash.near_links(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
