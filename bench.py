@@ -78,6 +78,8 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
         spark__driver__host="127.0.0.1",
+        # The tables are one row group each.
+        spark__paceline__inputPartitions=cpus,
         # Small shuffles still use every core.
         spark__sql__adaptive__coalescePartitions__minPartitionSize="64k",
         spark__ui__enabled="false",

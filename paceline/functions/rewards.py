@@ -87,7 +87,7 @@ def repetition_penalty_reward(completion: Column | str, n: int = 3, max_penalty:
     distinct strings go through a hash set where distinct arrays would be compared pairwise.
     """
     if max_penalty > 0:
-        raise ValueError(f"max_penalty {max_penalty} must not be positive")
+        raise ValueError(f"a penalty lowers the reward: {max_penalty} is above 0")
 
     def penalty(tokens: Column) -> Column:
         total = F.size(tokens) - F.lit(n - 1)

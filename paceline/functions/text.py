@@ -234,3 +234,11 @@ def resolve_category(answer: Column | str, categories: Sequence[str] = CATEGORY_
         return F.when(line.isin(list(categories)), line).otherwise(F.coalesce(*contained, F.lit(UNRECOGNIZED)))
 
     return bind(strip(F.substring_index(as_column(answer), "\n", 1)), match)
+
+
+def listed(text: Column) -> Column:
+    """A JSON list as an array of strings; any other text, in brackets or not, is its only entry."""
+    bracketed = F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]"))
+    # Strict parsing tells a list from text that only starts like one; the object around it makes the parser read to the end.
+    whole = F.try_parse_json(F.when(bracketed, F.concat(F.lit('{"list":'), text, F.lit("}")))).isNotNull()
+    return F.when(whole, F.from_json(text, "array<string>")).when(text.isNotNull(), F.array(text))

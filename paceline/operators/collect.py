@@ -58,29 +58,24 @@ def metadata_audit(solutions: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
-def build_problem_index(submissions: DataFrame, chunk_rows: int = 1000) -> DataFrame:
-    """C4: problem → user → solution nesting as `map<user, map<solution_id, struct>>`.
+def build_problem_index(submissions: DataFrame, buckets: int = 16) -> DataFrame:
+    """C4: problem → user → solution nesting: (problem_id, bucket, user_id) → `map<solution_id, struct>`.
 
-    A problem becomes ceil(rows / chunk_rows) rows, its solutions spread over them by hash:
-    one row for an ordinary problem, many bounded rows for a hot one, and nothing lost.
+    The bucket is a hash of the solution, so the key is the same at every size. A map holds about a `buckets`-th of the
+    solutions of its user and problem: ask for more buckets where one user has very many.
     """
-    chunks = submissions.groupBy("problem_id").agg(F.ceil(F.count("*") / F.lit(chunk_rows)).alias("_chunks"))
     record = F.struct("solution_id", "problem_id", "runtime", "code", "seq")
     return (
-        submissions.join(chunks, "problem_id")
-        .withColumn("chunk", F.pmod(F.xxhash64("solution_id"), F.col("_chunks")))
-        .groupBy("problem_id", "chunk", "user_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("solution_id", record))).alias("_solutions"))
-        .groupBy("problem_id", "chunk")
-        .agg(F.map_from_entries(F.collect_list(F.struct("user_id", "_solutions"))).alias("solutions"))
+        submissions.withColumn("bucket", F.pmod(F.xxhash64("solution_id"), F.lit(buckets)))
+        .groupBy("problem_id", "bucket", "user_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("solution_id", record))).alias("solutions"))
     )
 
 
 def flatten_problem_index(index: DataFrame) -> DataFrame:
     """One row per solution again."""
     return (
-        index.select("problem_id", F.explode("solutions").alias("user_id", "_solutions"))
-        .select("user_id", F.explode("_solutions").alias("_id", "_record"))
+        index.select("user_id", F.explode("solutions").alias("_id", "_record"))
         .select("user_id", "_record.*")
     )
 

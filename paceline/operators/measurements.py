@@ -62,9 +62,10 @@ def mask_after_failure(tests: DataFrame, sub: Sequence[str] = ("seq",), order: s
 def aggregate_runtime(
     tests: DataFrame, sub: Sequence[str] = ("seq",), submissions: DataFrame | None = None
 ) -> DataFrame:
-    """M5: sum of test times, infinite if any test failed; submissions without tests too, where they are given."""
+    """M5: sum of test times, infinite if any test failed or has no time; submissions without tests too, where they are given."""
+    timed = F.col("success") & F.col("time_s").isNotNull()
     per_sub = tests.groupBy(*sub).agg(
-        F.sum(F.when(F.col("success"), F.col("time_s")).otherwise(F.lit(INFINITY))).alias("agg_runtime"),
+        F.sum(F.when(timed, F.col("time_s")).otherwise(F.lit(INFINITY))).alias("agg_runtime"),
         F.count_if("success").alias("passed_tests"),
         F.count("*").alias("tests"),
     )

@@ -164,8 +164,8 @@ def fastest_target_pairs(submissions: DataFrame) -> DataFrame:
 
 
 def drop_identical_pairs(pairs: DataFrame, slow: str = "src_code", reference: str = "tgt_code") -> DataFrame:
-    """Drop rows whose slow program is the reference program."""
-    return pairs.filter(F.col(slow) != F.col(reference))
+    """Drop rows whose slow program is the reference program; a row that lacks one of them stays."""
+    return pairs.filter(~F.col(slow).eqNullSafe(F.col(reference)))
 
 
 def pair_summary(pairs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from paceline.functions.numbers import (
     ratio,
     threshold_name,
 )
-from paceline.functions.text import strip
+from paceline.functions.text import listed, strip
 from paceline.operators.ranking import block_carries, running_extremes
 
 SLOW, REFERENCE = "src_code", "tgt_code"
@@ -36,10 +36,13 @@ KEY_SUFFIXES = ("_compilation", "_accuracy", "_runtime", "_tc2time")
 def prepare_eval(
     df: DataFrame, list_columns: Sequence[str] = (), first_n: int | None = None, order_col: str = "seq"
 ) -> DataFrame:
-    """Revive JSON list columns, strip the slow program, drop unchanged pairs, keep the first n if asked."""
+    """Revive JSON list columns, strip the slow program, drop unchanged pairs, keep the first n if asked.
+
+    Text that is no list is one entry; a row without slow or reference program counts as changed.
+    """
     for name in list_columns:
-        df = df.withColumn(name, F.from_json(name, "array<string>"))
-    df = df.withColumn("slower_program", strip(SLOW)).filter(F.col(SLOW) != F.col(REFERENCE))
+        df = df.withColumn(name, listed(F.col(name)))
+    df = df.withColumn("slower_program", strip(SLOW)).filter(~F.col(SLOW).eqNullSafe(F.col(REFERENCE)))
     return df if first_n is None else df.orderBy(order_col).limit(first_n)
 
 
@@ -117,9 +120,13 @@ def project_key_columns(df: DataFrame, generated: str, slow: str = SLOW, referen
     return df.select([c for c in df.columns if c in wanted or c.endswith(KEY_SUFFIXES) or generated in c])
 
 
-def _program_key() -> Column:
-    """A narrow stand-in for the slow and reference programs, so that shuffles carry no programs."""
-    return F.sha2(F.concat(SLOW, REFERENCE), 256)
+def _program_key(row_id: str) -> Column:
+    """A narrow stand-in for the slow and reference programs, so that shuffles carry no programs.
+
+    A row that lacks a program is the same as no other row.
+    """
+    programs = F.concat(F.sha2(SLOW, 256), F.sha2(REFERENCE, 256))
+    return F.coalesce(programs, F.concat(F.lit("row "), F.col(row_id).cast("string")))
 
 
 def with_blocks(results: DataFrame, width: int = GENERATION_BLOCK) -> DataFrame:
@@ -145,7 +152,7 @@ def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "se
     extremes = _extremes() if "adjusted_runtime" in results.columns else ({}, {})
     blocks = block_carries(blocked, [row_id], BLOCK, *extremes)
     tried = blocks.filter(~F.col("carry_any")).select(row_id, F.lit(True).alias("_tried"))
-    keyed = reference.select(row_id, _program_key().alias("_key")).join(tried, row_id, "left")
+    keyed = reference.select(row_id, _program_key(row_id).alias("_key")).join(tried, row_id, "left")
     first_tried = F.min(F.when(F.col("_tried"), F.col(row_id)))
     first = keyed.groupBy("_key").agg(F.coalesce(first_tried, F.min(row_id)).alias(row_id))
     chosen = reference.drop(SLOW, REFERENCE).join(first.select(row_id), row_id, "left_semi")

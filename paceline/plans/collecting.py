@@ -48,8 +48,7 @@ def _(v):
 FROM @subs GROUP BY problem_id""",
 )
 def _(v):
-    index = collect.build_problem_index(v("subs"), chunk_rows=100)
-    by_user = index.select("problem_id", F.explode("solutions").alias("user_id", "solutions"))
+    by_user = collect.build_problem_index(v("subs"))
     totals = F.aggregate(F.map_values("solutions"), F.lit(0.0), lambda acc, record: acc + record["runtime"])
     return by_user.groupBy("problem_id").agg(
         F.countDistinct("user_id").alias("users"),
@@ -60,7 +59,7 @@ def _(v):
 
 @query("c5_flatten_problem_index", "SELECT seq, solution_id, problem_id, user_id, runtime, code FROM @subs")
 def _(v):
-    flat = collect.flatten_problem_index(collect.build_problem_index(v("subs"), chunk_rows=100))
+    flat = collect.flatten_problem_index(collect.build_problem_index(v("subs")))
     return flat.select("seq", "solution_id", "problem_id", "user_id", "runtime", "code")
 
 

@@ -43,19 +43,20 @@ def apply_settings(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over the cores by a unique key where the input has fewer files than cores.
+    """Deal rows by a unique key over as many partitions as `spark.paceline.inputPartitions` says; as they are where it is unset.
 
-    A small table is one task per row group, and stays so through every expression before the
-    first shuffle. Tables in many files are left as they are.
+    For test and bench tables that are one row group each; tables of many files need no such shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    partitions = df.sparkSession.conf.get("spark.paceline.inputPartitions", None)
+    return df.repartition(int(partitions), key) if partitions else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of `spark.checkpoint.dir`; a local one only where that is unset."""
+    """A fresh path in the shared folder of `spark.checkpoint.dir`; a local one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="paceline-")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 

@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from paceline.functions.text import listed
 from paceline.session import path_exists
 
-METADATA_SCHEMA = "submission_id string, problem_id string, user_id string"
+
+def _decoded(name: Column) -> Column:
+    """Percent escapes of a file name decoded; a plus sign stands for itself."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str, lines: bool = True) -> DataFrame:
-    """JSON lines (splittable), or with `lines=False` one JSON document per file."""
-    return spark.read.schema(schema).json(path, multiLine=not lines)
+    """JSON lines (splittable), or with `lines=False` one JSON document per file; malformed text is an error."""
+    return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
 
 
 def write_records(df: DataFrame, path: str, cleaned: bool = False, mode: str = "errorifexists") -> str:
@@ -41,8 +45,9 @@ def read_submission_metadata(spark: SparkSession, path: str) -> DataFrame:
 
     The winner is a grouped maximum with partial aggregation, so repeats of one id collapse before the shuffle.
     """
-    # The header names all columns of a file; selecting by name leaves the rest unread.
-    rows = spark.read.option("header", True).csv(path).select(
+    # The header names all columns of a file; selecting by name leaves the rest unread. Columns go by place in all
+    # files, so a file with another header than the first is an error.
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path).select(
         "submission_id", "problem_id", "user_id", _line_order().alias("_order")
     )
     complete = rows.dropna(subset=["submission_id", "problem_id", "user_id"])
@@ -55,7 +60,7 @@ def read_submission_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_problem_statements(spark: SparkSession, path: str) -> DataFrame:
     """(problem_id, instruction) of the `{problem}.html` files under a glob."""
-    name = F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/=]+)\.html(?:/[^/]*)?$", 1))
+    name = _decoded(F.regexp_extract("_metadata.file_path", r"([^/=]+)\.html(?:/[^/]*)?$", 1))
     return spark.read.text(path, wholetext=True).select(name.alias("problem_id"), F.col("value").alias("instruction"))
 
 
@@ -90,21 +95,16 @@ def read_model_outputs(spark: SparkSession, folder: str, schema: StructType | st
     """All `*.jsonl` of a folder with the file stem as `model`.
 
     The response and the code sit under keys named after the model (`<model>_resp`, `<model>`), so
-    they are looked up per row and come out as `responses` and `codes`; a single one is wrapped.
+    they are looked up per row and come out as `responses` and `codes`; a single one is wrapped. A malformed line is
+    an error.
     """
-    model = F.url_decode(F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl(?:/[^/]*)?$", 1))
+    model = _decoded(F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl(?:/[^/]*)?$", 1))
     raw = spark.read.text(f"{folder.rstrip('/')}/*.jsonl").select("value", model.alias("model"))
     keyed = raw.select(
         "model",
-        F.from_json("value", schema).alias("_record"),
-        F.from_json("value", "map<string,string>").alias("_keys"),
+        F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_record"),
+        F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("_keys"),
     )
-
-    def listed(text: Column) -> Column:
-        # Text in brackets that is no list is one answer.
-        several = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
-        return F.coalesce(several, F.when(text.isNotNull(), F.array(text)))
-
     return keyed.select(
         "model",
         "_record.*",
