@@ -126,6 +126,12 @@ def aggregate_native_timings(timings: DataFrame, sub: Sequence[str] = ("seq",))
     )
 
 
+def with_native(per_version: DataFrame, native: DataFrame, key: Sequence[str] = ("seq",)) -> DataFrame:
+    """M7: native timings beside simulator results, as `<value>_binary`; null where a version was not timed."""
+    timed = native.select(*key, *[F.col(name).alias(f"{name}_binary") for name in ("agg_runtime", "agg_stdev")])
+    return per_version.join(timed, list(key), "left")
+
+
 def pair_results(per_version: DataFrame, values: Sequence[str], pair: Sequence[str] = ("pair_id",)) -> DataFrame:
     """M7: results of both versions of a pair side by side as `<value>_v0`, `<value>_v1`."""
     wide = per_version.groupBy(*pair).pivot("version", ["v0", "v1"]).agg(*[F.first(v).alias(v) for v in values])

@@ -9,6 +9,7 @@ from paceline.functions.text import strip_cpp_comments
 from paceline.operators.collect import pair_id
 
 GROUP = ["problem_id", "user_id"]
+PARTS = ("problem_id", "src_id", "tgt_id")
 
 
 def group_fastest(submissions: DataFrame) -> DataFrame:
@@ -25,18 +26,26 @@ def restrict_to_known_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(known.select("id"), "id", "left_semi")
 
 
+def _known_parts(known: DataFrame) -> DataFrame:
+    """Problem and both solutions of known pairs; they are read off `id` only where they are no columns of their own."""
+    if set(PARTS) <= set(known.columns):
+        return known.select(*PARTS)
+    parts = F.split("id", "-")
+    unclear = F.raise_error(F.concat(F.lit("no problem and two solutions in the id "), F.col("id"))).cast("array<string>")
+    parts = F.when(F.size(parts) == 3, parts).otherwise(unclear)
+    return known.select(*[parts[i].alias(name) for i, name in enumerate(PARTS)])
+
+
 def speed_ordered_pairs(submissions: DataFrame, known: DataFrame, min_speedup: float = 1.1) -> DataFrame:
     """P1 with P2: one user's slow→fast pairs of a known id set with a speedup of at least `min_speedup`.
 
     Every result row must be in the known set, so the work starts there: each known id is
     looked up on its slow and its fast side. That costs what the known set holds, where
     pairing a group with itself would cost the square of a group. `is_best` marks a fast side
-    that is its group's fastest.
+    that is its group's fastest. `known` has problem_id, src_id and tgt_id, or `id` alone; such an id is
+    an error unless it splits into these three.
     """
-    parts = F.split("id", "-")
-    wanted = known.select("id").distinct().select(
-        "id", parts[0].alias("problem_id"), parts[1].alias("src_id"), parts[2].alias("tgt_id")
-    )
+    wanted = _known_parts(known).distinct().withColumn("id", pair_id(*PARTS))
     slow = submissions.select(
         "problem_id",
         "user_id",

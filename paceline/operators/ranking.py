@@ -9,29 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def dense_index(df: DataFrame, order_col: str, name: str, width: int = 100_000) -> DataFrame:
-    """Add the 0-based position of each row by a unique integer column.
+def dense_index(df: DataFrame, order_col: str, name: str, ranges: int = 256) -> DataFrame:
+    """Add the 0-based position of each row by a unique column.
 
-    Rows are cut into value ranges of `width`; as the column is unique, no range holds more
-    rows than that. Ranges are numbered in parallel and shifted by the running count of the
-    ranges before them, which is one row per range.
+    Rows are cut at approximate quantiles of the column, so ranges hold about equally many rows, dense values or
+    sparse. Ranges are numbered in parallel and shifted by the count of the rows before them, a table of at most
+    `ranges` rows. The cuts only place the work; they come to the driver so that every use sees the same ones.
     """
-    bucketed = df.withColumn("_bucket", F.col(order_col) - F.pmod(F.col(order_col), F.lit(width)))
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = df.agg(F.percentile_approx(order_col, shares, 10 * ranges)).first()[0] if shares else None
+    position = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order_col))) if cuts else F.lit(0)
+    ranged = df.withColumn("_range", position)
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy("_bucket")
+        ranged.groupBy("_range")
         .agg(F.count("*").alias("_rows"))
-        .withColumn(
-            "_offset",
-            F.coalesce(F.sum("_rows").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .drop("_rows")
+        .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
-    within = F.row_number().over(W.partitionBy("_bucket").orderBy(order_col)) - 1
-    return bucketed.join(offsets, "_bucket").withColumn(name, F.col("_offset") + within).drop("_bucket", "_offset")
+    within = F.row_number().over(W.partitionBy("_range").orderBy(order_col)) - 1
+    return ranged.join(offsets, "_range").withColumn(name, F.col("_offset") + within).drop("_range", "_offset")
 
 
 def top_k_per_group(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str, salt_on: str, salts: int = 1024
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int | Column, name: str, salt_on: str, salts: int = 1024
 ) -> DataFrame:
     """Rows ranked 1..k inside each group, the rank in column `name`.
 

@@ -30,6 +30,7 @@ KEY_COLUMNS = ("problem_id", "tests", "src_id", "tgt_id", "fastest_runtime", "fa
 GENERATION_BLOCK = 1024
 BLOCK = "gen_block"
 FAILED = {"gen": 0, "agg_runtime": INFINITY, "adjusted_runtime": INFINITY, "accuracy": 0.0}
+TEST_MAPS = ("tc2time", "tc2stats")
 KEY_SUFFIXES = ("_compilation", "_accuracy", "_runtime", "_tc2time")
 
 
@@ -52,17 +53,20 @@ def generation_arity(df: DataFrame, generations: str) -> DataFrame:
 
 
 def expand_generations(df: DataFrame, generations: str, arity: int) -> DataFrame:
-    """Columns `<generations>_0 …`, null where a row has fewer."""
+    """Columns `<generations>_0 …` for the declared number of generations, null where a row has fewer."""
     return df.select("*", *[F.get(generations, F.lit(i)).alias(f"{generations}_{i}") for i in range(arity)])
 
 
-def explode_generations(df: DataFrame, generations: str, pad: bool = False) -> DataFrame:
-    """E2 in the long form: one row per generation; padded with nulls to the arity if asked."""
-    if not pad:
+def explode_generations(df: DataFrame, generations: str, pad: int | None = None) -> DataFrame:
+    """E2 in the long form: one row per generation; padded with nulls to a declared number of them if asked.
+
+    A row with more than `pad` generations keeps them all.
+    """
+    if pad is None:
         return df.select("*", F.posexplode(generations).alias("gen", "code")).drop(generations)
-    arity = generation_arity(df, generations).scalar()
+    wanted = F.greatest(F.coalesce(F.size(generations), F.lit(0)), F.lit(pad))
     return (
-        df.withColumn("gen", F.explode(F.when(arity > 0, F.sequence(F.lit(0), arity - 1))))
+        df.withColumn("gen", F.explode(F.when(wanted > 0, F.sequence(F.lit(0), wanted - 1))))
         .withColumn("code", F.get(generations, F.col("gen")))
         .drop(generations)
     )
@@ -105,7 +109,7 @@ def unmelt_results(
     values: Sequence[str] = ("compilation", "accuracy", "agg_runtime"),
     keys: Sequence[str] = ("src_id", "tgt_id"),
 ) -> DataFrame:
-    """One row per (src, tgt) with `<code_type>_<value>` columns."""
+    """One row per (src, tgt) with `<code_type>_<value>` columns; name `tc2time` or `tc2stats` too to carry them."""
     wide = (
         long.groupBy(*keys)
         .pivot("code_type", list(code_types))
@@ -160,9 +164,11 @@ def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "se
         blocked.withColumn("_measured", F.lit(True)), [row_id, BLOCK], "left"
     )
     missing = F.col("_measured").isNull()
-    fills = {name: value for name, value in FAILED.items() if name in results.columns}
+    fills = {name: F.lit(value) for name, value in FAILED.items() if name in results.columns}
+    # No test has a time or statistics: an empty map of the type at hand.
+    fills |= {name: F.create_map().cast(results.schema[name].dataType) for name in TEST_MAPS if name in results.columns}
     return (
-        completed.withColumns({name: F.when(missing, F.lit(value)).otherwise(F.col(name)) for name, value in fills.items()})
+        completed.withColumns({name: F.when(missing, value).otherwise(F.col(name)) for name, value in fills.items()})
         .withColumn(BLOCK, F.coalesce(F.col(BLOCK), F.lit(0)))
         .drop("_measured")
     )

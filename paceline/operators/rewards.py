@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions import rewards as columns
 from paceline.functions.numbers import INFINITY
-from paceline.functions.text import extract_last_code
+from paceline.functions.text import extract_last_code, render_template
+from paceline.operators.generation import ModelLoader, batch_generate
+
+
+# What `extract_last_code` gives for an answer without a program.
+NO_CODE = "No Code"
 
 
 def length_reward(
@@ -72,10 +78,60 @@ def speedup_reward(results: DataFrame, key: str = "completion_id") -> DataFrame:
     )
 
 
+def optimizer_programs(
+    completions: DataFrame,
+    optimizers: Mapping[str, ModelLoader],
+    template: str,
+    key: str = "seq",
+    suggestion: str = "completion",
+    source: str = "org_code",
+    batch: int = 100,
+) -> DataFrame:
+    """The program each optimizer writes for each completion: (key, `optimizer`, `code`).
+
+    The source program and then the suggestion fill the template's `src_code` and `suggestion` holes; the last cpp block
+    of the answer is the program, `No Code` without one.
+    """
+    holes = {"src_code": source, "suggestion": suggestion}
+    asked = completions.select(key, render_template(template, holes).alias("prompt"))
+    written = [
+        batch_generate(asked, loader, "_optimizer", batch, extract=False).select(
+            key, F.lit(name).alias("optimizer"), extract_last_code("_optimizer_resp", "cpp", NO_CODE).alias("code")
+        )
+        for name, loader in optimizers.items()
+    ]
+    return reduce(DataFrame.unionByName, written)
+
+
+def optimizer_reward(
+    completions: DataFrame, programs: DataFrame, measurements: DataFrame, baselines: DataFrame, key: str = "seq"
+) -> DataFrame:
+    """The reward of completions by what optimizers make of them: (key, `mean_speedup`, `cos_optimizer_code`).
+
+    `completions` holds the stored `accuracy` and `agg_runtime` of each source program, `baselines` measured ones for
+    where they are missing, `measurements` (key, `optimizer`, `accuracy`, `agg_runtime`) those of `programs`. What was
+    never measured, or is no program, failed. Programs do not take part in a shuffle.
+    """
+    sources = baseline_or_measure(completions.select(key, "accuracy", "agg_runtime"), baselines, [key]).select(
+        key, F.coalesce("agg_runtime", F.lit(INFINITY)).alias("src_runtime")
+    )
+    targets = measurements.select(
+        key, "optimizer", F.col("agg_runtime").alias("tgt_runtime"), F.col("accuracy").alias("tgt_acc")
+    )
+    results = (
+        programs.select(key, "optimizer", (F.col("code") == NO_CODE).alias("_none"))
+        .join(targets, [key, "optimizer"], "left")
+        .join(sources, key)
+        .withColumn("tgt_runtime", F.coalesce("tgt_runtime", F.lit(INFINITY)))
+        .withColumn("tgt_acc", F.when(F.col("_none"), F.lit(0.0)).otherwise(F.coalesce("tgt_acc", F.lit(0.0))))
+    )
+    return speedup_reward(results, key).withColumnRenamed("reward", "cos_optimizer_code")
+
+
 RewardBuilder = Callable[..., Column]
 
 # Every reward that is an expression over the completion row. `length`, `pie_code` and
-# `cos_optimizer_code` need other rows: their operators add a column of that name beforehand.
+# `cos_optimizer_code` need other rows: `score_completions` adds a column of that name beforehand.
 REGISTRY: dict[str, RewardBuilder] = {
     "accuracy": lambda **_: columns.answer_match("completion", "gold"),
     "format": lambda **_: columns.format_reward("completion"),
@@ -96,8 +152,15 @@ def score_completions(
     names: Sequence[str],
     weights: Sequence[float] | None = None,
     options: Mapping[str, Mapping] | None = None,
+    code_scores: DataFrame | None = None,
+    optimizer_rewards: DataFrame | None = None,
+    key: str = "seq",
 ) -> DataFrame:
-    """One `reward_<name>` column per reward and their weighted sum `reward`; a null reward counts as 0."""
+    """One `reward_<name>` column per reward and their weighted sum `reward`; a null reward counts as 0.
+
+    `pie_code` needs `code_scores` (key, `score`) and `cos_optimizer_code` the rows of `optimizer_reward`, unless `df` has
+    a column of that name. A completion that is missing there has a `pie_code` of 0 and no optimizer reward.
+    """
     unknown = [name for name in names if name not in REGISTRY]
     if unknown:
         raise KeyError(f"unknown rewards: {', '.join(unknown)}")
@@ -106,6 +169,15 @@ def score_completions(
         raise ValueError(f"{len(names)} rewards but {len(weights)} weights")
     if "length" in names and "length" not in df.columns:
         df = length_reward(df)
+    if "pie_code" in names and "pie_code" not in df.columns:
+        if code_scores is None:
+            raise ValueError("the reward pie_code needs code_scores")
+        scores = code_scores.select(key, F.col("score").alias("pie_code"))
+        df = df.join(scores, key, "left").withColumn("pie_code", F.coalesce("pie_code", F.lit(0.0)))
+    if "cos_optimizer_code" in names and "cos_optimizer_code" not in df.columns:
+        if optimizer_rewards is None:
+            raise ValueError("the reward cos_optimizer_code needs optimizer_rewards")
+        df = df.join(optimizer_rewards.select(key, "cos_optimizer_code"), key, "left")
     options = options or {}
     scored = df.withColumns({f"reward_{name}": REGISTRY[name](**options.get(name, {})) for name in names})
     parts = [F.coalesce(F.col(f"reward_{name}"), F.lit(0.0)) * weight for name, weight in zip(names, weights)]

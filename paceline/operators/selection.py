@@ -113,16 +113,27 @@ def balanced_round_robin(
 ) -> DataFrame:
     """H9: n rows spread over problems: each problem's best row, then each second best, and so on.
 
-    The round that no longer fits whole is filled at random. A round holds at least one row, so
-    ranks past n are never needed and `top_k_per_group` bounds every problem; the running total
-    over rounds is a table of at most n rows.
+    The round that no longer fits whole is filled at random. How deep the rounds go follows from the problems' sizes, so
+    each problem is ranked to that depth only, on its ids and scores; the winners' other columns join at the end. Ids
+    are unique.
     """
-    ranked = top_k_per_group(df, ["problem_id"], [F.desc("score"), F.col(id_col)], n, "round", id_col)
-    rounds = ranked.groupBy("round").agg(F.count("*").alias("_size"))
-    running = F.sum("_size").over(W.orderBy("round").rowsBetween(W.unboundedPreceding, -1))
-    rounds = rounds.withColumn("_before", F.coalesce(running, F.lit(0))).filter(F.col("_before") < n).drop("_size")
+    rounds = _rounds(df, n)
+    depth = rounds.agg(F.coalesce(F.max("round"), F.lit(0))).scalar()
+    narrow = df.select("problem_id", "score", id_col)
+    ranked = top_k_per_group(narrow, ["problem_id"], [F.desc("score"), F.col(id_col)], depth, "round", id_col)
     shuffle = order or random_order(id_col, seed)
-    return ranked.join(rounds, "round").orderBy("round", *shuffle).limit(n).drop("_before")
+    return df.join(ranked.select(id_col, "round"), id_col).orderBy("round", *shuffle).limit(n)
+
+
+def _rounds(df: DataFrame, n: int) -> DataFrame:
+    """The rounds that n rows need: `round` and the rows of the rounds before it, from a table of at most n sizes."""
+    sizes = df.groupBy("problem_id").agg(F.least(F.count("*"), F.lit(n)).alias("round"))
+    counts = sizes.groupBy("round").agg(F.count("*").alias("_problems"))
+    every = df.sparkSession.range(1, n + 1).select(F.col("id").alias("round"))
+    # A problem takes part in all rounds up to its size.
+    taking = every.join(counts, "round", "left").withColumn("_rows", F.sum("_problems").over(W.orderBy(F.desc("round"))))
+    before = F.sum("_rows").over(W.orderBy("round").rowsBetween(W.unboundedPreceding, -1))
+    return taking.filter("_rows > 0").withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < n).select("round", "_before")
 
 
 def speedup_bands(df: DataFrame, speedup: str = "speedup", bands: Sequence[float] = SPEEDUP_BANDS) -> DataFrame:

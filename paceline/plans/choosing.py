@@ -10,7 +10,7 @@ from paceline.functions.numbers import SPEEDUP_BANDS
 from paceline.functions.text import SCORED_CATEGORIES, category_names
 from paceline.operators import assembly, collect, generation, selection
 from paceline.plans.extraction import MARKER, NAMES, RENDERED, TEMPLATE
-from paceline.plans.registry import query, r6
+from paceline.plans.registry import joined, query, r6
 from paceline.session import scratch_path
 from paceline.streaming.incremental import incremental_generation
 
@@ -234,12 +234,12 @@ TESTCASES = """SELECT problem_id, @series(1, count(*)) AS testcases FROM @subs G
 
 @query(
     "a1_attach_testcases",
-    f"""SELECT e.id, t.problem_id, CAST(@size(t.testcases) AS BIGINT) AS testcases
+    f"""SELECT e.id, t.problem_id, array_to_string(t.testcases, ',') AS testcases
 FROM ({EXAMPLES}) e JOIN ({TESTCASES}) t ON t.problem_id = split_part(e.id, '-', 1)""",
 )
 def _(v):
     attached = assembly.attach_testcases(v.sql(EXAMPLES), v.sql(TESTCASES))
-    return attached.select("id", "problem_id", F.size("testcases").cast("bigint").alias("testcases"))
+    return attached.select("id", "problem_id", joined("testcases").alias("testcases"))
 
 
 @query(
@@ -261,26 +261,20 @@ def _(v):
 
 
 TOKENS = """SELECT l_orderkey AS seq, l_linenumber AS line, l_partkey AS part,
-  @series(1, CAST(l_quantity AS BIGINT)) AS prompt_ids, @series(1, CAST(l_quantity AS BIGINT) + l_linenumber * 5) AS full_ids FROM @lineitem"""
+  @series(1, CAST(l_quantity AS BIGINT)) AS prompt_ids,
+  @series(1, CAST(l_quantity AS BIGINT)) || @series(CAST(1001 AS BIGINT), CAST(1000 + l_linenumber * 5 AS BIGINT)) AS full_ids FROM @lineitem"""
 
 
 @query(
     "a4_mask_prompt_labels",
-    """SELECT l_orderkey AS seq, l_linenumber AS line, l_partkey AS part,
-  least(CAST(l_quantity AS BIGINT) + l_linenumber * 5, 40) AS tokens,
-  least(CAST(l_quantity AS BIGINT), 40) AS masked,
-  CASE WHEN l_quantity >= 40 THEN -100 ELSE least(CAST(l_quantity AS BIGINT) + l_linenumber * 5, 40) END AS last_label FROM @lineitem""",
+    f"""SELECT seq, line, part, array_to_string(full_ids[1:40], ',') AS input_ids,
+  array_to_string(list_transform(full_ids[1:40], lambda x: 1), ',') AS attention_mask,
+  array_to_string((list_transform(prompt_ids, lambda x: CAST(-100 AS BIGINT)) || full_ids[len(prompt_ids) + 1:])[1:40], ',') AS labels
+FROM ({TOKENS}) t""",
 )
 def _(v):
     masked = assembly.mask_prompt_labels(v.sql(TOKENS), "prompt_ids", "full_ids", 40)
-    return masked.select(
-        "seq",
-        "line",
-        "part",
-        F.size("input_ids").cast("bigint").alias("tokens"),
-        F.size(F.filter("labels", lambda label: label == assembly.IGNORED_LABEL)).cast("bigint").alias("masked"),
-        F.element_at("labels", -1).alias("last_label"),
-    )
+    return masked.select("seq", "line", "part", *[joined(name).alias(name) for name in ("input_ids", "attention_mask", "labels")])
 
 
 @query(
@@ -290,17 +284,10 @@ n AS (SELECT DISTINCT x.doc_id, x.name FROM ({NAMES}) x JOIN b ON b.doc_id = x.d
 f AS (SELECT name, count(*) AS frequency FROM n GROUP BY name),
 s AS (SELECT b.doc_id, b.problem_id, coalesce(avg((SELECT count(*) FROM b) / CAST(f.frequency AS DOUBLE)), CAST(-100 AS DOUBLE)) AS score
   FROM b LEFT JOIN n ON n.doc_id = b.doc_id LEFT JOIN f ON f.name = n.name GROUP BY b.doc_id, b.problem_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, doc_id) AS place FROM s),
-c AS (SELECT problem_id, count(*) AS available FROM s GROUP BY problem_id),
-w AS (SELECT place, sum(count(*)) OVER (ORDER BY place) AS total FROM r GROUP BY place)
-SELECT r.problem_id, count(*) AS chosen FROM r JOIN w ON w.place = r.place WHERE w.total <= {SAMPLE} GROUP BY r.problem_id""",
+r AS (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, doc_id) AS place FROM s)
+SELECT doc_id, problem_id, CAST(place AS BIGINT) AS "round", round(score, 6) AS score FROM r ORDER BY place, {SHUFFLE_SQL} LIMIT {SAMPLE}""",
 )
 def _(v):
-    # Whole rounds only: which rows fill the last, partial round is a matter of the shuffle key.
     scored = selection.rarity_score(selection.best_only(_categorised(v)))
-    chosen = selection.balanced_round_robin(scored, SAMPLE, "doc_id")
-    sizes = chosen.groupBy("round").agg(F.count("*").alias("taken"))
-    problems = scored.groupBy("problem_id").agg(F.count("*").alias("rows"))
-    full = problems.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    whole = sizes.join(full.groupBy("round").agg(F.count("*").alias("size")), "round").filter("taken = size")
-    return chosen.join(whole, "round", "left_semi").groupBy("problem_id").agg(F.count("*").alias("chosen"))
+    chosen = selection.balanced_round_robin(scored, SAMPLE, "doc_id", order=shuffle_key())
+    return chosen.select("doc_id", "problem_id", F.col("round").cast("bigint").alias("round"), r6("score").alias("score"))

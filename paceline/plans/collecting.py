@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paceline.operators import collect, pairs
-from paceline.plans.registry import query, r6
+from paceline.plans.registry import joined, query
 
 SOLUTIONS = """SELECT solution_id, problem_id, runtime, code FROM (
   SELECT *, row_number() OVER (PARTITION BY solution_id ORDER BY write_no DESC) AS rn FROM (
@@ -44,16 +44,13 @@ def _(v):
 
 @query(
     "c4_build_problem_index",
-    """SELECT problem_id, count(DISTINCT user_id) AS users, count(*) AS solutions, round(sum(runtime), 6) AS runtime
-FROM @subs GROUP BY problem_id""",
+    """SELECT problem_id, user_id, solution_id AS entry, problem_id AS record_problem, runtime, code, seq FROM @subs""",
 )
 def _(v):
-    by_user = collect.build_problem_index(v("subs"))
-    totals = F.aggregate(F.map_values("solutions"), F.lit(0.0), lambda acc, record: acc + record["runtime"])
-    return by_user.groupBy("problem_id").agg(
-        F.countDistinct("user_id").alias("users"),
-        F.sum(F.size("solutions").cast("bigint")).alias("solutions"),
-        r6(F.sum(totals)).alias("runtime"),
+    # Every entry of every map; the bucket is a hash that the other engine does not have.
+    entries = collect.build_problem_index(v("subs")).select("problem_id", "user_id", F.explode("solutions").alias("entry", "record"))
+    return entries.select(
+        "problem_id", "user_id", "entry", F.col("record.problem_id").alias("record_problem"), "record.runtime", "record.code", "record.seq"
     )
 
 
@@ -98,15 +95,14 @@ def _(v):
 @query(
     "c9_clean_test_set",
     """SELECT 'pie_test_' || CAST(row_number() OVER (ORDER BY seq) - 1 AS STRING) AS id, problem_id, src_id, tgt_id,
-  src_code, tgt_code, fastest_code, CAST(least(@size(tests), 20) AS BIGINT) AS n_tests, tests[least(@size(tests), 20)] AS last_test
+  src_code, tgt_code, fastest_code, array_to_string(tests[1:20], ',') AS tests
 FROM @test_pairs""",
 )
 def _(v):
     cleaned = collect.clean_test_set(v("test_pairs"))
     return cleaned.select(
         "id", "problem_id", "src_id", "tgt_id", "src_code", "tgt_code", "fastest_code",
-        F.size("tests").cast("bigint").alias("n_tests"),
-        F.element_at("tests", -1).alias("last_test"),
+        joined("tests").alias("tests"),
     )
 
 
@@ -143,7 +139,7 @@ def _(v):
 )
 def _(v):
     fastest = v("eval_rows").select(collect.pair_id("problem_id", "src_id", "tgt_id").alias("id"))
-    return pairs.restrict_to_known_pairs(v("known_pairs"), fastest)
+    return pairs.restrict_to_known_pairs(v("known_pairs").select("id", "seq"), fastest)
 
 
 @query("p3_best_solution_per_problem", BEST)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paceline.operators import measurements
 from paceline.plans.measuring import STATS_VALUES
 from paceline.plans.registry import query
-from paceline.plans.reporting import best_at_k_report
+from paceline.plans.reporting import REPORT, best_at_k_report
 from paceline.session import scratch_path
 from paceline.sources import files
 
@@ -99,17 +99,20 @@ def _(v):
 
 @query(
     "s8_write_report",
-    """SELECT count(*) AS programs, CAST(count(DISTINCT problem_id) AS BIGINT) AS problems, round(sum(src_runtime), 4) AS runtime FROM @eval_rows""",
+    f"""SELECT r.*, t.rows_written, t.problems, t.runtime FROM ({REPORT}) r,
+  (SELECT count(*) AS rows_written, count(DISTINCT problem_id) AS problems, round(sum(src_runtime), 4) AS runtime FROM @eval_rows) t""",
 )
 def _(v):
     path = scratch_path(v.spark, "report")
-    files.write_report(best_at_k_report(v), v("eval_rows"), path)
+    report = best_at_k_report(v)
+    files.write_report(report, v("eval_rows"), path)
     # The row file must hold every row the summary was made from.
     rows = v.spark.read.schema("problem_id string, src_runtime double").json(f"{path}/rows")
-    return rows.agg(
-        F.count("*").alias("programs"),
-        F.countDistinct("problem_id").alias("problems"),
-        F.round(F.sum("src_runtime"), 4).alias("runtime"),
+    return v.spark.read.schema(report.schema).csv(f"{path}/summary", header=True).select(
+        "*",
+        rows.agg(F.count("*")).scalar().alias("rows_written"),
+        rows.agg(F.countDistinct("problem_id")).scalar().alias("problems"),
+        rows.agg(F.round(F.sum("src_runtime"), 4)).scalar().alias("runtime"),
     )
 
 

@@ -98,25 +98,24 @@ def _(v):
     )
 
 
+# Simulator and native values of a version.
+PAIRED = ["accuracy", "agg_runtime", "agg_runtime_binary", "agg_stdev_binary"]
+
+
 @query(
     "m7_pair_results",
-    f"""SELECT seq // 2 AS pair_id, max(accuracy) FILTER (WHERE seq % 2 = 0) AS accuracy_v0, max(accuracy) FILTER (WHERE seq % 2 = 1) AS accuracy_v1,
-  max(agg_runtime) FILTER (WHERE seq % 2 = 0) AS agg_runtime_v0, max(agg_runtime) FILTER (WHERE seq % 2 = 1) AS agg_runtime_v1
-FROM (SELECT a.seq, round(a.accuracy, 6) AS accuracy, round(r.agg_runtime, 6) AS agg_runtime
-  FROM ({ACCURACY}) a JOIN ({RUNTIME}) r ON r.seq = a.seq) x GROUP BY seq // 2""",
+    f"""SELECT seq // 2 AS pair_id, {", ".join(f"max({name}) FILTER (WHERE seq % 2 = {i}) AS {name}_v{i}" for name in PAIRED for i in (0, 1))}
+FROM (SELECT a.seq, round(a.accuracy, 6) AS accuracy, round(r.agg_runtime, 6) AS agg_runtime, n.agg_runtime AS agg_runtime_binary, n.agg_stdev AS agg_stdev_binary
+  FROM ({ACCURACY}) a JOIN ({RUNTIME}) r ON r.seq = a.seq LEFT JOIN ({NATIVE}) n ON n.seq = a.seq) x GROUP BY seq // 2""",
 )
 def _(v):
-    both = (
-        _accuracy(v)
-        .join(_runtime(v), "seq")
-        .select(
-            F.floor(F.col("seq") / 2).alias("pair_id"),
-            F.when(F.col("seq") % 2 == 0, "v0").otherwise("v1").alias("version"),
-            r6("accuracy").alias("accuracy"),
-            r6("agg_runtime").alias("agg_runtime"),
-        )
+    native = measurements.aggregate_native_timings(v("native_times"))
+    both = measurements.with_native(_accuracy(v).join(_runtime(v), "seq"), native).select(
+        F.floor(F.col("seq") / 2).alias("pair_id"),
+        F.when(F.col("seq") % 2 == 0, "v0").otherwise("v1").alias("version"),
+        *[r6(name).alias(name) for name in PAIRED],
     )
-    return measurements.pair_results(both, ["accuracy", "agg_runtime"])
+    return measurements.pair_results(both, PAIRED)
 
 
 @query(
@@ -260,10 +259,10 @@ def _(v):
     return v("completions").select("seq", r6(reward_columns.cosine_scaled_reward("completion", "is_correct")).alias("reward"))
 
 
-REPETITION = r"""SELECT seq, CASE WHEN len(w) < 3 THEN 0 ELSE
+_REPETITION = r"""SELECT seq, CASE WHEN len(w) < 3 THEN 0 ELSE
   len(list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) / CAST(len(w) - 2 AS DOUBLE) - 1 END AS reward
-FROM (SELECT seq, regexp_split_to_array(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+') AS w FROM
-  (SELECT doc_id AS seq, text FROM @documents) d) x"""
+FROM (SELECT seq, regexp_split_to_array(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+') AS w FROM ({}) d) x"""
+REPETITION = _REPETITION.format("SELECT doc_id AS seq, text FROM @documents")
 
 
 @query("r7_repetition_penalty_reward", f"SELECT seq, round(CAST(reward AS DOUBLE), 6) AS reward FROM ({REPETITION}) r")
@@ -336,3 +335,84 @@ REWARD_WEIGHTS = [1.0, 0.5, 0.5, 1.0, 0.25, 2.0, 1.5]
 def _(v):
     scored = rewards.score_completions(v("completions"), REWARD_NAMES, REWARD_WEIGHTS)
     return scored.select("seq", "reward_accuracy", F.round("reward", 5).alias("reward"))
+
+
+# The reward of what two optimizers make of each completion. Stored baselines have gaps, as have the measured ones.
+OPTIMIZER_TEMPLATE = "Improve:\n```cpp\n{{  src_code  }}\n```\nHow: {{  suggestion  }}"
+SOURCES = """SELECT batch_id, seq, completion, 'int src; // ' || role AS org_code, CASE WHEN seq % 2 = 0 THEN CAST(1 AS DOUBLE) END AS accuracy,
+  CASE WHEN seq % 2 = 0 THEN CAST(60 AS DOUBLE) END AS agg_runtime FROM @completions"""
+SOURCES_MEASURED = "SELECT seq, CAST(1 AS DOUBLE) AS accuracy, CAST(50 AS DOUBLE) AS agg_runtime FROM @completions WHERE role <> 'user'"
+PROGRAMS_MEASURED = """SELECT c.seq, CASE g.gen WHEN 0 THEN 'alpha' ELSE 'beta' END AS optimizer, g.accuracy,
+  CASE WHEN g.code IS NULL THEN CAST('Infinity' AS DOUBLE) ELSE g.agg_runtime END AS agg_runtime
+FROM @completions c JOIN @gens g ON g.seq = c.batch_id WHERE g.gen < 2"""
+
+
+def stub_optimizers():
+    """The first answers with its prompt, the second without a program in every other case."""
+    def alpha():
+        return lambda prompts: [f"```cpp\n{prompt}\n```" for prompt in prompts]
+
+    def beta():
+        return lambda prompts: ["none" if "Step 1" in prompt else "```cpp\n1\n```\n```cpp\n2\n```" for prompt in prompts]
+
+    return {"alpha": alpha, "beta": beta}
+
+
+def _programs(v):
+    return rewards.optimizer_programs(v.sql(SOURCES), stub_optimizers(), OPTIMIZER_TEMPLATE)
+
+
+_PROMPT = "'Improve:' || chr(10) || '```cpp' || chr(10) || org_code || chr(10) || '```' || chr(10) || 'How: ' || completion"
+WRITTEN = rf"""SELECT seq, 'alpha' AS optimizer, coalesce(regexp_extract_all('```cpp' || chr(10) || {_PROMPT} || chr(10) || '```', '(?s)```cpp\n(.*?)```', 1)[-1], 'No Code') AS code
+FROM ({SOURCES}) s UNION ALL SELECT seq, 'beta', CASE WHEN strpos(completion, 'Step 1') > 0 THEN 'No Code' ELSE '2' || chr(10) END FROM ({SOURCES}) s"""
+
+
+@query("r_optimizer_programs", WRITTEN)
+def _(v):
+    return _programs(v)
+
+
+OPTIMIZED = f"""SELECT seq, m AS mean_speedup, CAST(CASE WHEN m = 0 THEN -100 WHEN m < 1 THEN -1 ELSE m * m END AS DOUBLE) AS cos_optimizer_code FROM (
+  SELECT w.seq, avg(CASE WHEN w.code = 'No Code' OR t.seq IS NULL OR t.accuracy < 1 OR t.agg_runtime = {_INF} OR coalesce(s.agg_runtime, b.agg_runtime) IS NULL THEN 0
+    ELSE coalesce(s.agg_runtime, b.agg_runtime) / t.agg_runtime END) AS m
+  FROM ({WRITTEN}) w JOIN ({SOURCES}) s ON s.seq = w.seq LEFT JOIN ({SOURCES_MEASURED}) b ON b.seq = w.seq
+  LEFT JOIN ({PROGRAMS_MEASURED}) t ON t.seq = w.seq AND t.optimizer = w.optimizer GROUP BY w.seq) x"""
+ALL_REWARDS = {
+    "accuracy": 1.0, "format": 0.5, "code_format": 0.5, "tag_count": 1.0, "reasoning_steps": 0.25, "cosine": 2.0, "repetition_penalty": 0.5,
+    "soft_overlong_punishment": 1.0, "length": 1.5, "pie_code": 1.0, "cos_optimizer_code": 0.1,
+}
+_COMPLETION_TOKENS = _N_TOKENS.replace("text", "completion")
+REWARD_SQL = {
+    "accuracy": ANSWER,
+    "format": _flag_sql(FORMAT),
+    "code_format": _flag_sql(CODE_FORMAT),
+    "tag_count": TAGS,
+    "reasoning_steps": STEPS,
+    "cosine": COSINE,
+    "repetition_penalty": "p.reward",
+    "soft_overlong_punishment": f"CASE WHEN {_COMPLETION_TOKENS} <= 20 THEN 0 WHEN {_COMPLETION_TOKENS} <= 50 THEN (20 - {_COMPLETION_TOKENS}) / CAST(30 AS DOUBLE) ELSE -1 END",
+    "length": "l.reward",
+    "pie_code": "coalesce(s.score, 0)",
+    "cos_optimizer_code": "o.cos_optimizer_code",
+}
+
+
+@query(
+    "r_optimizer_reward",
+    f"""SELECT seq, mean_speedup, {", ".join(f"round(reward_{name}, 5) AS reward_{name}" for name in ALL_REWARDS)},
+  round({" + ".join(f"{weight} * coalesce(reward_{name}, 0)" for name, weight in ALL_REWARDS.items())}, 4) AS reward FROM (
+  SELECT c.seq, round(o.mean_speedup, 5) AS mean_speedup, {", ".join(f"CAST({sql} AS DOUBLE) AS reward_{name}" for name, sql in REWARD_SQL.items())}
+  FROM @completions c JOIN ({LENGTH}) l ON l.seq = c.seq JOIN ({_REPETITION.format("SELECT seq, completion AS text FROM @completions")}) p ON p.seq = c.seq
+  LEFT JOIN ({SCORES}) s ON s.seq = c.seq JOIN ({OPTIMIZED}) o ON o.seq = c.seq) x""",
+)
+def _(v):
+    sources = v.sql(SOURCES)
+    rewarded = rewards.optimizer_reward(sources, _programs(v), v.sql(PROGRAMS_MEASURED), v.sql(SOURCES_MEASURED))
+    rows = v("completions").withColumn("n_tokens", F.size(words("completion")))
+    options = {"soft_overlong_punishment": {"max_length": 50, "cache": 30}}
+    scored = rewards.score_completions(
+        rows, list(ALL_REWARDS), list(ALL_REWARDS.values()), options, code_scores=_scores(v), optimizer_rewards=rewarded
+    )
+    both = scored.join(rewarded.select("seq", "mean_speedup"), "seq")
+    named = [F.round(f"reward_{name}", 5).alias(f"reward_{name}") for name in ALL_REWARDS]
+    return both.select("seq", F.round("mean_speedup", 5).alias("mean_speedup"), *named, F.round("reward", 4).alias("reward"))

@@ -28,3 +28,8 @@ def query(name: str, sql: str | None = None):
 def r6(value: Column | str) -> Column:
     """Six digits, for sums whose order differs between engines."""
     return F.round(value, 6)
+
+
+def joined(values: Column | str) -> Column:
+    """All elements of an array as one text, which both engines write alike; a null one is `null`."""
+    return F.array_join(F.col(values).cast("array<string>") if isinstance(values, str) else values.cast("array<string>"), ",", "null")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.numbers import REPORT_THRESHOLDS, threshold_name
 from paceline.operators import report
-from paceline.plans.registry import query, r6
+from paceline.plans.registry import joined, query, r6
 
 _INF = "CAST('Infinity' AS DOUBLE)"
 
@@ -28,28 +28,23 @@ def _generation_arrays(v):
     return v("gens").groupBy("seq").agg(F.transform(ordered, lambda g: g["code"]).alias("model"))
 
 
-@query(
-    "e2_expand_generations",
-    """SELECT s.seq, CAST(a.gen AS BIGINT) AS gen, g.code FROM (SELECT DISTINCT seq FROM @gens) s
-JOIN (SELECT unnest(generate_series(0, (SELECT max(gen) FROM @gens))) AS gen) a ON true
-LEFT JOIN @gens g ON g.seq = s.seq AND g.gen = a.gen""",
-)
+@query("e2_expand_generations", "SELECT seq, gen, code FROM @gens")
 def _(v):
-    long = report.explode_generations(_generation_arrays(v), "model", pad=True)
+    long = report.explode_generations(_generation_arrays(v), "model")
     return long.select("seq", F.col("gen").cast("bigint").alias("gen"), "code")
 
 
-@query(
-    "e2_expand_generations_wide",
-    """SELECT seq, max(code) FILTER (WHERE gen = 0) AS model_0, max(code) FILTER (WHERE gen = 1) AS model_1,
-  max(code) FILTER (WHERE gen = 2) AS model_2, count(code) AS programs FROM @gens GROUP BY seq""",
-)
+# The wide form has a declared number of columns: an order has at most so many lines.
+GENERATIONS = 7
+
+
+def _wide_sql(value: str, name: str) -> str:
+    return ", ".join(f"max({value}) FILTER (WHERE gen = {i}) AS {name.format(i)}" for i in range(GENERATIONS))
+
+
+@query("e2_expand_generations_wide", f"""SELECT seq, {_wide_sql("code", "model_{}")} FROM @gens GROUP BY seq""")
 def _(v):
-    arrays = _generation_arrays(v)
-    arity = report.generation_arity(arrays, "model").first()["arity"]
-    wide = report.expand_generations(arrays, "model", max(arity, 3))
-    present = [F.when(F.col(f"model_{i}").isNotNull(), 1).otherwise(0) for i in range(max(arity, 3))]
-    return wide.select("seq", "model_0", "model_1", "model_2", sum(present[1:], present[0]).cast("bigint").alias("programs"))
+    return report.expand_generations(_generation_arrays(v), "model", GENERATIONS).drop("model")
 
 
 MELTED = """SELECT seq, 'src_code' AS code_type, src_code AS code FROM @programs
@@ -77,37 +72,39 @@ def _(v):
     return report.restore_baseline_rows(measured, set_aside).select("seq", "code_type", "measured")
 
 
-@query("e5_order_tests", "SELECT seq, tests[len(tests)] AS first_test, CAST(len(tests) AS BIGINT) AS n_tests FROM @test_pairs")
+@query("e5_order_tests", "SELECT seq, array_to_string(list_reverse_sort(tests), ',') AS tests FROM @test_pairs")
 def _(v):
-    ordered = report.order_tests(v("test_pairs"))
-    return ordered.select("seq", F.col("tests")[0].alias("first_test"), F.size("tests").cast("bigint").alias("n_tests"))
+    return report.order_tests(v("test_pairs")).select("seq", joined("tests").alias("tests"))
+
+
+def with_test_times(results):
+    """Results with the times of two tests each."""
+    half = F.col("agg_runtime") / 2
+    return results.withColumn("tc2time", F.create_map(F.lit("1"), half, F.lit("2"), half + 1))
 
 
 @query(
     "e6_join_measurements",
-    """SELECT g.seq, g.gen, g.code, m.compilation, m.accuracy, m.agg_runtime FROM @gens g
-LEFT JOIN @measured m ON m.seq = g.seq AND m.gen = g.gen""",
+    """SELECT g.seq, g.gen, g.code, m.compilation, m.accuracy, m.agg_runtime, m.agg_runtime / 2 AS time_1, m.agg_runtime / 2 + 1 AS time_2
+FROM @gens g LEFT JOIN @measured m ON m.seq = g.seq AND m.gen = g.gen""",
 )
 def _(v):
-    return report.join_measurements(v("gens").select("seq", "gen", "code"), v("measured"), ["seq", "gen"])
+    measured = with_test_times(v("measured"))
+    both = report.join_measurements(v("gens").select("seq", "gen", "code"), measured, ["seq", "gen"])
+    return both.select("*", F.col("tc2time")["1"].alias("time_1"), F.col("tc2time")["2"].alias("time_2")).drop("tc2time")
 
 
 @query(
     "e7_unmelt_results",
-    """SELECT src_id, tgt_id, max(accuracy) FILTER (WHERE gen = 0) AS model_0_accuracy, max(agg_runtime) FILTER (WHERE gen = 0) AS model_0_agg_runtime,
-  max(accuracy) FILTER (WHERE gen = 1) AS model_1_accuracy, max(agg_runtime) FILTER (WHERE gen = 1) AS model_1_agg_runtime,
-  count(agg_runtime) AS measured FROM @eval_results GROUP BY src_id, tgt_id""",
+    f"""SELECT src_id, tgt_id, {_wide_sql("accuracy", "model_{}_accuracy")}, {_wide_sql("agg_runtime", "model_{}_agg_runtime")},
+  {_wide_sql("code", "model_{}_code")}, {_wide_sql("agg_runtime / 2 + 1", "model_{}_time_2")} FROM @eval_results GROUP BY src_id, tgt_id""",
 )
 def _(v):
-    results = v("eval_results").withColumn("code_type", F.concat(F.lit("model_"), F.col("gen").cast("string")))
-    last = v("gens").agg(F.max("gen")).first()[0]
-    names = [f"model_{i}" for i in range(max(last, 1) + 1)]
-    wide = report.unmelt_results(results, names, ["accuracy", "agg_runtime"])
-    present = [F.when(F.col(f"{name}_agg_runtime").isNotNull(), 1).otherwise(0) for name in names]
-    measured = sum(present[1:], present[0]).cast("bigint").alias("measured")
-    return wide.select(
-        "src_id", "tgt_id", *[f"model_{i}_{value}" for i in (0, 1) for value in ("accuracy", "agg_runtime")], measured
-    )
+    results = with_test_times(v("eval_results").withColumn("code_type", F.concat(F.lit("model_"), F.col("gen").cast("string"))))
+    names = [f"model_{i}" for i in range(GENERATIONS)]
+    wide = report.unmelt_results(results, names, ["accuracy", "agg_runtime", "code", "tc2time"])
+    times = [F.col(f"{name}_tc2time")["2"].alias(f"{name}_time_2") for name in names]
+    return wide.select("*", *times).drop(*[f"{name}_tc2time" for name in names])
 
 
 @query("e8_project_key_columns", "SELECT problem_id, src_id, tgt_id, src_code, tgt_code, src_runtime, tgt_runtime FROM @eval_rows")
@@ -115,7 +112,7 @@ def _(v):
     return report.project_key_columns(v("eval_rows"), "model")
 
 
-COMPLETED = f"""SELECT r.seq, r.problem_id, r.src_id, r.tgt_id, r.src_runtime, r.tgt_runtime, coalesce(g.gen, 0) AS gen, g.code,
+COMPLETED = f"""SELECT r.seq, r.problem_id, r.src_id, r.tgt_id, r.src_runtime, r.tgt_runtime, coalesce(g.gen, 0) AS gen, g.code, g.seq IS NOT NULL AS measured,
   CASE WHEN g.seq IS NULL THEN {_INF} ELSE g.agg_runtime END AS agg_runtime,
   CASE WHEN g.seq IS NULL THEN CAST(0 AS DOUBLE) ELSE g.accuracy END AS accuracy
 FROM @eval_rows r LEFT JOIN @gens g ON g.seq = r.seq"""
@@ -128,10 +125,17 @@ def _adjusted(v):
     return report.complete_missing(adjusted, v("eval_rows"))
 
 
-@query("e9_complete_missing", f"SELECT seq, CAST(gen AS BIGINT) AS gen, code, agg_runtime, accuracy FROM ({COMPLETED}) c")
+@query(
+    "e9_complete_missing",
+    f"""SELECT seq, CAST(gen AS BIGINT) AS gen, code, agg_runtime, accuracy, CASE WHEN measured THEN 2 ELSE 0 END AS times,
+  CASE WHEN measured THEN agg_runtime / 2 END AS time_1 FROM ({COMPLETED}) c""",
+)
 def _(v):
-    completed = report.complete_missing(v("gens"), v("eval_rows"))
-    return completed.select("seq", F.col("gen").cast("bigint").alias("gen"), "code", "agg_runtime", "accuracy")
+    completed = report.complete_missing(with_test_times(v("gens")), v("eval_rows"))
+    return completed.select(
+        "seq", F.col("gen").cast("bigint").alias("gen"), "code", "agg_runtime", "accuracy",
+        F.size("tc2time").alias("times"), F.try_element_at("tc2time", F.lit("1")).alias("time_1"),
+    )
 
 
 @query("e10_adjust_runtime", f"SELECT seq, CAST(gen AS BIGINT) AS gen, adjusted_runtime FROM ({ADJUSTED}) a")

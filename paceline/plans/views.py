@@ -19,7 +19,7 @@ TABLES = (
 ).split()
 
 # Tables of long texts and their unique keys.
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
 
 SPARK_NAMES = {"array": "array", "series": "sequence", "size": "size"}
 DUCKDB_NAMES = {"array": "list_value", "series": "generate_series", "size": "len"}
@@ -43,8 +43,11 @@ SELECT * FROM (
 WHERE tgt_id IS NOT NULL""",
     "ranked_subs": """
 SELECT *, row_number() OVER (PARTITION BY problem_id, user_id ORDER BY runtime, seq) AS rk FROM @subs""",
+    # Neighbours, and each submission with its user's fastest.
     "known_pairs": """
-SELECT problem_id || '-' || src_id || '-' || tgt_id AS id, seq FROM @raw_pairs""",
+SELECT problem_id || '-' || src_id || '-' || tgt_id AS id, problem_id, src_id, tgt_id, seq FROM (
+  SELECT seq, problem_id, src_id, tgt_id FROM @raw_pairs
+  UNION SELECT seq, problem_id, src_id, tgt_id FROM @eval_rows WHERE src_id <> tgt_id) k""",
     "test_pairs": """
 SELECT p.*, p.tgt_code AS fastest_code,
   @series(1, CAST(floor(p.src_agg_runtime) AS BIGINT) % 30 + 1) AS tests FROM @raw_pairs p""",

@@ -42,13 +42,13 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: list[str]) -> DataFrame:
     """Deal rows by a unique key over as many partitions as `spark.paceline.inputPartitions` says; as they are where it is unset.
 
     For test and bench tables that are one row group each; tables of many files need no such shuffle.
     """
     partitions = df.sparkSession.conf.get("spark.paceline.inputPartitions", None)
-    return df.repartition(int(partitions), key) if partitions else df
+    return df.repartition(int(partitions), *key) if partitions else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

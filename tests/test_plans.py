@@ -6,13 +6,14 @@ import re
 
 import pytest
 
+from paceline.operators import ranking, selection
 from paceline.plans.catalogue import ORACLES, QUERIES
 from paceline.plans.views import VIEWS, Inputs
 
 SF_DIR = "/root/testdata/sf0.001"
 # They write files or run a stream before they return their result.
 EAGER = {name for name in QUERIES if re.match(r"s\d*_|g6_", name)}
-PYTHON = {"g3_batch_generate", "g4_multi_generation_extract", "g5_follow_suggestions"}
+PYTHON = {"g3_batch_generate", "g4_multi_generation_extract", "g5_follow_suggestions", "r_optimizer_programs", "r_optimizer_reward"}
 
 
 def plan_of(frame) -> str:
@@ -39,6 +40,17 @@ def test_queries_read_whole_tables():
         assert not re.search(r"\bLIMIT\b|\bsubstr\(text|TABLESAMPLE", text), name
 
 
+def test_rounds_of_5000_rows_rank_narrow_rows_and_positions_of_sparse_ids_many_ranges(spark):
+    wide = spark.range(20_000).selectExpr("id", "concat('p', id % 41) AS problem_id", "hash(id) / 7.0D AS score", "repeat('x', 9) AS program")
+    chosen = selection.balanced_round_robin(wide, 5000, "id")
+    assert chosen.count() == 5000 and chosen.groupBy("problem_id").count().agg({"count": "max"}).first()[0] <= 122
+    ranked = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("program" in line for line in ranked.splitlines() if "row_number" in line)
+    sparse = spark.range(1000).selectExpr("id * id * 1000003 AS seq")
+    sizes = ranking.dense_index(sparse, "seq", "i", ranges=10).selectExpr("i", "seq", "CAST(sqrt(seq / 1000003) + 0.5 AS BIGINT) AS want")
+    assert sizes.filter("i <> want").count() == 0 and sizes.count() == 1000
+
+
 def test_programs_are_pruned_from_the_pair_scan(spark):
     plan = plan_of(QUERIES["p1_speed_ordered_pairs"](spark, SF_DIR))
     assert "o_orderpriority" not in plan and "o_orderstatus" not in plan

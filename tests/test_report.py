@@ -151,10 +151,11 @@ def test_expand_melt_and_unmelt_round_trip(spark):
     assert sorted(map(tuple, melted.collect())) == [(1, 7, "model_0", "a"), (1, 7, "model_1", "b"), (2, 7, "model_0", "c")]
     back = report.unmelt_results(melted.withColumn("accuracy", F.length("code")), ["model_0", "model_1"], ["code", "accuracy"])
     assert {tuple(r) for r in back.select("src_id", "model_0_code", "model_1_code").collect()} == {(1, "a", "b"), (2, "c", None)}
-    padded_rows = report.explode_generations(frame, "model", pad=True)
+    padded_rows = report.explode_generations(frame, "model", pad=2)
     assert padded_rows.count() == 6
     assert report.explode_generations(frame, "model").count() == 3
-    assert report.explode_generations(frame.filter("src_id = 3"), "model", pad=True).count() == 0
+    assert report.explode_generations(frame.filter("src_id = 3"), "model", pad=0).count() == 0
+    assert report.explode_generations(frame, "model", pad=1).count() == 4
 
 
 def test_unmelt_keeps_both_targets_of_a_source(spark):
