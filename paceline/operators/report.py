@@ -142,26 +142,29 @@ def _extremes() -> tuple[dict[str, Column], dict[str, Column]]:
     return {"best_runtime": nan_to_null("adjusted_runtime")}, {"best_accuracy": nan_to_null("accuracy")}
 
 
-def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "seq") -> DataFrame:
+def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "seq", by: Sequence[str] = ()) -> DataFrame:
     """Results of all reference rows; a row without any gets one failed generation.
 
     Rows are the same when both their programs are; the first row of the results counts, else
     the first of the reference. `results` is long (row id, `gen`, `agg_runtime`, `accuracy`, and
     what else was measured), `reference` has a row per row id. Programs end in the key.
 
+    With `by`, both sides have these columns (the model, say) and all of this holds for each of their values.
+
     Rows meet their results block by block, so one row with very many generations is spread
     over tasks. Adjusted results also get the carries `best_at_k` needs, on the way.
     """
     blocked = with_blocks(results)
     extremes = _extremes() if "adjusted_runtime" in results.columns else ({}, {})
-    blocks = block_carries(blocked, [row_id], BLOCK, *extremes)
-    tried = blocks.filter(~F.col("carry_any")).select(row_id, F.lit(True).alias("_tried"))
-    keyed = reference.select(row_id, _program_key(row_id).alias("_key")).join(tried, row_id, "left")
+    key = [*by, row_id]
+    blocks = block_carries(blocked, key, BLOCK, *extremes)
+    tried = blocks.filter(~F.col("carry_any")).select(*key, F.lit(True).alias("_tried"))
+    keyed = reference.select(*key, _program_key(row_id).alias("_key")).join(tried, key, "left")
     first_tried = F.min(F.when(F.col("_tried"), F.col(row_id)))
-    first = keyed.groupBy("_key").agg(F.coalesce(first_tried, F.min(row_id)).alias(row_id))
-    chosen = reference.drop(SLOW, REFERENCE).join(first.select(row_id), row_id, "left_semi")
-    completed = chosen.join(blocks.drop("carry_any"), row_id, "left").join(
-        blocked.withColumn("_measured", F.lit(True)), [row_id, BLOCK], "left"
+    first = keyed.groupBy(*by, "_key").agg(F.coalesce(first_tried, F.min(row_id)).alias(row_id))
+    chosen = reference.drop(SLOW, REFERENCE).join(first.select(*key), key, "left_semi")
+    completed = chosen.join(blocks.drop("carry_any"), key, "left").join(
+        blocked.withColumn("_measured", F.lit(True)), [*key, BLOCK], "left"
     )
     missing = F.col("_measured").isNull()
     fills = {name: F.lit(value) for name, value in FAILED.items() if name in results.columns}
@@ -179,38 +182,38 @@ def adjust_runtime(results: DataFrame, threshold: float = 1.0) -> DataFrame:
     return results.withColumn("adjusted_runtime", adjusted_runtime("agg_runtime", "accuracy", "code", threshold))
 
 
-def fastest_generated(results: DataFrame, row_id: str = "seq") -> DataFrame:
-    """Per row the fastest adjusted runtime over its generations."""
+def fastest_generated(results: DataFrame, row_id: str = "seq", by: Sequence[str] = ()) -> DataFrame:
+    """Per row (and `by`) the fastest adjusted runtime over its generations."""
     # What the row id determines is part of the key: a hash aggregate, where strings as values would be sorted.
-    return results.groupBy(row_id, "problem_id", "src_runtime", "tgt_runtime").agg(
+    return results.groupBy(*by, row_id, "problem_id", "src_runtime", "tgt_runtime").agg(
         F.min(nan_to_null("adjusted_runtime")).alias("fastest_runtime")
     )
 
 
-def problem_best(fastest: DataFrame) -> DataFrame:
+def problem_best(fastest: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Attach the problem's fastest generated runtime, whether it is solved, and the speedup it gives.
 
     A grouped minimum joined back, not a window: partial minima keep a hot problem from
     gathering its rows in one task, and adaptive execution picks the side to broadcast.
     """
-    best = fastest.groupBy("problem_id").agg(F.min("fastest_runtime").alias("problem_runtime"))
+    best = fastest.groupBy(*by, "problem_id").agg(F.min("fastest_runtime").alias("problem_runtime"))
     return (
-        fastest.join(best, "problem_id")
+        fastest.join(best, [*by, "problem_id"])
         .withColumn("problem_solved", F.col("problem_runtime") < INFINITY)
         .withColumn("problem_speedup", floored_speedup("src_runtime", "problem_runtime"))
     )
 
 
-def best_at_k(results: DataFrame, threshold: float = 1.0, row_id: str = "seq") -> DataFrame:
-    """Per row and k the best runtime and accuracy of the first k generations.
+def best_at_k(results: DataFrame, threshold: float = 1.0, row_id: str = "seq", by: Sequence[str] = ()) -> DataFrame:
+    """Per row (and `by`) and k the best runtime and accuracy of the first k generations.
 
     Generations are scanned in blocks of a fixed width and blocks carry over, so no task has
     to hold a row's generations, however many there are.
     """
     if "carry_more" not in results.columns:
         results = with_blocks(results)
-        results = results.join(block_carries(results, [row_id], BLOCK, *_extremes()), [row_id, BLOCK])
-    best = running_extremes(results, [row_id], "gen", BLOCK, *_extremes(), "is_last")
+        results = results.join(block_carries(results, [*by, row_id], BLOCK, *_extremes()), [*by, row_id, BLOCK])
+    best = running_extremes(results, [*by, row_id], "gen", BLOCK, *_extremes(), "is_last")
     return (
         best.withColumn("k", F.col("gen") + 1)
         .withColumn("is_correct", F.coalesce(F.col("best_accuracy") == threshold, F.lit(False)))
@@ -218,15 +221,15 @@ def best_at_k(results: DataFrame, threshold: float = 1.0, row_id: str = "seq") -
     )
 
 
-def report_at_k(best: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS) -> DataFrame:
-    """Per k the means over all rows; a row with fewer generations counts with its last best.
+def report_at_k(best: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
+    """Per k (and `by`) the means over all rows; a row with fewer generations counts with its last best.
 
     Rows are not padded to the largest k: those that ended before k are a running sum over the
     few k. Nor is each threshold counted per row: rows are summed up by k and the band their
     speedup falls in, and the thresholds are read off that small table.
     """
     band = sum([(F.col("speedup") >= t).cast("int") for t in sorted(thresholds)], F.lit(0))
-    cells = best.groupBy("k", "is_last", band.alias("band")).agg(
+    cells = best.groupBy(*by, "k", "is_last", band.alias("band")).agg(
         F.count("*").alias("n"),
         F.count("best_accuracy").alias("acc_n"),
         F.sum("best_accuracy").alias("accuracy"),
@@ -237,17 +240,18 @@ def report_at_k(best: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS
     measures |= {
         f"ge_{threshold_name(t)}": F.when(F.col("band") > i, F.col("n")) for i, t in enumerate(sorted(thresholds))
     }
-    per_k = cells.groupBy("k").agg(
+    per_k = cells.groupBy(*by, "k").agg(
         *[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in measures.items()],
         *[F.coalesce(F.sum(F.when(F.col("is_last"), value)), F.lit(0)).alias(f"{name}_last") for name, value in measures.items()],
     )
-    ended_before = W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    ended_before = W.partitionBy(*by).orderBy("k").rowsBetween(W.unboundedPreceding, -1)
 
     def total(name: str) -> Column:
         return F.col(name) + F.coalesce(F.sum(f"{name}_last").over(ended_before), F.lit(0))
 
-    totals = per_k.select("k", *[total(name).alias(name) for name in measures])
+    totals = per_k.select(*by, "k", *[total(name).alias(name) for name in measures])
     return totals.select(
+        *by,
         "k",
         F.col("n").alias("programs"),
         F.try_divide("accuracy", "acc_n").alias("mean_accuracy"),
@@ -263,16 +267,38 @@ def _shares(speedup: Column, thresholds: Sequence[float]) -> list[Column]:
     ]
 
 
-def report_reference(rows: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS) -> DataFrame:
+def report_reference(rows: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
     """Mean speedup of the reference program and its threshold shares, not floored."""
     speedup = nan_to_null(ratio("src_runtime", "tgt_runtime"))
-    return rows.agg(F.avg(speedup).alias("mean_speedup"), *_shares(speedup, thresholds))
+    return rows.groupBy(*by).agg(F.avg(speedup).alias("mean_speedup"), *_shares(speedup, thresholds))
 
 
-def report_problem_best(rows: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS) -> DataFrame:
+def report_problem_best(rows: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
     """Share of rows whose problem is solved, mean speedup of the problem's best, threshold shares."""
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         F.avg(F.col("problem_solved").cast("int")).alias("mean_solved"),
         F.avg("problem_speedup").alias("mean_speedup"),
         *_shares(F.col("problem_speedup"), thresholds),
     )
+
+
+def full_report(
+    outputs: DataFrame, reference: DataFrame, measurements: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS
+) -> DataFrame:
+    """From model outputs to the report, per `model`: E1, E2 long, E6, E10, E9, E13 and E14 to E16.
+
+    `outputs` (`model`, `seq`, `codes`) is what S7 reads, `reference` has a row per model and evaluated row with runtimes
+    and programs, `measurements` (`model`, `seq`, `gen`) the results of all that was run. The result is E14 with
+    `reference_speedup` (E15), `solved` and `problem_speedup` (E16) of the model. Programs leave after E10.
+    """
+    by, key = ["model"], ["model", "seq", "gen"]
+    wanted = prepare_eval(reference).drop("slower_program")
+    tried = explode_generations(outputs.select("model", "seq", "codes"), "codes")
+    measured = adjust_runtime(join_measurements(tried, measurements, key)).drop("code")
+    completed = complete_missing(measured, wanted, by=by)
+    at_k = report_at_k(best_at_k(completed, by=by), thresholds, by)
+    best = report_problem_best(problem_best(fastest_generated(completed, by=by), by), thresholds, by)
+    references = report_reference(wanted, thresholds, by)
+    return at_k.join(references.select("model", F.col("mean_speedup").alias("reference_speedup")), "model").join(
+        best.select("model", F.col("mean_solved").alias("solved"), F.col("mean_speedup").alias("problem_speedup")), "model"
+    )

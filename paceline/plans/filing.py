@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paceline.operators import measurements
+from paceline.operators import measurements, report
 from paceline.plans.measuring import STATS_VALUES
 from paceline.plans.registry import query
-from paceline.plans.reporting import REPORT, best_at_k_report
+from paceline.plans.reporting import INFINITE, REPORT, best_at_k_report, floored_sql, rounded, share_sql, with_test_times
 from paceline.session import scratch_path
 from paceline.sources import files
 
@@ -104,11 +104,11 @@ def _(v):
 )
 def _(v):
     path = scratch_path(v.spark, "report")
-    report = best_at_k_report(v)
-    files.write_report(report, v("eval_rows"), path)
+    summary = best_at_k_report(v)
+    files.write_report(summary, v("eval_rows"), path)
     # The row file must hold every row the summary was made from.
     rows = v.spark.read.schema("problem_id string, src_runtime double").json(f"{path}/rows")
-    return v.spark.read.schema(report.schema).csv(f"{path}/summary", header=True).select(
+    return v.spark.read.schema(summary.schema).csv(f"{path}/summary", header=True).select(
         "*",
         rows.agg(F.count("*")).scalar().alias("rows_written"),
         rows.agg(F.countDistinct("problem_id")).scalar().alias("problems"),
@@ -116,6 +116,47 @@ def _(v):
     )
 
 
+# Two models over all evaluated rows; the second has one answer and left every other row out.
+MODELS = ("alpha", "beta+2.5")
+_TRIED = f"""SELECT seq, '{MODELS[0]}' AS model, gen, code, accuracy, agg_runtime FROM @gens
+UNION ALL SELECT seq, '{MODELS[1]}', gen, code, accuracy, agg_runtime + 1 FROM @gens WHERE gen = 0 AND code IS NOT NULL AND seq % 2 = 0"""
+_EVALUATED = f"SELECT r.*, m.model FROM @eval_rows r, (VALUES ('{MODELS[0]}'), ('{MODELS[1]}')) AS m(model) WHERE r.src_code <> r.tgt_code"
+_RUN = f"""SELECT r.*, coalesce(g.gen, 0) AS gen, CASE WHEN g.seq IS NULL THEN CAST(0 AS DOUBLE) ELSE g.accuracy END AS accuracy,
+  CASE WHEN g.code IS NULL OR g.accuracy < 1 THEN {INFINITE} ELSE g.agg_runtime END AS adjusted_runtime
+FROM ({_EVALUATED}) r LEFT JOIN ({_TRIED}) g ON g.seq = r.seq AND g.model = r.model"""
+FULL_REPORT = f"""WITH a AS ({_RUN}),
+b AS (SELECT *, {floored_sql("src_runtime", "best_runtime")} AS speedup FROM (SELECT model, seq, gen + 1 AS k, src_runtime,
+  min(adjusted_runtime) OVER w AS best_runtime, max(accuracy) OVER w AS best_accuracy FROM a
+  WINDOW w AS (PARTITION BY model, seq ORDER BY gen ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x),
+n AS (SELECT model, seq, max(k) AS last FROM b GROUP BY model, seq),
+ks AS (SELECT model, unnest(generate_series(1, max(k))) AS k FROM b GROUP BY model),
+p AS (SELECT b.* EXCLUDE (k), ks.k FROM n JOIN ks ON ks.model = n.model JOIN b ON b.model = n.model AND b.seq = n.seq AND b.k = least(n.last, ks.k)),
+f AS (SELECT model, problem_id, seq, src_runtime, min(adjusted_runtime) AS fastest FROM a GROUP BY model, problem_id, seq, src_runtime),
+s AS (SELECT *, min(fastest) OVER (PARTITION BY model, problem_id) AS problem_runtime FROM f),
+s16 AS (SELECT model, avg(CAST(problem_runtime < {INFINITE} AS INTEGER)) AS solved, avg({floored_sql("src_runtime", "problem_runtime")}) AS problem_speedup FROM s GROUP BY model),
+s15 AS (SELECT model, avg(src_runtime / tgt_runtime) AS reference_speedup FROM ({_EVALUATED}) e GROUP BY model)
+SELECT p.model, CAST(p.k AS BIGINT) AS k, count(*) AS programs, round(avg(best_accuracy), 6) AS mean_accuracy,
+  round(avg(CAST(best_accuracy = 1 AS INTEGER)), 6) AS mean_correct, round(avg(speedup), 6) AS mean_speedup, {share_sql("speedup")},
+  round(min(s15.reference_speedup), 6) AS reference_speedup, round(min(s16.solved), 6) AS solved, round(min(s16.problem_speedup), 6) AS problem_speedup
+FROM p JOIN s15 ON s15.model = p.model JOIN s16 ON s16.model = p.model GROUP BY p.model, p.k"""
+
+
+@query("e_full_report", FULL_REPORT)
+def _(v):
+    folder = scratch_path(v.spark, "evaluation")
+    tried = v.sql(_TRIED)
+    for name in MODELS:
+        codes = F.transform(F.sort_array(F.collect_list(F.struct("gen", "code"))), lambda g: g["code"])
+        answers = tried.filter(F.col("model") == name).groupBy("seq").agg(codes.alias(name))
+        answers.write.json(f"{folder}/outputs/{name}.jsonl")
+    outputs = files.read_model_outputs(v.spark, f"{folder}/outputs", "seq bigint")
+    reference = v("eval_rows").withColumn("model", F.explode(F.array(*[F.lit(name) for name in MODELS])))
+    measured = with_test_times(tried.drop("code"))
+    summary = rounded(report.full_report(outputs, reference, measured).withColumn("k", F.col("k").cast("bigint")), ("model", "k", "programs"))
+    files.write_report(summary, measured.select("model", "seq", "gen", "tc2time"), f"{folder}/report")
+    return v.spark.read.schema(summary.schema).csv(f"{folder}/report/summary", header=True)
+
+
 @query("s_read_stats_files", f"SELECT key, CAST(pos AS BIGINT) AS pos, count(*) AS files, round(sum(value), 4) AS total FROM ({STATS_VALUES}) v GROUP BY key, pos")
 def _(v):
     folder = scratch_path(v.spark, "stats")

@@ -8,7 +8,7 @@ from paceline.functions.numbers import REPORT_THRESHOLDS, threshold_name
 from paceline.operators import report
 from paceline.plans.registry import joined, query, r6
 
-_INF = "CAST('Infinity' AS DOUBLE)"
+INFINITE = "CAST('Infinity' AS DOUBLE)"
 
 
 @query(
@@ -113,10 +113,10 @@ def _(v):
 
 
 COMPLETED = f"""SELECT r.seq, r.problem_id, r.src_id, r.tgt_id, r.src_runtime, r.tgt_runtime, coalesce(g.gen, 0) AS gen, g.code, g.seq IS NOT NULL AS measured,
-  CASE WHEN g.seq IS NULL THEN {_INF} ELSE g.agg_runtime END AS agg_runtime,
+  CASE WHEN g.seq IS NULL THEN {INFINITE} ELSE g.agg_runtime END AS agg_runtime,
   CASE WHEN g.seq IS NULL THEN CAST(0 AS DOUBLE) ELSE g.accuracy END AS accuracy
 FROM @eval_rows r LEFT JOIN @gens g ON g.seq = r.seq"""
-ADJUSTED = f"""SELECT *, CASE WHEN code IS NULL OR accuracy < 1 THEN {_INF} ELSE agg_runtime END AS adjusted_runtime FROM ({COMPLETED}) c"""
+ADJUSTED = f"""SELECT *, CASE WHEN code IS NULL OR accuracy < 1 THEN {INFINITE} ELSE agg_runtime END AS adjusted_runtime FROM ({COMPLETED}) c"""
 
 
 def _adjusted(v):
@@ -156,11 +156,11 @@ def _(v):
     return _fastest(v)
 
 
-def _floored(slow: str, fast: str) -> str:
-    return f"CASE WHEN {fast} = {_INF} THEN CAST(1 AS DOUBLE) WHEN {slow} / {fast} < 1 THEN CAST(1 AS DOUBLE) ELSE {slow} / {fast} END"
+def floored_sql(slow: str, fast: str) -> str:
+    return f"CASE WHEN {fast} = {INFINITE} THEN CAST(1 AS DOUBLE) WHEN {slow} / {fast} < 1 THEN CAST(1 AS DOUBLE) ELSE {slow} / {fast} END"
 
 
-PROBLEM_BEST = f"""SELECT *, problem_runtime < {_INF} AS problem_solved, {_floored("src_runtime", "problem_runtime")} AS problem_speedup
+PROBLEM_BEST = f"""SELECT *, problem_runtime < {INFINITE} AS problem_solved, {floored_sql("src_runtime", "problem_runtime")} AS problem_speedup
 FROM (SELECT *, min(fastest_runtime) OVER (PARTITION BY problem_id) AS problem_runtime FROM ({FASTEST}) f) p"""
 
 
@@ -172,7 +172,7 @@ def _(v):
 
 
 BEST_AT_K = f"""SELECT seq, CAST(gen + 1 AS BIGINT) AS k, best_runtime, best_accuracy, best_accuracy = 1 AS is_correct,
-  {_floored("src_runtime", "best_runtime")} AS speedup FROM (
+  {floored_sql("src_runtime", "best_runtime")} AS speedup FROM (
   SELECT *, min(adjusted_runtime) OVER w AS best_runtime, max(accuracy) OVER w AS best_accuracy FROM ({ADJUSTED}) a
   WINDOW w AS (PARTITION BY seq ORDER BY gen ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) b"""
 
@@ -184,14 +184,14 @@ def _(v):
     )
 
 
-def _share_sql(speedup: str) -> str:
+def share_sql(speedup: str) -> str:
     return ", ".join(
         f"round(count(*) FILTER (WHERE {speedup} >= {t}) / CAST(count(*) AS DOUBLE), 6) AS share_ge_{threshold_name(t)}"
         for t in REPORT_THRESHOLDS
     )
 
 
-def _rounded(df, keep=()):
+def rounded(df, keep=()):
     return df.select(*keep, *[r6(name).alias(name) for name in df.columns if name not in keep])
 
 
@@ -200,28 +200,28 @@ REPORT = f"""WITH b AS ({BEST_AT_K}), n AS (SELECT seq, max(k) AS last FROM b GR
 ks AS (SELECT unnest(generate_series(1, (SELECT max(k) FROM b))) AS k),
 padded AS (SELECT ks.k, b.* EXCLUDE (k) FROM n JOIN ks ON true JOIN b ON b.seq = n.seq AND b.k = least(n.last, ks.k))
 SELECT k, count(*) AS programs, round(avg(best_accuracy), 6) AS mean_accuracy, round(avg(CAST(is_correct AS INTEGER)), 6) AS mean_correct,
-  round(avg(speedup), 6) AS mean_speedup, {_share_sql("speedup")} FROM padded GROUP BY k"""
+  round(avg(speedup), 6) AS mean_speedup, {share_sql("speedup")} FROM padded GROUP BY k"""
 
 
 @query("e14_report_at_k", REPORT)
 def best_at_k_report(v):
     rows = report.report_at_k(report.best_at_k(_adjusted(v)))
     rows = rows.withColumn("k", F.col("k").cast("bigint"))
-    return _rounded(rows, ("k", "programs"))
+    return rounded(rows, ("k", "programs"))
 
 
 @query(
     "e15_report_reference",
-    f"""SELECT round(avg(src_runtime / tgt_runtime), 6) AS mean_speedup, {_share_sql("src_runtime / tgt_runtime")} FROM @eval_rows""",
+    f"""SELECT round(avg(src_runtime / tgt_runtime), 6) AS mean_speedup, {share_sql("src_runtime / tgt_runtime")} FROM @eval_rows""",
 )
 def _(v):
-    return _rounded(report.report_reference(v("eval_rows")))
+    return rounded(report.report_reference(v("eval_rows")))
 
 
 @query(
     "e16_report_problem_best",
     f"""SELECT round(avg(CAST(problem_solved AS INTEGER)), 6) AS mean_solved, round(avg(problem_speedup), 6) AS mean_speedup,
-  {_share_sql("problem_speedup")} FROM ({PROBLEM_BEST}) p""",
+  {share_sql("problem_speedup")} FROM ({PROBLEM_BEST}) p""",
 )
 def _(v):
-    return _rounded(report.report_problem_best(report.problem_best(_fastest(v))))
+    return rounded(report.report_problem_best(report.problem_best(_fastest(v))))
