@@ -302,7 +302,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", min_length: int = MIN_LE
     parts = checkpointed(items(docs, text, mixed, min_length, gram), "context-bytes")
     whole = kinds.filter("n > 1").select("a", "c", F.lit(0).alias("low"), (F.col("place.windows") + min_length - 1).alias("high"))
     ranges = whole.union(repeated_ranges(parts, min_length, group_limit)).groupBy("a", "c").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))  # ranges of one context
-    spans = shared.select("a", "c", "key", "start").distinct().join(ranges, ["a", "c"])
+    # Written like the anchors: a passage that very many texts share is a hot key of this join.
+    spans = shared.select("a", "c", "key", "start").distinct().join(checkpointed(ranges, "context-ranges"), ["a", "c"])
     moved = F.transform("ranges", lambda r: F.struct((F.col("start") + r["low"]).alias("low"), (F.col("start") + r["high"]).alias("high")))
     return spans.select("key", moved.alias("ranges")).groupBy("key").agg(F.flatten(F.collect_list("ranges")).alias("spans"))  # places of one text
 
