@@ -33,6 +33,8 @@ SEPARATOR = 255
 # Contexts of one group that is compared as a whole, and bytes of contexts in one transform.
 GROUP_LIMIT = 1000
 SHARD_BYTES = 1 << 20
+# Contexts whose anchors are looked up at once.
+VIEW_ROWS = 1 << 13
 BYTE_VALUES = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,18 +78,17 @@ def contexts(raw: bytes, min_length: int, gram: int) -> list[np.ndarray]:
     h = gram_hashes(x, gram)
     width = min_length - gram + 1
     low = sliding_minimum(h, width)
-    first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    end = np.append(first[1:], len(low))
+    # A window that begins at its anchor is the last of its context; the next place with this hash serves later windows.
+    leaves = h[: len(low)] == low
+    first = np.concatenate(([0], np.flatnonzero((low[1:] != low[:-1]) | leaves[:-1]) + 1))
+    last = np.append(first[1:], len(low)) - 1
+    offset = last - first
     views = np.lib.stride_tricks.sliding_window_view(h, width)
-    found = []
-    while len(first):
-        at = first + views[first].argmin(1)
-        stop = np.minimum(end, at + 1)  # the next place with this hash, if there is one, serves later windows
-        found.append((first, stop, at - first))
-        more = stop < end
-        first, end = stop[more], end[more]
-    first, stop, offset = (np.concatenate([f[i] for f in found]) for i in range(3))
-    return [low[first].view(np.int64), first, stop - first, offset]
+    inside = np.flatnonzero(~leaves[last])
+    for lo in range(0, len(inside), VIEW_ROWS):  # a portion copies `width` hashes for each of its contexts
+        part = inside[lo : lo + VIEW_ROWS]
+        offset[part] = views[first[part]].argmin(1)
+    return [low[first].view(np.int64), first, last - first + 1, offset]
 
 
 def digest(content: bytes, seed: int = 0) -> int:

@@ -60,6 +60,30 @@ def test_passages_copies_and_periodic_texts(spark, seed, limit):
     assert check(docs, 40, gram=12, group_limit=limit)
 
 
+def brute_contexts(raw, length, gram):
+    """Windows in order; each goes to the first of its strings of `gram` bytes with the smallest hash."""
+    h = S.gram_hashes(np.frombuffer(raw, np.uint8), gram).tolist()
+    found = []
+    for w in range(len(raw) - length + 1):
+        part = h[w : w + length - gram + 1]
+        at = w + part.index(min(part))
+        if found and found[-1][0] == at:
+            found[-1][2] += 1
+        else:
+            found.append([at, w, 1])
+    return [(h[at], w, n, at - w) for at, w, n in found]
+
+
+@pytest.mark.parametrize("portion", [1, 1 << 13])
+def test_contexts_of_periodic_texts(monkeypatch, portion):
+    monkeypatch.setattr(S, "VIEW_ROWS", portion)
+    rng = random.Random(3)
+    raws = [b"a" * 300, b"abc" * 90, b"x" * 40, b"y" * 100 + b"ab" * 60, *(bytes(rng.choices(b"abc"[:kinds], k=200)) for kinds in (2, 3))]
+    for raw in raws:
+        hashes, first, windows, offset = S.contexts(raw, 40, 12)
+        assert list(zip(hashes.view(np.uint64).tolist(), first.tolist(), windows.tolist(), offset.tolist())) == brute_contexts(raw, 40, 12)
+
+
 def test_lengths_of_shared_prefixes():
     rng = np.random.default_rng(0)
     x = np.concatenate((rng.integers(97, 100, 400), [S.SEPARATOR])).astype(np.uint8)
