@@ -137,7 +137,7 @@ STATS_VALUES = f"""SELECT file, key, pos, raw, CASE WHEN raw IN ('nan', 'inf', '
 
 
 def _stats(v):
-    lines = spread(v("stats_text"), "file").select("file", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    lines = spread(v("stats_text"), ["file"]).select("file", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
     return measurements.parse_stats_lines(lines)
 
 

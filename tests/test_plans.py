@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from bench import HEADLINES
 
 from paceline.operators import ranking, selection
 from paceline.plans.catalogue import ORACLES, QUERIES
@@ -28,6 +29,16 @@ def test_no_cross_join_and_no_python_outside_generation(name, spark):
     assert "BatchEvalPython" not in plan and "MapInPandas" not in plan
 
 
+def test_bench_queries_resolve_with_spread_inputs(spark):
+    spark.conf.set("spark.paceline.inputPartitions", "3")
+    try:
+        for name in HEADLINES:
+            assert QUERIES[name](spark, SF_DIR).columns, name
+        assert "REPARTITION_BY_NUM" in plan_of(QUERIES["m9_parse_stats_files"](spark, SF_DIR))
+    finally:
+        spark.conf.unset("spark.paceline.inputPartitions")
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
