@@ -265,7 +265,9 @@ def compared(parts: DataFrame, min_length: int) -> DataFrame:
         found = [(a[n], c[n], at[n] + lo, at[n] + hi + min_length) for n, runs in enumerate(repeated_windows(group.column("content").to_pylist(), min_length)) for lo, hi in runs]
         return pa.table([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["a", "c", "low", "high"])
 
-    return parts.select("a", "c", "at", "content", F.pmod(F.xxhash64("grp"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(run, RANGES)
+    dealt = parts.select("a", "c", "at", "content", F.pmod(F.xxhash64("grp"), F.lit(shards)).alias("shard"))
+    # A partition for each shard, which adaptive execution leaves apart: tasks hold as much at any size of the input.
+    return dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(run, RANGES)
 
 
 def repeated_ranges(parts: DataFrame, min_length: int, group_limit: int) -> DataFrame:
@@ -327,10 +329,11 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def dedup_report(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """One row per row of `docs`: id, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`.
+    """One row per row of `docs`: id, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256`, `kept_text`.
 
     Texts are UTF-8 bytes, a null one is empty; matches never cross rows, and are judged on the input. Repeated rows are
-    copies of each other, so long ones lose all bytes. A null id stays null; other columns are not read.
+    copies of each other, so long ones lose all bytes. `kept_text` lacks what is left of characters that a cut divides;
+    the digest covers all bytes kept. A null id stays null; other columns are not read; an empty table gives no rows.
     """
     spans = checkpointed(repeated_spans(docs, text, min_length, gram, group_limit), "suffix-spans")
     texts = packed_texts(docs, text).join(spans, "key", "left").select("key", "packed", "spans")
@@ -341,11 +344,12 @@ def dedup_report(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             rows = []
             for packed, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw, runs = unpack.decompress(packed), merged(found)
-                rows.append((len(raw), sum(high - low for low, high in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest()))
-            kinds = [pa.int64()] * 3 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = kept_bytes(raw, runs)
+                rows.append((len(raw), sum(high - low for low, high in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    report = texts.mapInArrow(run, "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    report = texts.mapInArrow(run, "key binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     return docs.select(F.col(id_column), text_key(F.col(text)).alias("key")).join(report, "key").drop("key")
 
 
@@ -353,13 +357,21 @@ def without_repeats(docs: DataFrame, text: str = "text", min_length: int = MIN_L
     """`docs` with repeated bytes cut out of `text`; a cut inside a character drops what is left of it. Null texts stay null."""
     spans = checkpointed(repeated_spans(docs, text, min_length, gram, group_limit), "suffix-spans")
 
-    @F.udf("string", useArrow=True)
-    def cut(value, found):
-        return kept_bytes(encoded(value), merged([dict(low=s["low"], high=s["high"]) for s in found or ()])).decode("utf-8", "ignore")
+    names, own = docs.columns, "__suffix_key"
+    at, ranges = names.index(text), len(names) + 1
 
-    own, ranges = "__suffix_key", "__suffix_spans"
-    marked = docs.withColumn(own, text_key(F.col(f"`{text}`"))).join(spans.select(F.col("key").alias(own), F.col("spans").alias(ranges)), own, "left")
-    return marked.withColumn(text, F.when(F.col(ranges).isNotNull(), cut(F.col(f"`{text}`"), F.col(ranges))).otherwise(F.col(f"`{text}`"))).select(*[f"`{c}`" for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[1:ranges])
+            found = batch.column(ranges).to_pylist()
+            texts = [v if spans is None or v is None else kept_bytes(encoded(v), merged(spans)).decode("utf-8", "ignore") for v, spans in zip(columns[at].to_pylist(), found)]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    # The joined columns go by place, so names of `docs` cannot clash with the two of the join.
+    marked = docs.select(text_key(F.col(f"`{text}`")).alias(own), *[F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(names)])
+    joined = marked.join(spans.select(F.col("key").alias(own), "spans"), own, "left")
+    return joined.mapInArrow(run, docs.schema)
 
 
 @query("op9_suffix_dedup")

@@ -13,6 +13,7 @@ from paceline.llm import suffix_dedup as S
 
 
 def brute(texts, length):
+    """Bytes, removed bytes, removed runs and what is left of every text."""
     raws = [(t or "").encode() for t in texts]
     starts = Counter(raw[i : i + length] for raw in raws for i in range(len(raw) - length + 1))
     for raw in raws:
@@ -21,14 +22,14 @@ def brute(texts, length):
             if starts[raw[i : i + length]] > 1:
                 gone[i : i + length] = True
         kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
-        yield len(raw), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()
+        yield len(raw), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), kept
 
 
 def check(docs, length, **options):
     rows = docs.select("doc_id", "text").collect()
-    wanted = Counter((r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows], length)))
+    wanted = Counter((r.doc_id, *b[:3], hashlib.sha256(b[3]).hexdigest(), b[3].decode("utf-8", "ignore")) for r, b in zip(rows, brute([r.text for r in rows], length)))
     got = S.dedup_report(docs, min_length=length, **options).collect()
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == wanted
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept_text) for r in got) == wanted
     return sum(r.n_removed for r in got)
 
 
@@ -96,11 +97,11 @@ def test_lengths_of_shared_prefixes():
 
 def test_texts_without_repeats(spark):
     texts = made_up(5)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string")
-    got = {r.doc_id: r.text for r in S.without_repeats(docs, min_length=40, gram=12).collect()}
-    for (i, t), b in zip(enumerate(texts), brute(texts, 40)):
-        assert (got[i] is None) == (t is None)
-        if b[1] == 0:
-            assert got[i] == t
-        elif b[1] == b[0]:
-            assert got[i] == ""
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id bigint, text string, spans string, __suffix_key string")
+    got = {r.doc_id: r for r in S.without_repeats(docs, min_length=40, gram=12).collect()}
+    partly = 0
+    for (i, t), (size, removed, _, kept) in zip(enumerate(texts), brute(texts, 40)):
+        assert got[i].text == (None if t is None else kept.decode("utf-8", "ignore"))
+        assert got[i].spans == "x" and got[i]["__suffix_key"] == "y"
+        partly += 0 < removed < size
+    assert partly > 10
