@@ -19,6 +19,9 @@ from paceline.llm.common import checkpointed, table, text_key
 
 # Posterior below which no language is taken as recognised.
 LEAST_SCORE = 0.5
+# Passages of over 50 words are to go: 51 words of four bytes, their blanks included, are about so many bytes. Passages of
+# shorter words on average (under three letters) may stay. Anchors keep the quarter of the minimum that they have in op 9.
+PASSAGE_BYTES, PASSAGE_GRAM = 200, 50
 ORACLE_SQL = None
 
 
@@ -44,8 +47,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated strings out of the texts; `n_chars` follows. No row is dropped."""
-    cut = suffix_dedup.without_repeats(docs)
+    """Cuts strings of `PASSAGE_BYTES` or more that repeat out of the texts; `n_chars` follows. No row is dropped."""
+    cut = suffix_dedup.without_repeats(docs, min_length=PASSAGE_BYTES, gram=PASSAGE_GRAM)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
