@@ -413,16 +413,16 @@ SQL = r"""
 WITH d AS (
     SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), w AS (
-    SELECT n, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS at, words FROM d
+    SELECT n, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, words FROM d
 ), g AS (
-    SELECT n, doc_id, at, word, CASE WHEN at + 12 <= len(words) THEN md5(array_to_string(words[at : at + 12], ' ')) END AS win FROM w
+    SELECT n, doc_id, pos, word, CASE WHEN pos + 12 <= len(words) THEN md5(array_to_string(words[pos : pos + 12], ' ')) END AS win FROM w
 ), f AS (
     SELECT win, min(doc_id) AS first FROM g WHERE win IS NOT NULL GROUP BY win
 ), m AS (
-    SELECT n, at, word, max(coalesce(first < g.doc_id, false)) OVER (PARTITION BY n ORDER BY at ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+    SELECT n, pos, word, max(coalesce(first < g.doc_id, false)) OVER (PARTITION BY n ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
     FROM g LEFT JOIN f ON g.win = f.win
 ), k AS (
-    SELECT n, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY at) FILTER (WHERE NOT gone), '') AS kept_text FROM m GROUP BY n
+    SELECT n, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept_text FROM m GROUP BY n
 )
 SELECT doc_id, len(words) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256, coalesce(kept_text, '') AS kept_text
 FROM d LEFT JOIN k ON d.n = k.n
