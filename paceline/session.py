@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed settings: adaptive execution splits hot join partitions and picks broadcast
@@ -61,8 +62,56 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def _located(spark: SparkSession, path: str) -> tuple:
+    """The file system that `path` names, and the path on it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file exists on whatever file system `path` names."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    file_system, hadoop_path = _located(spark, path)
     return file_system.exists(hadoop_path)
+
+
+def has_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder exists and holds anything but hidden files."""
+    file_system, hadoop_path = _located(spark, folder)
+    return file_system.exists(hadoop_path) and any(not f.getPath().getName().startswith(".") for f in file_system.listStatus(hadoop_path))
+
+
+def read_mark(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file on whatever file system `path` names; nothing where there is none."""
+    file_system, hadoop_path = _located(spark, path)
+    if not file_system.exists(hadoop_path):
+        return None
+    stream = file_system.open(hadoop_path)
+    try:
+        return stream.readAllBytes().decode()
+    finally:
+        stream.close()
+
+
+def write_mark(spark: SparkSession, path: str, text: str, replace: bool = False) -> str:
+    """A small file with `text`, whole or not there at all: written beside and renamed. Returns the text the file has then.
+
+    Without `replace` a file that is there already stays, also when another writer has put it there meanwhile.
+    """
+    file_system, hadoop_path = _located(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(hadoop_path.getParent(), f"{hadoop_path.getName()}.{uuid.uuid4().hex}")
+    stream = file_system.create(beside, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    kinds = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kinds, 1)
+    options[0] = kinds.OVERWRITE if replace else kinds.NONE
+    try:
+        files.rename(beside, hadoop_path, options)
+    except Py4JJavaError:
+        file_system.delete(beside, False)
+        found = None if replace else read_mark(spark, path)
+        if found is None:
+            raise
+        return found
+    return text

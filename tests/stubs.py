@@ -14,3 +14,10 @@ def batch_sizes():
 
 def pairs_of_answers():
     return lambda prompts: [[f"```\n{prompt}\n```", "none"] for prompt in prompts]
+
+
+def down():
+    def fail(prompts):
+        raise RuntimeError("model is down")
+
+    return fail

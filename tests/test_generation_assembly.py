@@ -5,7 +5,7 @@ import stubs
 from pyspark.sql import functions as F
 
 from paceline.operators import assembly, generation
-from paceline.streaming.incremental import incremental_generation
+from paceline.streaming.incremental import STATE_SETTINGS, incremental_generation
 
 
 def test_resume_split_gives_each_id_once_and_the_cache_wins(spark):
@@ -46,31 +46,86 @@ def test_follow_suggestions_keeps_order_and_empty_rows(spark):
     assert followed.first()["m_final"] == ["abc"]
 
 
-def test_incremental_generation_survives_restarts(spark, tmp_path):
-    schema = "id string, seq bigint, prompt string"
+class Stream:
+    """Deliveries of JSON files and runs of the generation over them."""
+
+    schema = "id string, seq bigint, prompt string, note array<string>"
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
 
-    def deliver(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/source")
+    def deliver(self, rows):
+        rows = [(*row, ["x", None]) for row in rows]
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").json(f"{self.folder}/source")
 
-    def run(checkpoint="checkpoint"):
+    def run(self, checkpoint="checkpoint", model=stubs.echo, **options):
         query = incremental_generation(
-            spark, f"{tmp_path}/source", schema, f"{tmp_path}/sink", f"{tmp_path}/{checkpoint}", stubs.echo, "m", max_files=1
+            self.spark, f"{self.folder}/source", self.schema, f"{self.folder}/sink", f"{self.folder}/{checkpoint}", model, "m", **options
         )
         query.awaitTermination()
+        return query
 
-    def answers():
-        return sorted((r["id"], r["m"]) for r in spark.read.parquet(f"{tmp_path}/sink").collect())
-
-    deliver([("a", 1, "first"), ("a", 2, "second"), ("b", 3, "b")])
-    run()
-    assert answers() == [("a", "first"), ("b", "b")]
-    deliver([("b", 4, "again"), ("c", 5, "c")])
-    run()
-    run()
-    assert answers() == [("a", "first"), ("b", "b"), ("c", "c")]
-    # A job without its progress replays every batch over its own folder and doubles nothing.
-    run("another")
-    assert [i for i, _ in answers()] == ["a", "b", "c"]
+    def answers(self):
+        return sorted((r["id"] or "", r["m"]) for r in self.spark.read.parquet(f"{self.folder}/sink").collect())
+
+
+def test_incremental_generation_survives_restarts(spark, tmp_path):
+    stream = Stream(spark, tmp_path)
+    stream.deliver([("a", 2, "second"), ("a", 1, "first"), ("b", 3, "b"), (None, 9, "no id")])
+    stream.run(max_files=1)
+    assert stream.answers() == [("", "no id"), ("a", "first"), ("b", "b")]
+    stream.deliver([("b", 0, "again"), ("c", 5, "c"), (None, 1, "no id again")])
+    stream.run(max_files=1)
+    stream.run(max_files=1)
+    wanted = [("", "no id"), ("a", "first"), ("b", "b"), ("c", "c")]
+    assert stream.answers() == wanted
+    # A job without its progress starts from the ids in the sink: it repeats nothing and removes nothing.
+    stream.run("another")
+    assert stream.answers() == wanted
+    stream.deliver([("d", 6, "d"), ("a", 0, "again")])
+    stream.run("another")
+    assert stream.answers() == [*wanted, ("d", "d")]
+    kept = spark.read.parquet(f"{tmp_path}/sink")
+    assert kept.filter("id = 'a'").first()["note"] == ["x", None]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_SETTINGS["spark.sql.streaming.stateStore.providerClass"]
+
+
+def test_micro_batches_do_not_read_the_sink(spark, tmp_path):
+    """With its progress at hand a run opens no file of the sink; without, the sink is read once, whatever the batches."""
+    stream = Stream(spark, tmp_path)
+    stream.deliver([("a", 1, "a"), ("b", 2, "b")])
+    stream.run()
+    broken = next((tmp_path / "sink").glob("run=*/batch_id=0")) / "part-broken.parquet"
+    broken.write_text("not a parquet file")
+    for n in range(3):
+        stream.deliver([(f"new{n}", 3 + n, "x"), ("a", 9, "again")])
+    query = stream.run(max_files=1)
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in batches] == [2, 2, 2]
+    # The state grows by the new id of each batch only.
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in batches] == [3, 4, 5]
+    with pytest.raises(Exception, match="part-broken"):
+        stream.run("another")
+    broken.unlink()
+    assert [i for i, _ in stream.answers()] == ["a", "b", "new0", "new1", "new2"]
+
+
+def test_a_failed_batch_is_repeated_from_the_state_before_it(spark, tmp_path):
+    stream = Stream(spark, tmp_path)
+    stream.deliver([("a", 1, "a")])
+    stream.run()
+    stream.deliver([("a", 2, "again"), ("b", 3, "b"), ("c", 4, "c")])
+    with pytest.raises(Exception, match="model is down"):
+        stream.run(model=stubs.down)
+    assert stream.answers() == [("a", "a")]
+    stream.run()
+    assert stream.answers() == [("a", "a"), ("b", "b"), ("c", "c")]
+    # A first batch that fails leaves no commit: the repeated one still knows what other runs have answered.
+    stream.deliver([("d", 5, "d")])
+    with pytest.raises(Exception, match="model is down"):
+        stream.run("another", model=stubs.down)
+    stream.run("another")
+    assert stream.answers() == [("a", "a"), ("b", "b"), ("c", "c"), ("d", "d")]
 
 
 def test_attach_testcases_fails_on_a_problem_without_any(spark):
