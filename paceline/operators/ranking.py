@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from paceline.session import materialized
+
 
 def dense_index(df: DataFrame, order_col: str, name: str, ranges: int = 256) -> DataFrame:
     """Add the 0-based position of each row by a unique column.
@@ -30,6 +32,29 @@ def dense_index(df: DataFrame, order_col: str, name: str, ranges: int = 256) ->
     return ranged.join(offsets, "_range").withColumn(name, F.col("_offset") + within).drop("_range", "_offset")
 
 
+def running_sums(
+    df: DataFrame, key: Sequence[str], order_col: str, values: Sequence[str], width: int = 1024, prefix: str = "before_"
+) -> DataFrame:
+    """Add `before_<value>`: the sum of each value over the key's rows with a smaller `order_col`, a whole number unique in the key.
+
+    A scan in two levels: rows are summed inside blocks of `width` consecutive numbers, blocks are summed up and scanned,
+    and each block's carry joins its rows. No task orders more than the rows of a block or the blocks of a key.
+    `df` is written once, since both levels read it.
+    """
+    block = "_block"
+    rows = materialized(df.withColumn(block, F.col(order_col) - F.pmod(F.col(order_col), F.lit(width))), "running-sums")
+    totals = rows.groupBy(*key, block).agg(*[F.sum(value).alias(value) for value in values])
+    earlier_blocks = W.partitionBy(*key).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    carries = totals.select(*key, block, *[F.sum(value).over(earlier_blocks).alias(f"_carry_{value}") for value in values])
+    earlier_rows = W.partitionBy(*key, block).orderBy(order_col).rowsBetween(W.unboundedPreceding, -1)
+    inside = rows.select("*", *[F.sum(value).over(earlier_rows).alias(f"_inside_{value}") for value in values])
+    # Every block has a carry, so an inner join keeps all rows.
+    joined = inside.join(carries, [*key, block])
+    zero = F.lit(0)
+    summed = {f"{prefix}{v}": F.coalesce(f"_carry_{v}", zero) + F.coalesce(f"_inside_{v}", zero) for v in values}
+    return joined.select(*df.columns, *[value.alias(name) for name, value in summed.items()])
+
+
 def top_k_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int | Column, name: str, salt_on: str, salts: int = 1024
 ) -> DataFrame:

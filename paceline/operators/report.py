@@ -22,7 +22,8 @@ from paceline.functions.numbers import (
     threshold_name,
 )
 from paceline.functions.text import listed, strip
-from paceline.operators.ranking import block_carries, running_extremes
+from paceline.operators.ranking import block_carries, running_extremes, running_sums
+from paceline.session import materialized
 
 SLOW, REFERENCE = "src_code", "tgt_code"
 KEY_COLUMNS = ("problem_id", "tests", "src_id", "tgt_id", "fastest_runtime", "fastest_accuracy")
@@ -151,18 +152,21 @@ def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "se
 
     With `by`, both sides have these columns (the model, say) and all of this holds for each of their values.
 
-    Rows meet their results block by block, so one row with very many generations is spread
-    over tasks. Adjusted results also get the carries `best_at_k` needs, on the way.
+    Both inputs are read once and written without programs: which rows have results, and the carries of their blocks,
+    must be known before rows and results meet. They meet block by block, so one row with very many generations is
+    spread over tasks. Adjusted results also get the carries `best_at_k` needs, on the way.
     """
-    blocked = with_blocks(results)
+    blocked = materialized(with_blocks(results), "results")
+    reference = reference.withColumn("_key", _program_key(row_id)).drop(SLOW, REFERENCE)
+    reference = materialized(reference, "reference")
     extremes = _extremes() if "adjusted_runtime" in results.columns else ({}, {})
     key = [*by, row_id]
     blocks = block_carries(blocked, key, BLOCK, *extremes)
     tried = blocks.filter(~F.col("carry_any")).select(*key, F.lit(True).alias("_tried"))
-    keyed = reference.select(*key, _program_key(row_id).alias("_key")).join(tried, key, "left")
+    keyed = reference.select(*key, "_key").join(tried, key, "left")
     first_tried = F.min(F.when(F.col("_tried"), F.col(row_id)))
     first = keyed.groupBy(*by, "_key").agg(F.coalesce(first_tried, F.min(row_id)).alias(row_id))
-    chosen = reference.drop(SLOW, REFERENCE).join(first.select(*key), key, "left_semi")
+    chosen = reference.drop("_key").join(first.select(*key), key, "left_semi")
     completed = chosen.join(blocks.drop("carry_any"), key, "left").join(
         blocked.withColumn("_measured", F.lit(True)), [*key, BLOCK], "left"
     )
@@ -224,9 +228,9 @@ def best_at_k(results: DataFrame, threshold: float = 1.0, row_id: str = "seq", b
 def report_at_k(best: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS, by: Sequence[str] = ()) -> DataFrame:
     """Per k (and `by`) the means over all rows; a row with fewer generations counts with its last best.
 
-    Rows are not padded to the largest k: those that ended before k are a running sum over the
-    few k. Nor is each threshold counted per row: rows are summed up by k and the band their
-    speedup falls in, and the thresholds are read off that small table.
+    Rows are not padded to the largest k: those that ended before k are a running sum over k, scanned in blocks. Nor is
+    each threshold counted per row: rows are summed up by k and the band their speedup falls in, and the thresholds are
+    read off that table. It is written once, a row per k, so the generations are read in one pass.
     """
     band = sum([(F.col("speedup") >= t).cast("int") for t in sorted(thresholds)], F.lit(0))
     cells = best.groupBy(*by, "k", "is_last", band.alias("band")).agg(
@@ -244,12 +248,9 @@ def report_at_k(best: DataFrame, thresholds: Sequence[float] = REPORT_THRESHOLDS
         *[F.coalesce(F.sum(value), F.lit(0)).alias(name) for name, value in measures.items()],
         *[F.coalesce(F.sum(F.when(F.col("is_last"), value)), F.lit(0)).alias(f"{name}_last") for name, value in measures.items()],
     )
-    ended_before = W.partitionBy(*by).orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-
-    def total(name: str) -> Column:
-        return F.col(name) + F.coalesce(F.sum(f"{name}_last").over(ended_before), F.lit(0))
-
-    totals = per_k.select(*by, "k", *[total(name).alias(name) for name in measures])
+    ended = [f"{name}_last" for name in measures]
+    scanned = running_sums(per_k, by, "k", ended)
+    totals = scanned.select(*by, "k", *[(F.col(name) + F.col(f"before_{name}_last")).alias(name) for name in measures])
     return totals.select(
         *by,
         "k",
@@ -295,7 +296,8 @@ def full_report(
     wanted = prepare_eval(reference).drop("slower_program")
     tried = explode_generations(outputs.select("model", "seq", "codes"), "codes")
     measured = adjust_runtime(join_measurements(tried, measurements, key)).drop("code")
-    completed = complete_missing(measured, wanted, by=by)
+    # Two reports read the completed rows.
+    completed = materialized(complete_missing(measured, wanted, by=by), "completed")
     at_k = report_at_k(best_at_k(completed, by=by), thresholds, by)
     best = report_problem_best(problem_best(fastest_generated(completed, by=by), by), thresholds, by)
     references = report_reference(wanted, thresholds, by)

@@ -52,14 +52,32 @@ def spread(df: DataFrame, key: list[str]) -> DataFrame:
     return df.repartition(int(partitions), *key) if partitions else df
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of `spark.checkpoint.dir`; a local one only where that is unset and the master is local."""
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application in the shared folder of `spark.checkpoint.dir`; a local one only where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="paceline-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        base = tempfile.gettempdir()
+    return os.path.join(base, f"paceline-{spark.sparkContext.applicationId}")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the application's scratch folder."""
+    return os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has written to scratch; for the end of a run, when its results are written."""
+    file_system, hadoop_path = _located(spark, scratch_folder(spark))
+    file_system.delete(hadoop_path, True)
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write once to scratch and read back: what follows reads narrow files as often as it likes, and lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _located(spark: SparkSession, path: str) -> tuple:

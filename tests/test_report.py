@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline.functions import numbers
-from paceline.operators import report
+from paceline.operators import ranking, report
 
 INF = float("inf")
 NAN = float("nan")
@@ -185,3 +185,50 @@ def test_key_columns_keep_tests_and_src_id(spark):
 def test_order_tests(spark):
     frame = spark.createDataFrame([([1, 3, 2],)], "tests array<int>")
     assert report.order_tests(frame).first()["tests"] == [3, 2, 1]
+
+
+def test_running_sums_against_loops_and_without_a_window_over_all_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), k, rng.choice((None, 0, 1, 5)), float(k)) for k in sorted(rng.sample(range(-40, 400), 150))]
+    frame = spark.createDataFrame(rows, "model string, k bigint, n bigint, x double").repartition(3)
+    for width in (1, 7, 64, 5000):
+        got = ranking.running_sums(frame, ["model"], "k", ["n", "x"], width)
+        assert got.columns == ["model", "k", "n", "x", "before_n", "before_x"]
+        for row in got.collect():
+            earlier = [r for r in rows if r[0] == row["model"] and r[1] < row["k"]]
+            assert (row["before_n"], row["before_x"]) == (sum(r[2] or 0 for r in earlier), sum(r[3] for r in earlier))
+        assert got.count() == len(rows)
+    plain = ranking.running_sums(frame.drop("model"), [], "k", ["n"], 64)
+    assert plain.count() == len(rows) and plain.agg(F.max("before_n")).first()[0] == sum(r[2] or 0 for r in sorted(rows, key=lambda r: r[1])[:-1])
+    assert ranking.running_sums(frame.limit(0), ["model"], "k", ["n"]).count() == 0
+    windows = [line for line in plain._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    # Rows are ordered inside their block only; what is ordered as a whole are the blocks.
+    assert len(windows) == 2 and sum("_block" in line.split("windowspecdefinition")[0] or "[_block" in line for line in windows) == 2
+
+
+def test_inputs_of_the_report_are_scanned_once(spark, tmp_path):
+    """The executed plans of completion, problem best and best at k read each given table in one scan."""
+    rows, gens = evaluation(seed=2)
+    spark.createDataFrame(gens, GENS).write.parquet(f"{tmp_path}/gens")
+    spark.createDataFrame(rows, ROWS).write.parquet(f"{tmp_path}/rows")
+    opened = []
+
+    def counted(name, schema):
+        def note(batches):
+            for batch in batches:
+                with open(f"{tmp_path}/{name}.log", "a") as log:
+                    log.write(f"{batch.num_rows}\n")
+                yield batch
+
+        opened.append(name)
+        return spark.read.parquet(f"{tmp_path}/{name}").coalesce(1).mapInArrow(note, schema)
+
+    def reads(name):
+        lines = (tmp_path / f"{name}.log").read_text().split()
+        (tmp_path / f"{name}.log").write_text("")
+        return sum(map(int, lines))
+
+    for build in (lambda c: report.problem_best(report.fastest_generated(c)), lambda c: report.report_at_k(report.best_at_k(c)), lambda c: c):
+        adjusted = report.adjust_runtime(counted("gens", GENS)).drop("code")
+        build(report.complete_missing(adjusted, counted("rows", ROWS))).collect()
+        assert reads("gens") == len(gens) and reads("rows") == len(rows)
