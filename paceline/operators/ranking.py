@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,25 +12,65 @@ from pyspark.sql import Window as W
 from paceline.session import materialized
 
 
-def dense_index(df: DataFrame, order_col: str, name: str, ranges: int = 256) -> DataFrame:
-    """Add the 0-based position of each row by a unique column.
+def dense_index(df: DataFrame, order_col: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row by a unique column, of any type that orders.
 
-    Rows are cut at approximate quantiles of the column, so ranges hold about equally many rows, dense values or
-    sparse. Ranges are numbered in parallel and shifted by the count of the rows before them, a table of at most
-    `ranges` rows. The cuts only place the work; they come to the driver so that every use sees the same ones.
+    Rows are dealt to sorted ranges once, numbered inside their range and written; the rows of each range that was written
+    shift the numbers of those behind it. What follows reads the written rows: neither the input nor a window runs again.
+    `ranges` is as many as the session has shuffle partitions where it is not given.
     """
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(order_col, shares, 10 * ranges)).first()[0] if shares else None
-    position = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order_col))) if cuts else F.lit(0)
-    ranged = df.withColumn("_range", position)
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_range")
-        .agg(F.count("*").alias("_rows"))
-        .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    within = F.row_number().over(W.partitionBy("_range").orderBy(order_col)) - 1
-    return ranged.join(offsets, "_range").withColumn(name, F.col("_offset") + within).drop("_range", "_offset")
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(ranges, order_col).sortWithinPartitions(order_col)
+    # The lower half of the generated id counts the rows of a task; a task that runs again numbers alike.
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    written = materialized(ordered.withColumns({"_range": F.spark_partition_id(), "_within": within}), "positions")
+    sizes = {row["_range"]: row["count"] for row in written.groupBy("_range").count().collect()}  # one row per range
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(ranges - 1))]
+    position = F.get(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("_range")) + F.col("_within")
+    return written.withColumn(name, position).drop("_range", "_within")
+
+
+def first_rows(df: DataFrame, n: int, keys: Sequence[Column], cuts: int = 64, small: int = 4096) -> DataFrame:
+    """The first `n` rows by `keys`, ascending, in no order and partitioned as `df` is; together the keys must tell rows apart.
+
+    The n-th key is found by a histogram that is refined: so many keys of smallest hash cut the rows into intervals, one
+    pass counts these, and the interval that holds the n-th key is cut in turn, until it has `small` rows at most. The rows
+    up to that key are then a filter. Only the keys are written and read again; no task holds n rows.
+    """
+    key = F.struct(*[column.alias(f"k{i}") for i, column in enumerate(keys)])
+    part = materialized(df.select(key.alias("key")), "order-keys")
+    fields = part.schema["key"].dataType.fields
+    size, rank = part.count(), n
+    if n >= size:
+        return df
+    if n <= 0:
+        return df.limit(0)
+
+    def literal(values: Sequence) -> Column:
+        return F.struct(*[F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(values, fields)])
+
+    while size > small:
+        sample = part.orderBy(F.xxhash64("key")).limit(cuts).distinct().orderBy("key").collect()
+        bounds = [literal(row["key"]) for row in sample]
+        below = F.size(F.filter(F.array(*bounds), lambda bound: bound < F.col("key")))
+        counts = dict(sorted(tuple(row) for row in part.groupBy(below.alias("below")).count().collect()))  # one row per interval
+        for interval, count in counts.items():
+            if rank <= count:
+                break
+            rank -= count
+        if count == size:
+            raise ValueError("keys that order rows must tell them apart")
+        size = count
+        if interval:
+            part = part.filter(F.col("key") > bounds[interval - 1])
+        if interval < len(bounds):
+            part = part.filter(F.col("key") <= bounds[interval])
+    ordered = part.orderBy("key").limit(rank + 1).collect()
+    last = ordered[rank - 1]["key"]
+    if ordered[rank:] == [(last,)]:
+        raise ValueError("keys that order rows must tell them apart")
+    return df.filter(key <= literal(last))
 
 
 def running_sums(

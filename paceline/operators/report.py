@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from paceline.functions.numbers import (
     INFINITY,
@@ -22,7 +21,7 @@ from paceline.functions.numbers import (
     threshold_name,
 )
 from paceline.functions.text import listed, strip
-from paceline.operators.ranking import block_carries, running_extremes, running_sums
+from paceline.operators.ranking import block_carries, first_rows, running_extremes, running_sums
 from paceline.session import materialized
 
 SLOW, REFERENCE = "src_code", "tgt_code"
@@ -38,14 +37,14 @@ KEY_SUFFIXES = ("_compilation", "_accuracy", "_runtime", "_tc2time")
 def prepare_eval(
     df: DataFrame, list_columns: Sequence[str] = (), first_n: int | None = None, order_col: str = "seq"
 ) -> DataFrame:
-    """Revive JSON list columns, strip the slow program, drop unchanged pairs, keep the first n if asked.
+    """Revive JSON list columns, strip the slow program, drop unchanged pairs, keep the first `first_n` by a unique column if asked.
 
     Text that is no list is one entry; a row without slow or reference program counts as changed.
     """
     for name in list_columns:
         df = df.withColumn(name, listed(F.col(name)))
     df = df.withColumn("slower_program", strip(SLOW)).filter(~F.col(SLOW).eqNullSafe(F.col(REFERENCE)))
-    return df if first_n is None else df.orderBy(order_col).limit(first_n)
+    return df if first_n is None else first_rows(df, first_n, [F.col(order_col)])
 
 
 def generation_arity(df: DataFrame, generations: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from paceline.functions.numbers import SPEEDUP_BANDS
 from paceline.functions.text import SCORED_CATEGORIES, bind
 from paceline.operators.collect import stack_sides
-from paceline.operators.ranking import top_k_per_group
+from paceline.operators.ranking import first_rows, top_k_per_group
 
 UNSCORED = -100.0
 
@@ -43,8 +43,8 @@ def best_only(df: DataFrame) -> DataFrame:
 
 
 def random_sample_n(df: DataFrame, n: int, id_col: str, seed: int = 0, order: Sequence[Column] | None = None) -> DataFrame:
-    """H4: exactly n rows (or all) without replacement; each task keeps n rows, then one merges."""
-    return df.orderBy(*(order or random_order(id_col, seed))).limit(n)
+    """H4: exactly n rows (or all) without replacement, in no order; rows are told apart by `order`, whose default ends in the id."""
+    return first_rows(df, n, order or random_order(id_col, seed))
 
 
 def top_speedup_capped(df: DataFrame, n: int, cap: int = 4, id_col: str = "id", speedup: str = "speedup") -> DataFrame:
@@ -100,8 +100,9 @@ def unscored_count(scored: DataFrame) -> DataFrame:
 
 
 def top_by_score(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
-    """H8: the n best scores, ties by id."""
-    return df.orderBy(F.desc("score"), id_col).limit(n)
+    """H8: the rows of the n best scores, ties by id, in no order; without a score comes last, NaN first."""
+    score = F.col("score").cast("double")
+    return first_rows(df, n, [score.isNull(), ~F.isnan(score), -score, F.col(id_col)])
 
 
 def balanced_round_robin(

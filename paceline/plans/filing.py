@@ -35,9 +35,10 @@ def _(v):
 def _(v):
     folder = scratch_path(v.spark, "metadata")
     rows = v("metadata_rows").select("submission_id", "problem_id", "user_id", F.lit("x").alias("language"), "seq")
-    # Older rows are in the file that is read first.
-    for name, part in (("p1", rows.filter("seq < 0")), ("p2", rows.filter("seq >= 0"))):
-        part.drop("seq").write.csv(f"{folder}/{name}.csv", header=True)
+    # Older rows are in the file that is read first, whose columns stand in another order.
+    orders = (["submission_id", "problem_id", "user_id", "language"], ["user_id", "language", "submission_id", "problem_id"])
+    for name, part, columns in (("p1", rows.filter("seq < 0"), orders[0]), ("p2", rows.filter("seq >= 0"), orders[1])):
+        part.select(columns).write.csv(f"{folder}/{name}.csv", header=True)
     return files.read_submission_metadata(v.spark, f"{folder}/p*.csv")
 
 
@@ -64,13 +65,15 @@ def _(v):
     return files.load_registered_dataset(v.spark, registry, "pairs", base, "seq bigint, src_code string, tgt_code string")
 
 
-@query("s6_materialize_once", "SELECT problem_id, count(*) AS submissions FROM @subs GROUP BY problem_id")
+@query("s6_materialize_once", "SELECT problem_id, count(*) AS submissions, count(DISTINCT user_id) AS users FROM @subs GROUP BY problem_id")
 def _(v):
     path = scratch_path(v.spark, "materialized")
     counted = v("subs").groupBy("problem_id").agg(F.count("*").alias("submissions"))
-    files.materialize_once(v.spark, path, lambda: counted)
-    # The second call must read the first one's result.
-    return files.materialize_once(v.spark, path, lambda: counted.limit(0))
+    files.materialize_once(v.spark, path, lambda: counted, "submissions")
+    # A build of another fingerprint replaces the first one's result; the third call must read the second one's.
+    both = v("subs").groupBy("problem_id").agg(F.count("*").alias("submissions"), F.countDistinct("user_id").alias("users"))
+    files.materialize_once(v.spark, path, lambda: both, "submissions, users")
+    return files.materialize_once(v.spark, path, lambda: both.limit(0), "submissions, users")
 
 
 @query(

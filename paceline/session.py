@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,29 @@ def has_files(spark: SparkSession, folder: str) -> bool:
     return file_system.exists(hadoop_path) and any(not f.getPath().getName().startswith(".") for f in file_system.listStatus(hadoop_path))
 
 
+def delete_entries(spark: SparkSession, folder: str, chosen: Callable[[str], bool]) -> list[str]:
+    """Delete the files and folders directly in `folder` whose name is chosen; returns their names."""
+    file_system, hadoop_path = _located(spark, folder)
+    found = [f.getPath() for f in file_system.listStatus(hadoop_path) if chosen(f.getPath().getName())]
+    for path in found:
+        file_system.delete(path, True)
+    return sorted(path.getName() for path in found)
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a text file, compressed or not, without what ends it; empty for an empty file."""
+    file_system, hadoop_path = _located(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop
+    codec = hadoop.io.compress.CompressionCodecFactory(spark._jsparkSession.sessionState().newHadoopConf()).getCodec(hadoop_path)
+    stream = file_system.open(hadoop_path)
+    try:
+        line = hadoop.io.Text()
+        hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream).readLine(line)
+        return line.toString().removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
 def read_mark(spark: SparkSession, path: str) -> str | None:
     """The text of a small file on whatever file system `path` names; nothing where there is none."""
     file_system, hadoop_path = _located(spark, path)
@@ -110,25 +134,25 @@ def read_mark(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_mark(spark: SparkSession, path: str, text: str, replace: bool = False) -> str:
+def write_mark(spark: SparkSession, path: str, text: str) -> str:
     """A small file with `text`, whole or not there at all: written beside and renamed. Returns the text the file has then.
 
-    Without `replace` a file that is there already stays, also when another writer has put it there meanwhile.
+    A file that is there already stays, also when another writer has put it there meanwhile.
     """
     file_system, hadoop_path = _located(spark, path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(hadoop_path.getParent(), f"{hadoop_path.getName()}.{uuid.uuid4().hex}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    beside = hadoop.Path(hadoop_path.getParent(), f".{hadoop_path.getName()}.{uuid.uuid4().hex}")
     stream = file_system.create(beside, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
-    kinds = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(kinds, 1)
-    options[0] = kinds.OVERWRITE if replace else kinds.NONE
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.NONE
     try:
-        files.rename(beside, hadoop_path, options)
+        # Unlike a file system's own, this rename fails where the file is there.
+        hadoop.FileContext.getFileContext(hadoop_path.toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(beside, hadoop_path, options)
     except Py4JJavaError:
         file_system.delete(beside, False)
-        found = None if replace else read_mark(spark, path)
+        found = read_mark(spark, path)
         if found is None:
             raise
         return found

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import csv
+import hashlib
+import re
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paceline.functions.text import listed
-from paceline.session import path_exists
+from paceline.session import delete_entries, first_line, read_mark, write_mark
 
 
 def _decoded(name: Column) -> Column:
@@ -40,19 +47,57 @@ def _line_order() -> Column:
     )
 
 
+def files_by_header(spark: SparkSession, path: str, threads: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files under a glob by the names in their first line; empty files are left out.
+
+    Only first lines are read, here on the driver as the listing of the files is; as many at once as `threads`.
+    """
+    # The listing of a text scan: hidden files and folders are treated as in any other scan.
+    paths = sorted(spark.read.text(path).inputFiles())
+    with ThreadPool(threads) as pool:
+        lines = pool.map(lambda name: first_line(spark, unquote(name)), paths)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for name, line in zip(paths, lines):
+        if line:
+            groups.setdefault(tuple(next(csv.reader([line]))), []).append(unquote(name))
+    return groups
+
+
+def read_csv_by_name(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Named columns, as text, of all CSV files under a glob, each read by its own header; `_order` is the reading order.
+
+    Files with one header are one scan, which reads the wanted columns only. A file that lacks one is an error.
+    """
+    parts = []
+    for header, names in files_by_header(spark, path).items():
+        if missing := [c for c in columns if c not in header]:
+            raise ValueError(f"no column {', '.join(missing)} in {names[0]}")
+        # Names that repeat, which the file may have beside the wanted ones, get their place added.
+        schema = StructType([StructField(c if header.index(c) == i else f"{c}_{i}", StringType()) for i, c in enumerate(header)])
+        scan = spark.read.schema(schema).option("header", True).csv([_escaped(name) for name in names])
+        parts.append(scan.select(*[F.col(f"`{c}`") for c in columns], _line_order().alias("_order")))
+    if not parts:
+        order = "struct<file: string, block: bigint, row: bigint>"
+        return spark.createDataFrame([], ", ".join([*(f"`{c}` string" for c in columns), f"_order {order}"]))
+    return reduce(DataFrame.union, parts)
+
+
+def _escaped(path: str) -> str:
+    """A file's own name, in which signs of a glob stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def read_submission_metadata(spark: SparkSession, path: str) -> DataFrame:
     """S3: the three wanted columns of all CSV files, rows with a gap skipped, the last row of an id wins.
 
-    The winner is a grouped maximum with partial aggregation, so repeats of one id collapse before the shuffle.
+    Each file goes by its own header, so files may have other columns, or the same in another order. The winner is a
+    grouped maximum with partial aggregation, so repeats of one id collapse before the shuffle.
     """
-    # The header names all columns of a file; selecting by name leaves the rest unread. Columns go by place in all
-    # files, so a file with another header than the first is an error.
-    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path).select(
-        "submission_id", "problem_id", "user_id", _line_order().alias("_order")
-    )
-    complete = rows.dropna(subset=["submission_id", "problem_id", "user_id"])
+    names = ["submission_id", "problem_id", "user_id"]
     return (
-        complete.groupBy("submission_id")
+        read_csv_by_name(spark, path, names)
+        .dropna(subset=names)
+        .groupBy("submission_id")
         .agg(F.max(F.struct("_order", "problem_id", "user_id")).alias("_last"))
         .select("submission_id", "_last.problem_id", "_last.user_id")
     )
@@ -84,11 +129,33 @@ def load_registered_dataset(
     return records.withColumnsRenamed({old: new for new, old in entry["columns"].items()})
 
 
-def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The saved result if it is complete, else compute and save it; cuts lineage on shared storage."""
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _mark(path: str, fingerprint: str) -> str:
+    return f"{path}/_published-{hashlib.sha256(fingerprint.encode()).hexdigest()[:32]}"
+
+
+def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], fingerprint: str = "") -> DataFrame:
+    """The saved result of this `fingerprint` if there is one, else compute and save it; cuts lineage on shared storage.
+
+    `fingerprint` names what the result is made of: inputs, parameters, code. A build writes a folder of its own and then
+    publishes it through a small file, one for each fingerprint, that is put in place in one step and never changed. A
+    build that has failed, or is still running, is therefore never read; of two that run at once the first to publish
+    wins, and both return its rows. Readers of another result keep it until `drop_old_versions`.
+    """
+    mark = _mark(path, fingerprint)
+    version = read_mark(spark, mark)
+    if version is None:
+        own = f"version-{uuid.uuid4().hex}"
+        build().write.parquet(f"{path}/{own}")
+        version = write_mark(spark, mark, own)
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def drop_old_versions(spark: SparkSession, path: str, fingerprint: str = "") -> list[str]:
+    """Delete all that was saved under `path` but the result of this fingerprint; for a time when no build runs."""
+    mark = _mark(path, fingerprint)
+    current = read_mark(spark, mark)
+    stale = delete_entries(spark, path, lambda name: name.startswith("_published-") and name != mark.rpartition("/")[2])
+    return stale + delete_entries(spark, path, lambda name: name.startswith("version-") and name != current)
 
 
 def read_model_outputs(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:

@@ -4,10 +4,10 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from paceline.operators import collect, pairs
-from paceline.operators.ranking import block_carries, dense_index, running_extremes, top_k_per_group
-from pyspark.sql import functions as F
+from paceline.operators.ranking import block_carries, dense_index, first_rows, running_extremes, top_k_per_group
 
 SUBS = "seq bigint, solution_id string, problem_id string, user_id string, runtime double, code string"
 
@@ -158,6 +158,40 @@ def test_dense_index_over_gaps_and_negative_values(spark):
     frame = spark.createDataFrame([(v,) for v in reversed(values)], "seq bigint")
     got = {r["seq"]: r["i"] for r in dense_index(frame, "seq", "i", ranges=4).collect()}
     assert got == {v: i for i, v in enumerate(values)}
+    names = spark.createDataFrame([(f"{v * 7919 % 1000}-x",) for v in range(300)], "name string").repartition(5)
+    got = dense_index(names, "name", "i", ranges=9)
+    assert [r["i"] for r in got.orderBy("name").collect()] == list(range(300))
+    # What reads the positions neither orders nor shuffles rows again.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    assert dense_index(names.limit(0), "name", "i").count() == 0 and dense_index(names, "name", "i").count() == 300
+
+
+@pytest.mark.parametrize("cuts, small", [(64, 4096), (3, 1), (7, 20)])
+def test_first_rows_are_exact_for_any_refinement(spark, cuts, small):
+    rng = random.Random(cuts)
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, rng.choice((None, nan, inf, -inf, 0.0, 1.5, -2.0)), rng.choice((None, "a", "b", "é"))) for i in range(200)]
+    frame = spark.createDataFrame(rows, "id bigint, x double, name string").repartition(5)
+    for keys in ([F.col("x"), F.col("id")], [F.col("name"), -F.col("x"), -F.col("id")], [F.col("id")]):
+        wanted = [r["id"] for r in frame.orderBy(*keys).select("id").collect()]
+        for n in (0, 1, 7, 100, 199, 200, 500):
+            got = first_rows(frame, n, keys, cuts, small)
+            assert sorted(r["id"] for r in got.collect()) == sorted(wanted[:n]), (keys, n)
+    with pytest.raises(ValueError, match="tell them apart"):
+        first_rows(spark.range(50).selectExpr("1 AS x"), 7, [F.col("x")], cuts, small)
+
+
+def test_a_million_first_rows_stay_partitioned(spark):
+    frame = spark.range(0, 1_500_000, numPartitions=8).selectExpr("id", "hash(id) AS score")
+    chosen = first_rows(frame, 1_000_000, [F.col("score"), F.col("id")])
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert not any(name in plan for name in ("TakeOrdered", "GlobalLimit", "Exchange", "Sort"))
+    assert chosen.rdd.getNumPartitions() == 8
+    sizes = [r["count"] for r in chosen.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_000_000 and max(sizes) < 150_000
+    last = chosen.agg(F.max("score")).first()[0]
+    assert frame.filter(F.col("score") < last).count() <= 1_000_000 <= frame.filter(F.col("score") <= last).count()
 
 
 @pytest.mark.parametrize("k", [1, 3, 50])

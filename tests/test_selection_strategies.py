@@ -73,9 +73,17 @@ def test_round_robin_is_repeatable_and_seeded(frame):
 
 def test_random_sample_is_exact_repeatable_and_without_replacement(frame):
     def ids(seed, parts=3):
-        return [r["id"] for r in selection.random_sample_n(frame.repartition(parts), 20, "id", seed).collect()]
+        return sorted(r["id"] for r in selection.random_sample_n(frame.repartition(parts), 20, "id", seed).collect())
 
-    assert len(set(ids(1))) == 20 and ids(1) == ids(1, 5) and set(ids(1)) != set(ids(2))
+    assert len(ids(1)) == len(set(ids(1))) == 20 and ids(1) == ids(1, 5) and ids(1) != ids(2)
+
+
+def test_top_by_score_is_that_of_the_sort(spark):
+    scores = [None, float("nan"), 2.0, 2.0, -100.0, float("inf"), None, 0.5]
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "id bigint, score double")
+    wanted = [r["id"] for r in frame.orderBy(F.desc("score"), "id").collect()]
+    for n in range(len(scores) + 1):
+        assert sorted(r["id"] for r in selection.top_by_score(frame, n).collect()) == sorted(wanted[:n])
 
 
 def test_top_speedup_caps_problems_and_skips_cross_user_rows(frame):

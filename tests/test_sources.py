@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import gzip
 import json
+import threading
+from multiprocessing.pool import ThreadPool
 
+import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators.measurements import parse_stats_lines, simulated_seconds
@@ -52,19 +56,64 @@ def test_registered_dataset_is_renamed(spark, tmp_path):
     assert got.first().asDict() == {"prompt": "i", "response": "o"}
 
 
-def test_materialize_once_computes_once_and_not_after_a_crash(spark, tmp_path):
+def test_metadata_files_go_by_their_own_header(spark, tmp_path):
+    (tmp_path / "p1.csv").write_text("submission_id,problem_id,user_id,date\ns1,p1,u1,0\ns2,p1,u1,0\n")
+    (tmp_path / "p2.csv").write_text('user_id,"problem, id",status,submission_id,problem_id,status\nu2,x,ok,s1,p2,ok\nu3,x,,s3,"p,3",\n')
+    (tmp_path / "p3.csv").write_text("")
+    (tmp_path / "p [4]*.csv").write_text("\ufeffsubmission_id,problem_id,user_id\ns4,p4,u4\n")
+    with gzip.open(tmp_path / "p5.csv.gz", "wt") as file:
+        file.write("problem_id,submission_id,user_id\np5,s5,u5\np1,s2,u9\n")
+    got = files.read_submission_metadata(spark, f"{tmp_path}/p*")
+    wanted = {("s1", "p2", "u2"), ("s2", "p1", "u9"), ("s3", "p,3", "u3"), ("s4", "p4", "u4"), ("s5", "p5", "u5")}
+    assert set(map(tuple, got.collect())) == wanted and got.count() == len(wanted)
+    plan = files.read_csv_by_name(spark, f"{tmp_path}/p*", ["submission_id"]).drop("_order")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReadSchema: struct<submission_id:string>") == 4
+    (tmp_path / "p6.csv").write_text("submission_id,user_id\n")
+    with pytest.raises(ValueError, match="no column problem_id in .*p6.csv"):
+        files.read_submission_metadata(spark, f"{tmp_path}/p*")
+    assert files.read_submission_metadata(spark, f"{tmp_path}/p3*").count() == 0
+
+
+def test_materialize_once_computes_once_and_publishes_whole_results(spark, tmp_path):
     calls = []
 
-    def build():
-        calls.append(1)
-        return spark.range(3)
+    def build(rows=3):
+        calls.append(rows)
+        return spark.range(rows)
 
     path = f"{tmp_path}/saved"
     assert files.materialize_once(spark, path, build).count() == 3
-    assert files.materialize_once(spark, path, build).count() == 3 and len(calls) == 1
-    (tmp_path / "saved" / "_SUCCESS").rename(tmp_path / "gone")
-    files.materialize_once(spark, path, build)
-    assert len(calls) == 2
+    first = files.materialize_once(spark, path, build)
+    assert first.count() == 3 and calls == [3]
+    # Another build than the one that is saved.
+    assert files.materialize_once(spark, path, lambda: build(5), "five").count() == 5
+    assert files.materialize_once(spark, path, lambda: build(7), "five").count() == 5 and calls == [3, 5]
+    assert first.count() == 3
+    # A build that fails after it has written leaves what was there.
+    broken = lambda: spark.range(9).selectExpr("CASE WHEN id = 8 THEN raise_error('broken') ELSE id END AS id")
+    with pytest.raises(Exception, match="broken"):
+        files.materialize_once(spark, path, broken, "nine")
+    assert files.materialize_once(spark, path, build, "five").count() == 5
+    # The first result's mark and folder, and the folder of the failed build.
+    assert len(files.drop_old_versions(spark, path, "five")) == 3 and files.drop_old_versions(spark, path, "five") == []
+    assert files.materialize_once(spark, path, build, "five").count() == 5 and calls == [3, 5]
+    assert files.materialize_once(spark, path, build).count() == 3 and calls == [3, 5, 3]
+
+
+def test_two_builds_at_once_give_one_result(spark, tmp_path):
+    path, both = f"{tmp_path}/saved", threading.Barrier(2, timeout=60)
+    files.materialize_once(spark, path, lambda: spark.range(1), "old")
+
+    def build(rows):
+        both.wait()
+        return spark.range(rows)
+
+    with ThreadPool(2) as pool:
+        results = pool.map(lambda rows: files.materialize_once(spark, path, lambda: build(rows), "new"), [100, 200], 1)
+    counts = [r.count() for r in results]
+    assert counts[0] == counts[1] and counts[0] in (100, 200)
+    assert files.materialize_once(spark, path, lambda: spark.range(0), "new").count() == counts[0]
+    assert files.materialize_once(spark, path, lambda: spark.range(0), "old").count() == 1
 
 
 def test_model_outputs_are_found_by_their_file_name(spark, tmp_path):
