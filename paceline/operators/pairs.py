@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from paceline.functions.text import strip_cpp_comments
 from paceline.operators.collect import pair_id
+from paceline.session import materialized
 
 GROUP = ["problem_id", "user_id"]
 PARTS = ("problem_id", "src_id", "tgt_id")
@@ -75,6 +77,50 @@ def speed_ordered_pairs(submissions: DataFrame, known: DataFrame, min_speedup: f
     )
 
 
+def _largest_target(runtime: Column, min_speedup: float) -> Column:
+    """The largest target runtime whose speedup, as floating division gives it, is `min_speedup` or more.
+
+    Division falls as the target grows, so the targets up to this one are all that reach the speedup. It lies within a few
+    places of the quotient: steps of half a place meet every number there.
+    """
+    near = runtime / F.lit(min_speedup)
+    steps = [near + near * F.lit(k * 2.0**-53) for k in range(-6, 7)]
+    return F.greatest(*[F.when(runtime / step >= min_speedup, step) for step in steps])
+
+
+def pair_totals(submissions: DataFrame, min_speedup: float = 1.1, ranges: int = 256) -> DataFrame:
+    """P1/P8 without a known set: `pairs` and `best_pairs` of each problem with a speedup of at least `min_speedup`, above 1.
+
+    No pair is made. Submissions are folded to distinct runtimes of a (problem, user) group first; a source counts the
+    targets up to the largest that reaches the speedup, which is a running count along sorted runtimes. Runtimes are cut
+    at quantiles of all: a task scans the runtimes of one group in one range, and the few ranges of a group are put
+    together, so a group with very many submissions is spread over `ranges` tasks. Submissions without a finite runtime
+    above zero are in no pair.
+    """
+    timed = submissions.select(*GROUP, F.col("runtime").cast("double").alias("runtime")).filter((F.col("runtime") > 0) & (F.col("runtime") < float("inf")))
+    fastest = timed.groupBy(*GROUP).agg(F.min("runtime").alias("fastest"))
+    best = timed.join(fastest, GROUP).filter(F.col("runtime") / F.col("fastest") >= min_speedup).groupBy("problem_id").agg(F.count("*").alias("best_pairs"))
+    both = F.array(
+        F.struct(F.col("runtime").alias("at"), F.lit(1).alias("target"), F.lit(0).alias("source")),
+        F.struct(_largest_target(F.col("runtime"), min_speedup).alias("at"), F.lit(0).alias("target"), F.lit(1).alias("source")),
+    )
+    folded = timed.select(*GROUP, F.inline(both)).groupBy(*GROUP, "at").agg(F.sum("target").alias("targets"), F.sum("source").alias("sources"))
+    folded = materialized(folded, "runtimes")
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(folded.agg(F.percentile_approx("at", shares, 10 * ranges)).first()[0] or ())) if shares else []
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("at"))) if cuts else F.lit(0)
+    ranged = folded.withColumn("range", place)
+    # A target counts for the sources at its own runtime too.
+    upto = W.partitionBy(*GROUP, "range").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = ranged.withColumn("upto", F.sum("targets").over(upto)).groupBy(*GROUP, "range").agg(
+        F.sum(F.col("sources") * F.col("upto")).alias("pairs"), F.sum("sources").alias("sources"), F.sum("targets").alias("targets")
+    )
+    earlier = W.partitionBy(*GROUP).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    whole = F.col("pairs") + F.col("sources") * F.coalesce(F.sum("targets").over(earlier), F.lit(0))
+    counted = inside.withColumn("pairs", whole).groupBy("problem_id").agg(F.sum("pairs").alias("pairs"))
+    return counted.join(best, "problem_id", "left").select("problem_id", "pairs", F.coalesce("best_pairs", F.lit(0)).alias("best_pairs"))
+
+
 def best_solution_per_problem(submissions: DataFrame) -> DataFrame:
     """The fastest submission of each problem over all users.
 

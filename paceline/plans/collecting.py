@@ -188,6 +188,18 @@ def _(v):
     return pairs.pair_summary(pairs.full_pairs(v("subs"), v("known_pairs")))
 
 
+# Every pair of every group, as the definition has it.
+@query(
+    "p8_pair_totals",
+    """SELECT s.problem_id, count(*) FILTER (WHERE s.runtime / t.runtime >= 1.1) AS pairs,
+  count(*) FILTER (WHERE s.runtime / t.runtime >= 1.1 AND t.rk = 1) AS best_pairs
+FROM @ranked_subs s LEFT JOIN @ranked_subs t ON s.problem_id = t.problem_id AND s.user_id = t.user_id AND t.rk < s.rk
+WHERE s.runtime > 0 GROUP BY s.problem_id""",
+)
+def _(v):
+    return pairs.pair_totals(v("subs"))
+
+
 _CLEAN = (
     r"regexp_replace(regexp_replace(regexp_replace({}.code, '(?s)/\*.*?\*/', '', 'g'), '//.*', '', 'g'), '^\s+|\s+$', '', 'g')"
 )

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 
@@ -240,3 +241,25 @@ def test_clean_test_set_keeps_twenty_tests(spark):
 def test_drop_identical_pairs(spark):
     frame = spark.createDataFrame([("a", "a"), ("a", "b")], "src_code string, tgt_code string")
     assert pairs.drop_identical_pairs(frame).count() == 1
+
+
+@pytest.mark.parametrize("ranges, least", [(1, 1.1), (5, 1.1), (256, 2.0)])
+def test_pair_totals_against_all_pairs(spark, ranges, least):
+    """Ties, a hot group, runtimes whose ratios are at the threshold or a place beside it, and runtimes that count for nothing."""
+    rng = random.Random(ranges)
+    times = [1.0, 1.1, 1.21, 2.0, 2.2, 3.3, 0.1, 0.11, 1e-310, 1e300, None, 0.0, -1.0, float("inf"), float("nan")]
+    times += [math.nextafter(x * least, y) for x in (0.1, 0.3, 0.7, 1.0, 3.3) for y in (-9, 9)] + [x * least for x in (0.1, 0.3, 0.7, 3.3)] + [0.3, 0.7, 3.3]
+    rows = [(n, f"p{rng.randint(0, 3)}", "hot" if rng.random() < 0.5 else f"u{rng.randint(0, 4)}", rng.choice(times)) for n in range(500)]
+    wanted = defaultdict(lambda: [0, 0])
+    groups = defaultdict(list)
+    for seq, problem, user, time in rows:
+        if time is not None and 0 < time < float("inf"):
+            groups[problem, user].append((time, seq))
+    for (problem, _), group in groups.items():
+        group.sort()
+        wanted[problem][0] += sum(s / t >= least for j, (s, _) in enumerate(group) for t, _ in group[:j])
+        wanted[problem][1] += sum(s / group[0][0] >= least for s, _ in group)
+    frame = spark.createDataFrame(rows, "seq bigint, problem_id string, user_id string, runtime double")
+    got = {r["problem_id"]: [r["pairs"], r["best_pairs"]] for r in pairs.pair_totals(frame, least, ranges).collect()}
+    assert got == wanted and sum(p for p, _ in got.values()) > 1000
+    assert pairs.pair_totals(frame.limit(0), least, ranges).count() == 0
