@@ -205,14 +205,19 @@ def strategy_entries(suggestion: Column | str) -> Column:
         ),
     )
 
-    def last_per_title(entries: Column) -> Column:
-        titles = F.array_distinct(F.transform(entries, lambda entry: entry["title"]))
-        return F.transform(
-            titles,
-            lambda title: F.element_at(F.filter(entries, lambda entry: entry["title"] == title), -1),
+    # Sorted by title and place, the entries of a title stand side by side: its first gives the place, its last the text.
+    placed = F.transform(parsed, lambda entry, i: F.struct(entry["title"].alias("title"), i.alias("place"), entry["content"].alias("content")))
+
+    def last_per_title(rows: Column) -> Column:
+        def ends(step: int) -> Column:
+            return F.filter(rows, lambda row, i: ~row["title"].eqNullSafe(F.get(rows, i + step)["title"]))
+
+        folded = F.zip_with(
+            ends(-1), ends(1), lambda first, last: F.struct(first["place"].alias("place"), first["title"].alias("title"), last["content"].alias("content"))
         )
+        return F.transform(F.array_sort(folded), lambda row: F.struct(row["title"].alias("title"), row["content"].alias("content")))
 
-    return bind(parsed, last_per_title)
+    return bind(F.array_sort(placed), last_per_title)
 
 
 def title_content_map(suggestion: Column | str) -> Column:

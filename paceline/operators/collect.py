@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from paceline.functions.text import as_column
@@ -58,6 +58,43 @@ def metadata_audit(solutions: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
+def attach_users_audited(solutions: DataFrame, metadata: DataFrame) -> tuple[DataFrame, Observation]:
+    """C2 with C3: the solutions with their user, and the audit's counts, which are there once the rows have been written.
+
+    One left join does both: its rows are counted as they pass and those without a match go, so no second job runs. A
+    solution has one row of metadata at most, as S3 reads it.
+    """
+    audit = Observation("metadata_audit")
+    known = metadata.select(F.col("submission_id").alias("solution_id"), F.col("problem_id").alias("_meta_problem"), "user_id")
+    same = F.col("_meta_problem") == F.col("problem_id")
+    joined = solutions.join(known, "solution_id", "left").observe(
+        audit,
+        F.count_if(F.col("_meta_problem").isNull()).alias("not_found"),
+        F.count_if(F.col("_meta_problem") != F.col("problem_id")).alias("problem_mismatch"),
+        F.count_if(same).alias("matched"),
+    )
+    return joined.filter(same).drop("_meta_problem"), audit
+
+
+def filter_active_users_audited(submissions: DataFrame, min_exclusive: int = 2) -> tuple[DataFrame, Observation]:
+    """C6 with the counts of C7 that add up: solutions before and after, and the groups that stay.
+
+    Group sizes meet the submissions once, and both sides are counted as they pass. How many distinct problems and users
+    there are is no running sum: `activity_stats` says that.
+    """
+    activity = Observation("activity")
+    groups = submissions.groupBy("problem_id", "user_id").agg(F.count("*").alias("n_solutions"), F.min("seq").alias("_first_seq"))
+    kept = F.col("n_solutions") > min_exclusive
+    first = F.col("seq") == F.col("_first_seq")
+    counted = submissions.join(groups, ["problem_id", "user_id"]).observe(
+        activity,
+        F.count("*").alias("solutions_before"),
+        F.count_if(kept).alias("solutions_after"),
+        F.count_if(kept & first).alias("submission_sets"),
+    )
+    return counted.filter(kept).drop("n_solutions", "_first_seq"), activity
+
+
 def build_problem_index(submissions: DataFrame, buckets: int = 16) -> DataFrame:
     """C4: problem → user → solution nesting: (problem_id, bucket, user_id) → `map<solution_id, struct>`.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -99,6 +99,13 @@ def unscored_count(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count("*").alias("samples"), F.count_if(F.col("score") == UNSCORED).alias("unscored"))
 
 
+def rarity_score_audited(df: DataFrame, categories: Sequence[str] = SCORED_CATEGORIES, col: str = "category") -> tuple[DataFrame, Observation]:
+    """H7 with its count: the scored rows, and how many there are and have no category, known once the rows have been written."""
+    audit = Observation("unscored")
+    scored = rarity_score(df, categories, col)
+    return scored.observe(audit, F.count("*").alias("samples"), F.count_if(F.col("score") == UNSCORED).alias("unscored")), audit
+
+
 def top_by_score(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     """H8: the rows of the n best scores, ties by id, in no order; without a score comes last, NaN first."""
     score = F.col("score").cast("double")

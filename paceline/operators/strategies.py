@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from paceline.functions.text import (
@@ -84,3 +84,11 @@ def unrecognized_rate(classified: DataFrame) -> DataFrame:
         missing.alias("unrecognized"),
         (F.round(F.try_divide(missing, F.count("*")), 4) * 100).alias("unrecognized_pct"),
     )
+
+
+def classify_audited(df: DataFrame, answer: str = "answer", categories: Sequence[str] = CATEGORY_NAMES) -> tuple[DataFrame, Observation]:
+    """T8 with T9: the classified rows, and how many there are and have no category, known once the rows have been written."""
+    audit = Observation("unrecognized")
+    missing = F.count_if(F.col("category") == UNRECOGNIZED)
+    classified = classify(df, answer, categories)
+    return classified.observe(audit, F.count("*").alias("strategies"), missing.alias("unrecognized")), audit

@@ -10,7 +10,7 @@ from paceline.functions.numbers import SPEEDUP_BANDS
 from paceline.functions.text import SCORED_CATEGORIES, category_names
 from paceline.operators import assembly, collect, generation, selection
 from paceline.plans.extraction import MARKER, NAMES, RENDERED, TEMPLATE
-from paceline.plans.registry import joined, query, r6
+from paceline.plans.registry import joined, query, r6, written_with_counts
 from paceline.session import scratch_path
 from paceline.streaming.incremental import incremental_generation
 
@@ -107,6 +107,14 @@ def _(v):
     return selection.unscored_count(_scored(v))
 
 
+@query(
+    "h7_rarity_score_audited",
+    f"SELECT count(*) AS rows_written, count(*) AS samples, count(*) FILTER (WHERE score = -100) AS unscored FROM ({SCORED}) s",
+)
+def _(v):
+    return written_with_counts(*selection.rarity_score_audited(_categorised(v)), "scored")
+
+
 @query(
     "h8_top_by_score",
     f"SELECT doc_id, round(score, 6) AS score FROM ({SCORED}) s ORDER BY s.score DESC, doc_id LIMIT {SAMPLE}",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paceline.operators import collect, pairs
-from paceline.plans.registry import joined, query
+from paceline.plans.registry import joined, query, written_with_counts
 
 SOLUTIONS = """SELECT solution_id, problem_id, runtime, code FROM (
   SELECT *, row_number() OVER (PARTITION BY solution_id ORDER BY write_no DESC) AS rn FROM (
@@ -42,6 +42,18 @@ def _(v):
     return collect.metadata_audit(collect.collect_unique_solutions(v("raw_pairs")), v("metadata"))
 
 
+@query(
+    "c3_attach_users_audited",
+    f"""WITH sol AS ({SOLUTIONS})
+SELECT count(*) FILTER (WHERE m.problem_id = s.problem_id) AS rows_written, count(*) FILTER (WHERE m.problem_id IS NULL) AS not_found,
+  count(*) FILTER (WHERE m.problem_id <> s.problem_id) AS problem_mismatch, count(*) FILTER (WHERE m.problem_id = s.problem_id) AS matched
+FROM sol s LEFT JOIN @metadata m ON m.submission_id = s.solution_id""",
+)
+def _(v):
+    rows, audit = collect.attach_users_audited(collect.collect_unique_solutions(v("raw_pairs")), v("metadata"))
+    return written_with_counts(rows, audit, "attached")
+
+
 @query(
     "c4_build_problem_index",
     """SELECT problem_id, user_id, solution_id AS entry, problem_id AS record_problem, runtime, code, seq FROM @subs""",
@@ -80,6 +92,16 @@ def _(v):
     return collect.activity_stats(v("subs"), 1)
 
 
+@query(
+    "c7_filter_active_users_audited",
+    """WITH g AS (SELECT problem_id, user_id, count(*) AS n FROM @subs GROUP BY 1, 2)
+SELECT CAST(sum(n) FILTER (WHERE n > 2) AS BIGINT) AS rows_written, CAST(sum(n) AS BIGINT) AS solutions_before,
+  CAST(sum(n) FILTER (WHERE n > 2) AS BIGINT) AS solutions_after, count(*) FILTER (WHERE n > 2) AS submission_sets FROM g""",
+)
+def _(v):
+    return written_with_counts(*collect.filter_active_users_audited(v("subs"), 2), "active")
+
+
 @query(
     "c8_make_sft_pairs",
     """SELECT problem_id || '-' || src_id || '-' || tgt_id AS id, seq, src_code, tgt_code,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import text
 from paceline.operators import strategies
-from paceline.plans.registry import query
+from paceline.plans.registry import query, written_with_counts
 
 TEMPLATE = "Make this program faster.\n\n```cpp\n{{  src_code  }}\n```\n\n**Answer:**\n\n```cpp\n{{  tgt_code  }}\n```"
 MARKER = "**Answer:**"
@@ -229,3 +229,11 @@ FROM ({CLASSIFIED}) c""",
 def _(v):
     rate = strategies.unrecognized_rate(strategies.classify(v("answers")))
     return rate.withColumn("unrecognized_pct", F.round("unrecognized_pct", 6))
+
+
+@query(
+    "t9_classify_audited",
+    f"""SELECT count(*) AS rows_written, count(*) AS strategies, count(*) FILTER (WHERE category = 'N/A') AS unrecognized FROM ({CLASSIFIED}) c""",
+)
+def _(v):
+    return written_with_counts(*strategies.classify_audited(v("answers")), "classified")
