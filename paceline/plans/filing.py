@@ -76,6 +76,21 @@ def _(v):
     return files.materialize_once(v.spark, path, lambda: both.limit(0), "submissions, users")
 
 
+@query(
+    "s6_bucketed_once",
+    """SELECT g.seq, count(*) AS generations, count(m.accuracy) AS measured, round(avg(m.accuracy), 6) AS accuracy
+FROM @gens g LEFT JOIN @measured m ON m.seq = g.seq AND m.gen = g.gen GROUP BY g.seq""",
+)
+def _(v):
+    base = scratch_path(v.spark, "bucketed")
+    # By the row id, so that both the join and the group by it find their rows together.
+    saved = {name: files.bucketed_once(v.spark, f"{base}/{name}", lambda name=name: v(name), ["seq"], 8) for name in ("gens", "measured")}
+    joined = saved["gens"].alias("g").join(saved["measured"].alias("m"), (F.col("g.seq") == F.col("m.seq")) & (F.col("g.gen") == F.col("m.gen")), "left")
+    return joined.groupBy(F.col("g.seq")).agg(
+        F.count("*").alias("generations"), F.count("m.accuracy").alias("measured"), F.round(F.avg("m.accuracy"), 6).alias("accuracy")
+    )
+
+
 @query(
     "s7_read_model_outputs",
     """SELECT seq, gen, 'alpha' AS model, 'resp ' || code AS response, code FROM @gens

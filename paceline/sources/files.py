@@ -133,6 +133,17 @@ def _mark(path: str, fingerprint: str) -> str:
     return f"{path}/_published-{hashlib.sha256(fingerprint.encode()).hexdigest()[:32]}"
 
 
+def _published(spark: SparkSession, path: str, fingerprint: str, write: Callable[[str], None]) -> str:
+    """The folder under `path` that holds the result of this fingerprint; written first where there is none."""
+    mark = _mark(path, fingerprint)
+    version = read_mark(spark, mark)
+    if version is None:
+        own = f"version-{uuid.uuid4().hex}"
+        write(own)
+        version = write_mark(spark, mark, own)
+    return version
+
+
 def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], fingerprint: str = "") -> DataFrame:
     """The saved result of this `fingerprint` if there is one, else compute and save it; cuts lineage on shared storage.
 
@@ -141,15 +152,34 @@ def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFra
     build that has failed, or is still running, is therefore never read; of two that run at once the first to publish
     wins, and both return its rows. Readers of another result keep it until `drop_old_versions`.
     """
-    mark = _mark(path, fingerprint)
-    version = read_mark(spark, mark)
-    if version is None:
-        own = f"version-{uuid.uuid4().hex}"
-        build().write.parquet(f"{path}/{own}")
-        version = write_mark(spark, mark, own)
+    version = _published(spark, path, fingerprint, lambda own: build().write.parquet(f"{path}/{own}"))
     return spark.read.parquet(f"{path}/{version}")
 
 
+def bucketed_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], key: Sequence[str], buckets: int, fingerprint: str = "") -> DataFrame:
+    """S6 in buckets: like `materialize_once`, one sorted file for each of `buckets` hash buckets of `key`.
+
+    Results with the same key and number of buckets meet in joins, and are grouped by the key, without a shuffle or a
+    sort; that pays where a result is read more than once. The rows of one key value are in one file.
+    """
+
+    def written(own: str) -> None:
+        name = f"building_{own.replace('-', '_')}"
+        # Dealt like the buckets, each task writes one file.
+        dealt = build().repartition(buckets, *key)
+        dealt.write.bucketBy(buckets, *key).sortBy(*key).option("path", f"{path}/{own}").saveAsTable(name)
+        spark.sql(f"DROP TABLE {name}")  # the table is external: its files stay
+
+    version = _published(spark, path, f"{fingerprint} in {buckets} buckets of {', '.join(key)}", written)
+    name, place = f"saved_{version.replace('-', '_')}", f"{path}/{version}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema)
+        names = ", ".join(f"`{c}`" for c in key)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({names}) SORTED BY ({names}) INTO {buckets} BUCKETS LOCATION '{place}'")
+    # One file per bucket is what makes its order that of the bucket.
+    return spark.table(name)
+
+
 def drop_old_versions(spark: SparkSession, path: str, fingerprint: str = "") -> list[str]:
     """Delete all that was saved under `path` but the result of this fingerprint; for a time when no build runs."""
     mark = _mark(path, fingerprint)

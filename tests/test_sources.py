@@ -116,6 +116,33 @@ def test_two_builds_at_once_give_one_result(spark, tmp_path):
     assert files.materialize_once(spark, path, lambda: spark.range(0), "old").count() == 1
 
 
+def test_buckets_join_and_group_without_a_shuffle(spark, tmp_path):
+    calls = []
+
+    def save(name, rows, buckets=4):
+        def build():
+            calls.append(name)
+            return rows.repartition(3)
+
+        return files.bucketed_once(spark, f"{tmp_path}/{name}", build, ["seq"], buckets)
+
+    left, right = spark.range(100).selectExpr("id % 40 AS seq", "id AS gen"), spark.range(0, 60, 2).selectExpr("id AS seq", "struct(id AS a) AS note")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first, second = save("left", left), save("right", right)
+        joined = first.join(second, "seq", "left")
+        assert sorted(map(repr, joined.collect())) == sorted(map(repr, left.join(right, "seq", "left").collect()))
+        plan = joined.groupBy("seq").count()._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.groupBy("seq").count().count() == 40
+        # The saved result is used again; another number of buckets is another result.
+        assert save("left", left.limit(0)).count() == 100 and calls == ["left", "right"]
+        assert save("left", left, 5).count() == 100 and calls == ["left", "right", "left"]
+        assert len(list((tmp_path / "right").glob("version-*/*.parquet"))) <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_model_outputs_are_found_by_their_file_name(spark, tmp_path):
     rows = [
         {"seq": 1, "m-1.5_resp": ["r1", "r2"], "m-1.5": ["c1", None]},
