@@ -201,6 +201,11 @@ def _(v):
     return pairs.drop_identical_pairs(v("programs")).select("seq", "problem_id")
 
 
+@query("p7_missing_programs", "SELECT seq, problem_id FROM @odd_programs WHERE src_code IS DISTINCT FROM tgt_code")
+def _(v):
+    return pairs.drop_identical_pairs(v("odd_programs")).select("seq", "problem_id")
+
+
 @query(
     "p8_pair_summary",
     f"""SELECT count(*) AS pairs, count(*) FILTER (WHERE is_best) AS best_pairs,

@@ -80,6 +80,15 @@ def _(v):
     return _runtime(v).withColumn("agg_runtime", r6("agg_runtime"))
 
 
+@query(
+    "m5_missing_times",
+    f"""SELECT seq, CASE WHEN count(*) FILTER (WHERE NOT success OR time_s IS NULL) > 0 THEN {_INF} ELSE round(sum(time_s), 6) END AS agg_runtime,
+  count(*) FILTER (WHERE success) AS passed_tests, count(*) AS tests FROM @untimed_results GROUP BY seq""",
+)
+def _(v):
+    return measurements.aggregate_runtime(v("untimed_results")).withColumn("agg_runtime", r6("agg_runtime"))
+
+
 NATIVE = f"""WITH s AS (SELECT seq, min(coalesce(len(times), 0)) AS shortest FROM @native_times GROUP BY seq),
 runs AS (SELECT seq, unnest(times) AS time_s, generate_subscripts(times, 1) AS run_no FROM @native_times),
 totals AS (SELECT r.seq, r.run_no, sum(r.time_s) AS total FROM runs r JOIN s ON s.seq = r.seq AND r.run_no <= s.shortest GROUP BY r.seq, r.run_no)

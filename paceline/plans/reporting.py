@@ -22,6 +22,14 @@ def _(v):
     return prepared.select("seq", "slower_program", F.col("tags")[1].alias("second_tag"))
 
 
+@query(
+    "e1_missing_programs",
+    r"""SELECT seq, regexp_replace(src_code, '^\s+|\s+$', '', 'g') AS slower_program FROM @odd_programs WHERE src_code IS DISTINCT FROM tgt_code""",
+)
+def _(v):
+    return report.prepare_eval(v("odd_programs")).select("seq", "slower_program")
+
+
 def _generation_arrays(v):
     """One array of generated programs per row, as model output files hold them."""
     ordered = F.sort_array(F.collect_list(F.struct("gen", "code")))
@@ -138,6 +146,19 @@ def _(v):
     )
 
 
+# Rows are the same when both programs are; rows that lack one are like no other.
+@query(
+    "e9_glued_programs",
+    f"""WITH r AS (SELECT *, seq IN (SELECT seq FROM @twin_results) AS tried FROM @twin_rows),
+c AS (SELECT *, CASE WHEN src_code IS NULL OR tgt_code IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY src_code, tgt_code ORDER BY tried DESC, seq) END AS place FROM r)
+SELECT c.seq, CAST(coalesce(g.gen, 0) AS BIGINT) AS gen, CASE WHEN g.seq IS NULL THEN {INFINITE} ELSE g.agg_runtime END AS agg_runtime
+FROM c LEFT JOIN @twin_results g ON g.seq = c.seq WHERE place = 1""",
+)
+def _(v):
+    completed = report.complete_missing(v("twin_results").drop("code"), v("twin_rows"))
+    return completed.select("seq", F.col("gen").cast("bigint").alias("gen"), "agg_runtime")
+
+
 @query("e10_adjust_runtime", f"SELECT seq, CAST(gen AS BIGINT) AS gen, adjusted_runtime FROM ({ADJUSTED}) a")
 def _(v):
     return _adjusted(v).select("seq", F.col("gen").cast("bigint").alias("gen"), "adjusted_runtime")

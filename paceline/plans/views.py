@@ -71,6 +71,10 @@ SELECT doc_id AS seq, 'p' || CAST(doc_id % 41 AS STRING) AS problem_id,
   CASE WHEN doc_id % 7 = 0 THEN 'int a; /* ' || text || ' */ int b; // ' || lang || chr(10) || ' return; ' || chr(10)
     ELSE 'int b; // ' || text END AS tgt_code
 FROM @documents""",
+    # Programs that lack one or both sides.
+    "odd_programs": """
+SELECT seq, problem_id, CASE WHEN seq % 13 = 0 THEN NULL ELSE src_code END AS src_code,
+  CASE WHEN seq % 17 = 0 THEN NULL ELSE tgt_code END AS tgt_code FROM @programs""",
     "bullets": """
 SELECT doc_id, doc_id % 2 AS run,
   CASE WHEN doc_id % 11 = 0 THEN 'no bullets here ' || text ELSE
@@ -151,6 +155,16 @@ FROM @gens""",
 SELECT seq, problem_id, solution_id AS src_id, first_value(solution_id) OVER w AS tgt_id, code AS src_code,
   first_value(code) OVER w AS tgt_code, runtime AS src_runtime, first_value(runtime) OVER w AS tgt_runtime
 FROM @subs WINDOW w AS (PARTITION BY problem_id, user_id ORDER BY runtime, seq)""",
+    # Of each evaluated row: a pair whose glued programs agree with another's, a true copy of it, and one that lacks a program.
+    "twin_rows": """
+SELECT seq * 4 AS seq, problem_id, src_id, tgt_id, src_code || 'x' AS src_code, tgt_code, src_runtime, tgt_runtime FROM @eval_rows
+UNION ALL SELECT seq * 4 + 1, problem_id, src_id, tgt_id, src_code, 'x' || tgt_code, src_runtime, tgt_runtime FROM @eval_rows
+UNION ALL SELECT seq * 4 + 2, problem_id, src_id, tgt_id, src_code || 'x', tgt_code, src_runtime, tgt_runtime FROM @eval_rows
+UNION ALL SELECT seq * 4 + 3, problem_id, src_id, tgt_id, NULL, tgt_code, src_runtime, tgt_runtime FROM @eval_rows""",
+    "twin_results": """
+SELECT seq * 4 + seq % 2 * 2 AS seq, gen, code, agg_runtime, accuracy FROM @gens""",
+    "untimed_results": """
+SELECT seq, tc_no, success, CASE WHEN (seq + tc_no) % 11 = 0 THEN NULL ELSE time_s END AS time_s FROM @test_results""",
     "eval_results": """
 SELECT r.*, g.gen, g.code, g.agg_runtime, g.accuracy FROM @eval_rows r JOIN @gens g ON r.seq = g.seq""",
     "baselines": """
