@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.text import before_marker, extract_first_code_chunk, render_template
+from paceline.sources import files
+
+STEP = "_step"
 
 # Loads the model in a worker and returns `prompts -> responses`; a response is a string, or a
 # list of n strings where n > 1 generations are asked for.
@@ -84,6 +87,30 @@ def batch_generate(
     return out.withColumn(model, code)
 
 
+def generate_in_steps(
+    spark: SparkSession, prompts: DataFrame, loader: ModelLoader, model: str, path: str, steps: int = 16,
+    id_col: str = "id", batch: int = 100, n: int = 1, extract: bool = True, fingerprint: str = "",
+) -> DataFrame:
+    """G3 as a run that can be taken up again: `prompts` with their answers, saved under `path` step by step.
+
+    Prompts are written once, dealt to `steps` by a hash of the id. Each step is a job over its own prompts whose answers
+    are published when all are there, so a run that fails, or is ended, loses the answers of one step; the next run with
+    the same path and `fingerprint` (which names prompts and model) asks for the missing steps only. Every step uses the
+    whole cluster: choose as few steps as the loss of one allows.
+    """
+    dealt = prompts.withColumn(STEP, F.pmod(F.xxhash64(id_col), F.lit(steps)))
+    # Dealt by more than the step, a large step's prompts are many files.
+    spread = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(spark.sparkContext.defaultParallelism))
+    staged = files.materialize_once(spark, f"{path}/prompts", lambda: dealt.repartition(STEP, spread), f"{fingerprint} in {steps} steps", [STEP])
+    answers = None
+    for step in range(steps):
+        asked = staged.filter(F.col(STEP) == step).drop(STEP)
+        build = lambda asked=asked: batch_generate(asked, loader, model, batch, n, extract)
+        answered = files.materialize_once(spark, f"{path}/answers", build, f"{fingerprint} step {step} of {steps}")
+        answers = answered if answers is None else answers.unionByName(answered)
+    return answers
+
+
 def multi_generation_extract(responses: str | Column) -> Column:
     """The first code chunk of each response, nulls kept in place."""
     return F.transform(responses, extract_first_code_chunk)

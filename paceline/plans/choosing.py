@@ -195,6 +195,19 @@ def _(v):
     return generation.batch_generate(prompts, fenced_echo, "echo").select("seq", "echo_resp", "echo")
 
 
+@query(
+    "g3_generate_in_steps",
+    "SELECT seq, 'Sure:' || chr(10) || '```cpp' || chr(10) || tgt_code || chr(10) || '```' AS echo_resp, tgt_code AS echo FROM @programs",
+)
+def _(v):
+    prompts = v("programs").select("seq", F.col("tgt_code").alias("prompt"))
+    path = scratch_path(v.spark, "steps")
+    # The second run finds all steps answered and asks its own model for nothing.
+    for model in (fenced_echo, two_answers):
+        answers = generation.generate_in_steps(v.spark, prompts, model, "echo", path, 4, "seq")
+    return answers.select("seq", "echo_resp", "echo")
+
+
 @query(
     "g4_multi_generation_extract",
     """SELECT seq, 0 AS pos, tgt_code AS code FROM @programs UNION ALL SELECT seq, 1, NULL FROM @programs""",

@@ -144,15 +144,18 @@ def _published(spark: SparkSession, path: str, fingerprint: str, write: Callable
     return version
 
 
-def materialize_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], fingerprint: str = "") -> DataFrame:
+def materialize_once(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], fingerprint: str = "", folders: Sequence[str] = ()
+) -> DataFrame:
     """The saved result of this `fingerprint` if there is one, else compute and save it; cuts lineage on shared storage.
 
     `fingerprint` names what the result is made of: inputs, parameters, code. A build writes a folder of its own and then
     publishes it through a small file, one for each fingerprint, that is put in place in one step and never changed. A
     build that has failed, or is still running, is therefore never read; of two that run at once the first to publish
-    wins, and both return its rows. Readers of another result keep it until `drop_old_versions`.
+    wins, and both return its rows. Readers of another result keep it until `drop_old_versions`. Rows are in a folder for
+    each value of `folders`, so that a filter on these reads no other.
     """
-    version = _published(spark, path, fingerprint, lambda own: build().write.parquet(f"{path}/{own}"))
+    version = _published(spark, path, fingerprint, lambda own: build().write.partitionBy(*folders).parquet(f"{path}/{own}"))
     return spark.read.parquet(f"{path}/{version}")
 
 

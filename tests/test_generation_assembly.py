@@ -29,6 +29,32 @@ def test_batches_nulls_and_extraction(spark):
     assert many[0]["m"] == ["p0", None] and many[3]["m_resp"] is None
 
 
+def test_a_run_in_steps_is_taken_up_where_it_failed(spark, tmp_path):
+    prompts = spark.createDataFrame([(f"id{i}", None if i == 7 else f"p{i}") for i in range(60)], "id string, prompt string")
+    log = tmp_path / "asked.log"
+
+    def run(failing=None, name="m"):
+        return generation.generate_in_steps(spark, prompts, stubs.Noting(str(log), failing), "m", f"{tmp_path}/run", steps=4, batch=5, fingerprint=name)
+
+    step = F.pmod(F.xxhash64("id"), F.lit(4))
+    failing = prompts.filter((step == 2) & F.col("prompt").isNotNull()).first()["prompt"]
+    first_steps = {r["prompt"] for r in prompts.filter(step < 2).collect()} - {None}
+    with pytest.raises(Exception, match="model is down"):
+        run(failing)
+    log.unlink()
+    answered = sorted((r["id"], r["m"]) for r in run().collect())
+    assert answered == sorted((f"id{i}", None if i == 7 else f"p{i}") for i in range(60))
+    asked = log.read_text().split()
+    # The steps before the failure are not asked for again, and nothing is asked twice.
+    assert len(asked) == len(set(asked)) == 59 - len(first_steps) < 59 and not first_steps & set(asked)
+    log.unlink()
+    assert run(failing).count() == 60 and not log.exists()
+    # Another model is another run.
+    assert run(name="other").count() == 60 and len(log.read_text().split()) == 59
+    plan = spark.read.parquet(str(next((tmp_path / "run" / "prompts").glob("version-*")))).filter("_step = 2")
+    assert "PartitionFilters: [isnotnull(_step" in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_build_prompts_cuts_at_the_marker(spark):
     frame = spark.createDataFrame([("x",)], "code string")
     got = generation.build_prompts(frame, "do {{  code  }} END rest", {"code": "code"}, "END").first()

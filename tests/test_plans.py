@@ -13,7 +13,7 @@ from paceline.plans.views import VIEWS, Inputs
 
 SF_DIR = "/root/testdata/sf0.001"
 # They write files or run a stream before they return their result.
-EAGER = {name for name in QUERIES if re.match(r"s\d*_|g6_|e_full_report", name)}
+EAGER = {name for name in QUERIES if re.match(r"s\d*_|g6_|g3_generate_in_steps|e_full_report", name)}
 PYTHON = {"g3_batch_generate", "g4_multi_generation_extract", "g5_follow_suggestions", "r_optimizer_programs", "r_optimizer_reward"}
 
 
