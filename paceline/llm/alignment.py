@@ -4,9 +4,9 @@ The ends of both tokenisations are merged into one path. Diagonals cut it into p
 each finds how many ends of either side lie before it, so pieces know all they need and are merged independently. A piece
 emits its overlaps and counts the common ends in it; a group that crosses a cut is stitched by the sum of these counts.
 
-Neither tokenizer has a token across a blank that a visible character follows, so a chunk up to there is encoded once for
-each block that holds it (once for a worker, while its table lasts), and a block's new chunks are laid end to end on one
-path. A document is a row of chunk numbers. Texts that cannot be cut so are one chunk.
+Neither tokenizer has a token across a single blank that a visible character follows, so a chunk up to there is encoded
+once for each block that holds it (once for a worker, if its table holds it), and new chunks are laid end to end on one
+path. A document is a row of chunk numbers.
 
 Blocks count their distinct id pairs; partial sums of these are all that is shuffled for the corpus-wide counts, and each
 block gets the counts of its own pairs back.
@@ -34,9 +34,11 @@ from paceline.llm.piece_encoding import MARK, cuts_are_safe
 # Ends of one piece of the path, bytes of text of a block, and chunks that the table of a worker holds before it starts anew.
 PIECE_ENDS = 1 << 16
 BLOCK_BYTES = 8 << 20
-TABLE_CHUNKS = 300_000
+TABLE_CHUNKS = 150_000
 # Chunks of more characters are not kept in the table.
 LONG_CHUNK = 64
+# Chunks, and characters of them, that are encoded at once: the libraries' own results are far larger than the ids.
+PORTION_CHUNKS, PORTION_CHARACTERS = 1 << 13, 1 << 18
 # White space to some versions of Unicode only.
 FORMER_SPACE = "᠎"
 _PAIRS: dict[tuple[str, str], "TokenizerPair"] = {}
@@ -126,19 +128,25 @@ class TokenizerPair:
         return _PAIRS[file_a, file_b]
 
     def aligned_chunks(self, chunks: list[str]) -> Aligned:
-        result, new = Aligned(len(chunks)), []
-        if len(self.table) + len(chunks) > TABLE_CHUNKS:
-            self.table.clear()
+        result, new, characters = Aligned(len(chunks)), [], 0
         for at, chunk in enumerate(chunks):
             if chunk in self.table:
                 result.put(at, self.table[chunk])
-            else:
-                new.append(at)
+                continue
+            new.append(at)
+            characters += len(chunk)
+            if len(new) >= PORTION_CHUNKS or characters >= PORTION_CHARACTERS:
+                self.learn(chunks, new, result)
+                new, characters = [], 0
+        self.learn(chunks, new, result)
+        return result
+
+    def learn(self, chunks: list[str], new: list[int], result: Aligned) -> None:
+        """Encode the chunks at these places; the table keeps those it meets first, which are the frequent ones."""
         for at, entry in zip(new, self.entries([chunks[at] for at in new])):
             result.put(at, entry)
-            if len(chunks[at]) <= LONG_CHUNK and len(self.table) < TABLE_CHUNKS:
+            if len(self.table) < TABLE_CHUNKS and len(chunks[at]) <= LONG_CHUNK:
                 self.table[chunks[at]] = entry
-        return result
 
     def entries(self, chunks: list[str]) -> list[tuple | None]:
         """Encode chunks, each behind a blank, and align them on one path."""
@@ -186,6 +194,17 @@ class Chunks(dict):
         return own
 
 
+def joined_chunks(chunks: list[str], edge: list[bool]) -> list[str]:
+    """Chunks put together again where a token may cross: before white space, and behind one of several blanks."""
+    runs = [[chunks[0]]]
+    for before, chunk, at_edge in zip(chunks, chunks[1:], edge[1:]):
+        if at_edge or not before:
+            runs[-1].append(chunk)
+        else:
+            runs.append([chunk])
+    return [" ".join(run) for run in runs]
+
+
 def chunk_rows(texts: list[str], may_cut: bool) -> tuple[list[str], list[np.ndarray]]:
     """The distinct chunks of a block, and each text as a row of their numbers; texts without tokens have none."""
     chunks, rows = Chunks(), []
@@ -193,11 +212,12 @@ def chunk_rows(texts: list[str], may_cut: bool) -> tuple[list[str], list[np.ndar
         if not text or MARK in text:  # a mark would come back as a blank
             rows.append(np.zeros(0, np.int64))
             continue
-        row = np.array([chunks[c] for c in text.split(" ")] if may_cut and "  " not in text else [], np.int64)
-        # Before white space but one blank a cut may divide a token.
-        if not len(row) or any(chunks.edge[n] for n in row.tolist()):
-            row = np.array([chunks[text]], np.int64)
-        rows.append(row)
+        parts = text.split(" ") if may_cut else [text]
+        row = [chunks[c] for c in parts]
+        edge = [chunks.edge[n] for n in row]
+        if any(edge) and len(parts) > 1:
+            row = [chunks[c] for c in joined_chunks(parts, edge)]
+        rows.append(np.array(row, np.int64))
     return chunks.names, rows
 
 

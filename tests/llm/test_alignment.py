@@ -112,6 +112,7 @@ def test_white_space_and_special_strings(spark, encoders, seed, block_bytes):
 
 def test_small_table(spark, documents, encoders, monkeypatch):
     monkeypatch.setattr(L, "TABLE_CHUNKS", 50)
+    monkeypatch.setattr(L, "PORTION_CHUNKS", 13)
     monkeypatch.setattr(L, "PIECE_ENDS", 7)
     check(documents.limit(20), encoders, block_bytes=3000)
 
