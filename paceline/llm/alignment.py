@@ -33,8 +33,8 @@ from paceline.llm.piece_encoding import MARK, cuts_are_safe
 
 # Ends of one piece of the path, bytes of text of a block, and chunks that the table of a worker holds before it starts anew.
 PIECE_ENDS = 1 << 16
-BLOCK_BYTES = 8 << 20
-TABLE_CHUNKS = 150_000
+BLOCK_BYTES = 4 << 20
+TABLE_CHUNKS = 100_000
 # Chunks of more characters are not kept in the table.
 LONG_CHUNK = 64
 # Chunks, and characters of them, that are encoded at once: the libraries' own results are far larger than the ids.
