@@ -225,8 +225,8 @@ def nearest(
     members = placed.filter(~in_pilot).select("list", F.pmod(F.xxhash64("row"), part_of).alias("part"), F.lit(0).alias("kind"), "row", "vec_id", "vec", F.lit(0.0).alias("bound"))
     probing = asked.mapInArrow(probe, "row bigint, vec_id bigint, vec array<double>, list bigint, part bigint, bound double")
     both = members.union(probing.select("list", "part", F.lit(1).alias("kind"), "row", "vec_id", "vec", "bound"))
-    cells = int(parts.sum())
-    dealt = both.repartition(cells, "list", "part").sortWithinPartitions("list", "part", "kind")
+    # Many small cells share a task; a task holds one of them at a time.
+    dealt = both.repartition("list", "part").sortWithinPartitions("list", "part", "kind")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place_, waiting, cell = None, [], None
