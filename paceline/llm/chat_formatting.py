@@ -104,7 +104,8 @@ def format_chats(messages: DataFrame) -> DataFrame:
     message without parent), `chat` (role mark, body, end mark). Sorted by conv_id, root_turn, depth, turn, a message comes
     after what it replies to. Null text is empty, a null role is `unknown`; rows with null conv_id or turn have no links
     and cannot be quoted. Repeated rows get the same result each; rows that share conv_id and turn are one target, and
-    the smallest of their parents counts. Other columns are not read.
+    the smallest of their parents counts. Whole texts of any length are read; an empty table gives no rows. Other columns
+    are not read.
     """
     rows = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()

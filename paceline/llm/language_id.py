@@ -162,7 +162,8 @@ def predict(model: Counts, spark: SparkSession):
 def identify(docs: DataFrame, model: Counts, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: id, `held_out`, `lang_pred`, `score`, `bits_per_byte`. Other columns are not read.
 
-    A null id is not held out; repeated rows get the same result each.
+    A null id is not held out; repeated rows get the same result each; whole texts of any length are scored; an empty table
+    gives no rows.
     """
     score = predict(model, docs.sparkSession)
     rows = docs.select(F.col(id_column), held_out(F.col(id_column)).alias("held_out"), score(F.col(text)).alias("found"))

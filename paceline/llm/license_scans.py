@@ -104,7 +104,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     """One row per row of `docs`: the id, word count, exact places, labels, score and the spans of fuzzy notices.
 
     A null text is empty: no words, no labels (empty strings), score 0, null first and last word. Whole texts are read.
-    Repeated rows give repeated results; a null id stays null; other columns are not read. `score` is 1 for an exact
+    Repeated rows give repeated results; a null id stays null; an empty table gives no rows; other columns are not read. `score` is 1 for an exact
     place, else 1 - edits / length of the best notice, else 0. Of two matches of a notice that start at one word the one
     with fewer edits stays.
     """

@@ -92,7 +92,7 @@ def encode(docs: DataFrame, model_file: str, id_column: str = "doc_id", text: st
     """One row per row of `docs`: id, `n_tokens` (end id included), `ids_sha256`, `decoded_sha256`, and with `with_text` `ids` (decimal, one blank between) and `decoded`.
 
     A null text is empty: the end id alone. Whole texts are encoded; repeated rows are encoded each; a null id stays null;
-    other columns are not read. `model_file` must be readable on the workers.
+    an empty table gives no rows; other columns are not read. `model_file` must be readable on the workers.
     """
     text_batches(docs.sparkSession)
     picked = docs.select(id_column, text)

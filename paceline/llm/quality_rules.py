@@ -101,7 +101,8 @@ def quality_rules(
     A line is above the limit where more than `min_docs` distinct texts of the host and more than `share` of them hold
     it. A document is depleted where over `max_removed` of its words, or all but `min_left` - 1, stand in such lines and
     at least one does. A null text is empty and fails the base rule; a null host is a host of its own; repeated rows and
-    copies get the same verdict each, and count as one text. Other columns are not read.
+    copies get the same verdict each, and count as one text. Whole texts of any length are read; an empty table gives no
+    rows. Other columns are not read.
     """
     rows = checkpointed(measured(docs, id_column, text, host), "quality-rows")
     # `lines` is a function of the text, so any value of a group is the same.

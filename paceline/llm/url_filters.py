@@ -76,7 +76,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url: str = "url", ranges: int
     rule's path. The longest `host + path` wins, then the longer host, then the verdict "block". Without a fitting
     rule the verdict is "allow" and the rule null. Null urls and urls without `://` have an empty host and path and so
     meet no rule. Rules with a null or empty host, a null path or verdict take no part; repeated ones count once.
-    Repeated urls are judged each. An empty table of urls gives no rows, one of rules allows all.
+    Repeated urls are judged each, urls of any length as a whole. An empty table of urls gives no rows, one of rules
+    allows all.
     """
     spark = urls.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))

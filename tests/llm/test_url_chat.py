@@ -30,6 +30,7 @@ def test_rules_of_odd_urls(spark, ranges):
     urls = [None, "", "example.net/en/", "http://NET", "http://net/", "http://x.net", "http://x.net?q=://", "https://A.Example.NET/en/x?y#z", "https://a.example.net/EN/x", "http://xexample.net/en/"]
     urls += ["http://b.org", "http://c.b.org#f", "http://borg/", "ftp://org/fr/é", "http://.org/fr/", "http://a..net/", "http://a.example.net./en/x", "://net/", "http://u@h.net:80/p", "http://ü.net/\nen"]
     urls += [f"http://h{i % 7}.example.{tld}/{lang}/{i}" for i in range(60) for tld in ("net", "org") for lang in ("en", "fr")] + ["http://hot.example.net/en/1"] * 150
+    urls += ["http://example.net/en/" + "x" * 200_000 + "?q", "http://" + "a." * 20_000 + "net/" + "y" * 70_000]
     rows = [(i, u, "own", "v") for i, u in enumerate(urls)]
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     pages = spark.createDataFrame(rows, "page_id bigint, url string, rule string, key string")
@@ -50,6 +51,7 @@ CHATS = [
     (2, 0, "user", "> Fine thanks\ncross conversation"), (2, 1, "user", None), (2, 1, "user", None), (2, 2, "user", "> ok\n> cross conversation\nmm"),
     (None, 0, "user", "> ok\nnull conv"), (3, None, "user", "> ok\nx"), (3, 5, "user", "ok"), (3, 6, "user", ">ok\n>\n> ok\nsame"),
     (4, 1, "user", "> later\nq"), (4, 2, "user", "later"), (4, 3, "u", ""),
+    (5, 0, "user", "long words " * 20_000), (5, 1, "user", "> " + ("long words " * 20_000).strip() + "\nanswer"),
     *[(9, t, "user", f"line {t}" if t == 0 else f"> line {t - 1}\nline {t}") for t in range(20)],
 ]
 
@@ -63,7 +65,7 @@ def test_quotes_are_linked_and_threads_built(spark):
     rows = {(r.conv_id, r.turn): r for r in got.collect()}
     assert (rows[1, 1].parent_turn, rows[1, 2].parent_turn, rows[1, 3].parent_turn, rows[1, 4].parent_turn) == (0, 1, 0, 2)
     assert rows[1, 4].depth == 3 and rows[9, 19].depth == 19 and rows[9, 19].root_turn == 0
-    assert rows[1, 2].body == "Good to hear" and rows[2, 0].n_outside == 1
+    assert rows[1, 2].body == "Good to hear" and rows[2, 0].n_outside == 1 and rows[5, 1].parent_turn == 0
     assert chat_formatting.format_chats(frame.filter("false")).count() == 0
 
 
