@@ -9,6 +9,7 @@ of a group are padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,10 @@ TABLE_WORDS = 900_000
 # Chunks of these characters need no normalisation but lower case, and split into runs of letters and of other marks.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?()\-]+")
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[.,;:!?()\-]+")
+# The normalisation and the splitting for which words stand alone, as tokenizer files write them.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+WORD_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -40,15 +45,25 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def words_stand_alone(file: str) -> bool:
+    """Whether the file's tokenizer lower-cases, drops white space and splits words as `WordTokenizer` does."""
+    with open(file, encoding="utf-8") as text:
+        spec = json.load(text)
+    model = spec["model"]
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("byte_fallback")
+    return plain and spec["normalizer"] == WORD_NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [WORD_SPLIT, WORD_BYTES]}
+
+
 class WordTokenizer:
     """Ids of texts under a tokenizer that drops white space, each distinct word tokenised once.
 
     Splitting at ASCII blanks is safe for such a tokenizer; a chunk of plain letters and marks goes run by run to the
-    model, any other chunk to the whole tokenizer.
+    model, any other chunk to the whole tokenizer. Under any other tokenizer whole texts go to it.
     """
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
+        self.safe = words_stand_alone(file)
         self.model = self.tokenizer.model
         self.bytes = byte_characters()
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
@@ -77,6 +92,8 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """All ids of a text as machine integers of `dtype`."""
+        if not self.safe:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(self.words) > TABLE_WORDS:
             self.words.clear()
         if len(self.runs) > TABLE_WORDS:

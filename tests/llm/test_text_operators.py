@@ -247,6 +247,20 @@ def test_packing_places_every_id_once(docs):
             assert sum(r.length for r in found) == sum(map(len, wanted[doc]))
 
 
+def test_another_tokenizer_goes_by_whole_texts(odd_documents):
+    """Case and blanks count for a byte-level tokenizer, so its words do not stand alone."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.words_stand_alone(WORD_FILE) and not packing.words_stand_alone(file)
+    tokenizer = Tokenizer.from_file(file)
+    docs = odd_documents.filter("doc_id IS NOT NULL AND length(coalesce(text, '')) < 1000").dropDuplicates(["doc_id", "text"])
+    wanted = Counter()
+    for row in docs.collect():
+        ids = np.array([*tokenizer.encode(row.text or "", add_special_tokens=False).ids, packing.END], "<u4")
+        wanted[row.doc_id, len(ids), zlib.crc32(ids.tobytes())] += 1
+    got = packing.pack(docs, file).filter("length = doc_tokens").collect()
+    assert Counter((r.doc_id, r.length, r.ids_crc32) for r in got) == wanted
+
+
 def test_costs_are_balanced():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 2000, 3000)
