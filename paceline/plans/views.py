@@ -138,7 +138,7 @@ SELECT 'f' || CAST(o_orderkey AS STRING) AS file,
   || '---------- End Simulation Statistics   ----------' AS content
 FROM @orders""",
     "completions": """
-SELECT conv_id AS batch_id, conv_id * 100 + turn AS seq, text, role,
+SELECT conv_id AS batch_id, conv_id * 1000000 + turn AS seq, text, role,
   CASE WHEN turn % 3 = 0 THEN '<think>' || chr(10) || text || chr(10) || '</think>' || chr(10) || '<answer>' || chr(10)
          || 'so ' || chr(92) || 'boxed{' || CAST(conv_id % 6 AS STRING) || '} ' || '```cpp' || chr(10) || 'int a;' || chr(10) || '```' || chr(10)
          || '```cpp' || chr(10) || 'int ' || role || ';' || chr(10) || '```' || chr(10) || '</answer>'

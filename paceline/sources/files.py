@@ -13,7 +13,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from paceline.functions.text import listed
 from paceline.session import delete_entries, first_line, read_mark, write_mark
@@ -191,26 +191,43 @@ def drop_old_versions(spark: SparkSession, path: str, fingerprint: str = "") ->
     return stale + delete_entries(spark, path, lambda name: name.startswith("version-") and name != current)
 
 
+# A model's name in the path of its file, which may be a folder that a writer has made.
+MODEL_FILE = r"([^/]+)\.jsonl(?:/[^/]*)?$"
+
+
 def read_model_outputs(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
     """All `*.jsonl` of a folder with the file stem as `model`.
 
-    The response and the code sit under keys named after the model (`<model>_resp`, `<model>`), so
-    they are looked up per row and come out as `responses` and `codes`; a single one is wrapped. A malformed line is
-    an error.
+    The response and the code sit under keys named after the model (`<model>_resp`, `<model>`) and come out as `responses`
+    and `codes`; a single one is wrapped. The models are known from the listing, so a line is parsed once, for the columns
+    of `schema` and the keys of all models. A malformed line is an error.
     """
-    model = _decoded(F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl(?:/[^/]*)?$", 1))
-    raw = spark.read.text(f"{folder.rstrip('/')}/*.jsonl").select("value", model.alias("model"))
-    keyed = raw.select(
-        "model",
-        F.from_json("value", schema, {"mode": "FAILFAST"}).alias("_record"),
-        F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("_keys"),
-    )
-    return keyed.select(
-        "model",
-        "_record.*",
-        listed(F.try_element_at("_keys", F.concat("model", F.lit("_resp")))).alias("responses"),
-        listed(F.try_element_at("_keys", F.col("model"))).alias("codes"),
-    )
+    lines = spark.read.text(f"{folder.rstrip('/')}/*.jsonl")
+    models = sorted({unquote(re.search(MODEL_FILE, name)[1]) for name in lines.inputFiles()})
+    fields = list(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    keys = {key: StructField(key, StringType()) for model in models for key in (f"{model}_resp", model)}
+    own = {field.name: field for field in fields}
+    every = [*fields, *(field for key, field in keys.items() if key not in own)]
+    # By place, names with dots or such as differ by case only are as good as others.
+    placed = StructType([StructField(f"f{i}", field.dataType) for i, field in enumerate(every)])
+    place = {field.name: f"f{i}" for i, field in enumerate(every)}
+    record = F.from_json("value", StructType(every), {"mode": "FAILFAST"}).cast(placed)
+
+    def under(ending: str) -> Column:
+        """The text under the key of the row's own model; null for a file of a model that came after the listing."""
+        found = F.lit(None).cast("string")
+        for model in models:
+            key = model + ending
+            value = F.col("_record")[place[key]]
+            if key in own:
+                value = F.to_json(value) if isinstance(own[key].dataType, (ArrayType, MapType, StructType)) else value.cast("string")
+            found = F.when(F.col("model") == model, value).otherwise(found)
+        return found
+
+    model = _decoded(F.regexp_extract("_metadata.file_path", MODEL_FILE, 1))
+    parsed = lines.select(model.alias("model"), record.alias("_record"))
+    texts = parsed.select("model", *[F.col("_record")[place[f.name]].alias(f.name) for f in fields], under("_resp").alias("_responses"), under("").alias("_codes"))
+    return texts.select("model", *[F.col(f"`{f.name}`") for f in fields], listed(F.col("_responses")).alias("responses"), listed(F.col("_codes")).alias("codes"))
 
 
 def model_of_key(key: Column | str) -> Column:

@@ -158,6 +158,24 @@ def test_model_outputs_are_found_by_their_file_name(spark, tmp_path):
     ]
 
 
+def test_lines_of_models_are_parsed_once(spark, tmp_path):
+    """Names that differ by case, have dots, or are columns of the schema too."""
+    (tmp_path / "m.x.jsonl").write_text('{"seq": 1, "m.x_resp": "[1] r", "m.x": ["a"], "M.X": "other", "tags": ["t"]}\n')
+    (tmp_path / "M.X.jsonl").write_text('{"seq": 2, "M.X_resp": ["r1", "r2"], "M.X": null, "tags": []}\n{"seq": 3}\n')
+    (tmp_path / "tags.jsonl").write_text('{"seq": 4, "tags_resp": "x", "tags": ["c1", "c2"]}\n')
+    got = files.read_model_outputs(spark, str(tmp_path), "seq int, tags array<string>")
+    assert [tuple(r) for r in got.orderBy("seq").collect()] == [
+        ("m.x", 1, ["t"], ["[1] r"], ["a"]),
+        ("M.X", 2, [], ["r1", "r2"], None),
+        ("M.X", 3, None, None, None),
+        ("tags", 4, ["c1", "c2"], ["x"], ["c1", "c2"]),
+    ]
+    # One for the line, and one for the list that each of both texts may be.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 3
+    lines = got.select("seq", "tags", "responses", "codes")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map<string,string>" not in lines and lines.count("StructField(seq") <= 1
+
+
 def test_model_of_key_removes_only_the_suffix(column):
     assert column(files.model_of_key(F.col("text")), ["sep_resp", "pers_resp_resp"]) == ["sep", "pers_resp"]
 
