@@ -13,7 +13,7 @@ import sys
 import time
 
 from paceline.plans.catalogue import ORACLES, QUERIES
-from paceline.session import build_session
+from paceline.session import build_session, drop_scratch
 
 HEADLINES = (
     "c1_collect_unique_solutions",
@@ -100,6 +100,7 @@ def main() -> None:
     }
     if "--duckdb" in sys.argv:
         result["duckdb"] = duckdb_seconds(sf_dir, cpus, runs, names)
+    drop_scratch(spark)
     spark.stop()
     print(json.dumps(result))
 

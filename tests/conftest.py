@@ -13,7 +13,7 @@ for path in (ROOT, ROOT / "tests"):
 # Worker processes unpickle the stub models by module name.
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")])
 
-from paceline.session import build_session  # noqa: E402
+from paceline.session import build_session, drop_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -29,6 +29,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_scratch(session)
     session.stop()
 
 
