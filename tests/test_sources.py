@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import gzip
 import json
-import tempfile
 import threading
 from multiprocessing.pool import ThreadPool
 
@@ -10,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators.measurements import parse_stats_lines, simulated_seconds
-from paceline.session import drop_scratch, materialized
+from paceline.session import drop_scratch, materialized, path_exists, scratch_folder
 from paceline.sources import files
 
 
@@ -118,13 +117,13 @@ def test_two_builds_at_once_give_one_result(spark, tmp_path):
     assert files.materialize_once(spark, path, lambda: spark.range(0), "old").count() == 1
 
 
-def test_scratch_is_one_folder_per_application(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+def test_scratch_is_one_folder_per_application(spark):
     first = materialized(spark.range(3), "numbers")
-    materialized(spark.range(4), "numbers")
-    assert first.count() == 3 and len(list(tmp_path.glob("paceline-*/numbers-*"))) == 2
+    folder = scratch_folder(spark)
+    assert first.count() == 3 and spark.sparkContext.applicationId in folder and path_exists(spark, folder)
     drop_scratch(spark)
-    assert not list(tmp_path.glob("paceline-*"))
+    assert not path_exists(spark, folder)
+    assert materialized(spark.range(4), "numbers").count() == 4
 
 
 def test_buckets_join_and_group_without_a_shuffle(spark, tmp_path):
