@@ -364,7 +364,9 @@ RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, k
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, gram: int | None = None, block_bytes: int = BLOCK_BYTES, hot: int = HOT_PASSAGES) -> DataFrame:
-    """One row per row of `docs`: id, `n_words`, `n_removed`, `kept_sha256`, `kept_text` (the words kept, one blank between).
+    """One row per row of `docs`: id, `n_words`, `n_removed`, `kept_sha256` of the words kept, one blank between, and `kept_text`.
+
+    `kept_text` is these words, or the text as it was written where none goes.
 
     Words are what stands between ASCII blanks. A word goes if a window of `min_words` words that covers it also starts in
     a document with a smaller id; windows are judged on the input. Ids are whole numbers. Rows that share an id are one
@@ -385,7 +387,8 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         for batch in batches:
             for row in range(batch.num_rows):
                 _, ids, present, packed, lengths, places, parts = (batch.column(i)[row].as_py() for i in range(7))
-                ids, present, block = np.frombuffer(ids, np.int64), np.frombuffer(present, bool), Words(unpacked_texts(packed, lengths))
+                ids, present, texts = np.frombuffer(ids, np.int64), np.frombuffer(present, bool), unpacked_texts(packed, lengths)
+                block = Words(texts)
                 gone = np.zeros(len(block.words), bool)
                 if places is not None:
                     parts.sort(key=lambda p: p["shard"])
@@ -393,11 +396,11 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                     gone = removed_words(len(block.words), ids, numbers(places).reshape(-1, 4), first, earlier, min_words)
                 ends = block.ends.tolist()
                 rows = []
-                for lo, hi in zip([0, *ends], ends):
+                for lo, hi, whole in zip([0, *ends], ends, texts):
                     drop = gone[lo:hi]
                     removed = int(drop.sum())
                     kept = b" ".join(compress(block.words[lo:hi], ~drop) if removed else block.words[lo:hi])
-                    rows.append((hi - lo, removed, hashlib.sha256(kept).hexdigest(), kept))
+                    rows.append((hi - lo, removed, hashlib.sha256(kept).hexdigest(), kept if removed else whole))
                 doc_ids = pa.array(ids, pa.int64(), mask=~present)
                 for at in range(0, len(rows), 256):
                     part = rows[at : at + 256]
@@ -411,7 +414,7 @@ RESULT_NAMES = [part.split()[0] for part in RESULT.split(", ")]
 
 SQL = r"""
 WITH d AS (
-    SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), w AS (
     SELECT n, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, words FROM d
 ), g AS (
@@ -424,7 +427,8 @@ WITH d AS (
 ), k AS (
     SELECT n, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept_text FROM m GROUP BY n
 )
-SELECT doc_id, len(words) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256, coalesce(kept_text, '') AS kept_text
+SELECT doc_id, len(words) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256,
+    CASE WHEN n_removed > 0 THEN kept_text ELSE text END AS kept_text
 FROM d LEFT JOIN k ON d.n = k.n
 """
 

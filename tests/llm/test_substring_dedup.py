@@ -22,13 +22,13 @@ def brute(rows, least=13):
         for at in range(len(words) - least + 1) if i is not None else ():
             window = tuple(words[at : at + least])
             first[window] = min(i, first.get(window, i))
-    for i, words in split:
+    for (i, text), (_, words) in zip(rows, split):
         gone = set()
         for at in range(len(words) - least + 1) if i is not None else ():
             if first[tuple(words[at : at + least])] < i:
                 gone.update(range(at, at + least))
         kept = " ".join(w for n, w in enumerate(words) if n not in gone)
-        yield i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept
+        yield i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept if gone else text or ""
 
 
 def check(docs, least=13, **options):
