@@ -12,6 +12,8 @@ from paceline.functions.text import before_marker, extract_first_code_chunk, ren
 from paceline.sources import files
 
 STEP = "_step"
+# Prompts that a Python worker holds at once, whole texts; Spark's default of 10,000 lets its memory grow with the table.
+PROMPT_ROWS = 256
 
 # Loads the model in a worker and returns `prompts -> responses`; a response is a string, or a
 # list of n strings where n > 1 generations are asked for.
@@ -68,6 +70,11 @@ def generate(loader: ModelLoader, batch: int = 100, n: int = 1) -> Callable[[Col
     return run.asNondeterministic()
 
 
+def prompt_batches(spark: SparkSession, batch: int) -> None:
+    """Bound what crosses to Python at once to about `PROMPT_ROWS` rows of this session's Python stages, whole batches of the model."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch * max(1, PROMPT_ROWS // batch)))
+
+
 def batch_generate(
     df: DataFrame,
     loader: ModelLoader,
@@ -78,6 +85,7 @@ def batch_generate(
     workers: int | None = None,
 ) -> DataFrame:
     """Add `<model>_resp` for the `prompt` column and, if asked, the extracted code as `<model>`."""
+    prompt_batches(df.sparkSession, batch)
     if workers:
         df = df.repartition(workers)
     out = df.withColumn(f"{model}_resp", generate(loader, batch, n)("prompt"))

@@ -29,6 +29,17 @@ def test_batches_nulls_and_extraction(spark):
     assert many[0]["m"] == ["p0", None] and many[3]["m_resp"] is None
 
 
+def test_workers_hold_a_bounded_number_of_prompts(spark):
+    prompts = spark.range(3000).selectExpr("id AS i", "'p' AS prompt").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch, rows in ((100, 200), (7, 252), (400, 400)):
+        sizes = generation.batch_generate(prompts, stubs.batch_sizes, "m", batch, extract=False)
+        assert {r["m_resp"] for r in sizes.collect()} <= {str(batch), str(3000 % batch)}
+        # A model with a larger batch of its own is given all that crossed at once.
+        held = prompts.select(generation.generate(stubs.batch_sizes, 10_000)("prompt").alias("n")).distinct().collect()
+        assert max(int(r["n"]) for r in held) == rows
+
+
 def test_a_run_in_steps_is_taken_up_where_it_failed(spark, tmp_path):
     prompts = spark.createDataFrame([(f"id{i}", None if i == 7 else f"p{i}") for i in range(60)], "id string, prompt string")
     log = tmp_path / "asked.log"
