@@ -38,6 +38,11 @@ def test_workers_hold_a_bounded_number_of_prompts(spark):
         # A model with a larger batch of its own is given all that crossed at once.
         held = prompts.select(generation.generate(stubs.batch_sizes, 10_000)("prompt").alias("n")).distinct().collect()
         assert max(int(r["n"]) for r in held) == rows
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    asked = spark.range(3000).selectExpr("id", "array('a') AS suggestions").coalesce(1)
+    generation.follow_suggestions(asked, stubs.echo, "m", "{{  s  }}", {"s": "suggestion"})
+    held = prompts.select(generation.generate(stubs.batch_sizes, 10_000)("prompt").alias("n")).distinct().collect()
+    assert max(int(r["n"]) for r in held) == 200
 
 
 def test_a_run_in_steps_is_taken_up_where_it_failed(spark, tmp_path):
