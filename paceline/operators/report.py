@@ -7,6 +7,8 @@ and read only at the edges.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ KEY_COLUMNS = ("problem_id", "tests", "src_id", "tgt_id", "fastest_runtime", "fa
 # Generations scanned together, and the values of a row that has none.
 GENERATION_BLOCK = 1024
 BLOCK = "gen_block"
+# What stands for the programs of a row.
+KEY = "_key"
 FAILED = {"gen": 0, "agg_runtime": INFINITY, "adjusted_runtime": INFINITY, "accuracy": 0.0}
 TEST_MAPS = ("tc2time", "tc2stats")
 KEY_SUFFIXES = ("_compilation", "_accuracy", "_runtime", "_tc2time")
@@ -125,12 +129,17 @@ def project_key_columns(df: DataFrame, generated: str, slow: str = SLOW, referen
 
 
 def _program_key(row_id: str) -> Column:
-    """A narrow stand-in for the slow and reference programs, so that shuffles carry no programs.
+    """A narrow stand-in for the slow and reference programs, so that shuffles carry no programs: 128 bits of a hash.
 
-    A row that lacks a program is the same as no other row.
+    The length in front tells glued programs apart. A row that lacks a program is the same as no other row.
     """
-    programs = F.concat(F.sha2(SLOW, 256), F.sha2(REFERENCE, 256))
-    return F.coalesce(programs, F.concat(F.lit("row "), F.col(row_id).cast("string")))
+    programs = F.sha2(F.concat(F.length(SLOW).cast("string"), F.lit(":"), SLOW, REFERENCE), 256)
+    return F.coalesce(F.unhex(F.substring(programs, 1, 32)), F.encode(F.concat(F.lit("row "), F.col(row_id).cast("string")), "UTF-8"))
+
+
+def without_programs(reference: DataFrame, row_id: str = "seq") -> DataFrame:
+    """Reference rows written once, their programs replaced by a key; see `complete_missing`."""
+    return materialized(reference.withColumn(KEY, _program_key(row_id)).drop(SLOW, REFERENCE), "reference")
 
 
 def with_blocks(results: DataFrame, width: int = GENERATION_BLOCK) -> DataFrame:
@@ -149,35 +158,35 @@ def complete_missing(results: DataFrame, reference: DataFrame, row_id: str = "se
     the first of the reference. `results` is long (row id, `gen`, `agg_runtime`, `accuracy`, and
     what else was measured), `reference` has a row per row id. Programs end in the key.
 
-    With `by`, both sides have these columns (the model, say) and all of this holds for each of their values.
+    With `by`, both sides have these columns (the model, say) and all of this holds for each of their values. A reference
+    that `without_programs` has written is read as it is.
 
     Both inputs are read once and written without programs: which rows have results, and the carries of their blocks,
     must be known before rows and results meet. They meet block by block, so one row with very many generations is
     spread over tasks. Adjusted results also get the carries `best_at_k` needs, on the way.
     """
     blocked = materialized(with_blocks(results), "results")
-    reference = reference.withColumn("_key", _program_key(row_id)).drop(SLOW, REFERENCE)
-    reference = materialized(reference, "reference")
+    reference = reference if KEY in reference.columns else without_programs(reference, row_id)
     extremes = _extremes() if "adjusted_runtime" in results.columns else ({}, {})
     key = [*by, row_id]
     blocks = block_carries(blocked, key, BLOCK, *extremes)
     tried = blocks.filter(~F.col("carry_any")).select(*key, F.lit(True).alias("_tried"))
-    keyed = reference.select(*key, "_key").join(tried, key, "left")
+    keyed = reference.select(*key, KEY).join(tried, key, "left")
     first_tried = F.min(F.when(F.col("_tried"), F.col(row_id)))
-    first = keyed.groupBy(*by, "_key").agg(F.coalesce(first_tried, F.min(row_id)).alias(row_id))
-    chosen = reference.drop("_key").join(first.select(*key), key, "left_semi")
-    completed = chosen.join(blocks.drop("carry_any"), key, "left").join(
-        blocked.withColumn("_measured", F.lit(True)), [*key, BLOCK], "left"
-    )
+    first = keyed.groupBy(*by, KEY).agg(F.coalesce(first_tried, F.min(row_id)).alias(row_id))
+    chosen = reference.drop(KEY).join(first.select(*key), key, "left_semi")
+    # Rows without a block get one before they meet results, so that what goes on by block is not dealt again.
+    placed = chosen.join(blocks.drop("carry_any"), key, "left").withColumn("_placed", F.col(BLOCK).isNotNull())
+    placed = placed.withColumn(BLOCK, F.coalesce(F.col(BLOCK), F.lit(0)))
+    other = {name: f"_result_{name}" for name in (*key, BLOCK)}
+    met = reduce(and_, [F.col(name) == F.col(renamed) for name, renamed in other.items()], F.col("_placed"))
+    found = blocked.withColumn("_measured", F.lit(True)).withColumnsRenamed(other)
+    completed = placed.join(found, met, "left").drop("_placed", *other.values())
     missing = F.col("_measured").isNull()
     fills = {name: F.lit(value) for name, value in FAILED.items() if name in results.columns}
     # No test has a time or statistics: an empty map of the type at hand.
     fills |= {name: F.create_map().cast(results.schema[name].dataType) for name in TEST_MAPS if name in results.columns}
-    return (
-        completed.withColumns({name: F.when(missing, value).otherwise(F.col(name)) for name, value in fills.items()})
-        .withColumn(BLOCK, F.coalesce(F.col(BLOCK), F.lit(0)))
-        .drop("_measured")
-    )
+    return completed.withColumns({name: F.when(missing, value).otherwise(F.col(name)) for name, value in fills.items()}).drop("_measured")
 
 
 def adjust_runtime(results: DataFrame, threshold: float = 1.0) -> DataFrame:
@@ -289,16 +298,20 @@ def full_report(
 
     `outputs` (`model`, `seq`, `codes`) is what S7 reads, `reference` has a row per model and evaluated row with runtimes
     and programs, `measurements` (`model`, `seq`, `gen`) the results of all that was run. The result is E14 with
-    `reference_speedup` (E15), `solved` and `problem_speedup` (E16) of the model. Programs leave after E10.
+    `reference_speedup` (E15), `solved` and `problem_speedup` (E16) of the model. Programs leave before E6.
     """
     by, key = ["model"], ["model", "seq", "gen"]
-    wanted = prepare_eval(reference).drop("slower_program")
+    runtimes = ["model", "seq", "problem_id", "src_runtime", "tgt_runtime"]
+    # Only what the reports read travels; two of them read the reference, two the running bests.
+    wanted = without_programs(prepare_eval(reference).select(*runtimes, SLOW, REFERENCE))
     tried = explode_generations(outputs.select("model", "seq", "codes"), "codes")
-    measured = adjust_runtime(join_measurements(tried, measurements, key)).drop("code")
-    # Two reports read the completed rows.
-    completed = materialized(complete_missing(measured, wanted, by=by), "completed")
-    at_k = report_at_k(best_at_k(completed, by=by), thresholds, by)
-    best = report_problem_best(problem_best(fastest_generated(completed, by=by), by), thresholds, by)
+    # Only whether there is a program counts from here on.
+    tried = tried.withColumn("code", F.when(F.col("code").isNotNull(), F.lit("")))
+    measured = adjust_runtime(join_measurements(tried, measurements, key)).select(*key, "accuracy", "adjusted_runtime")
+    running = best_at_k(complete_missing(measured, wanted, by=by), by=by)
+    running = materialized(running.select(*runtimes, "adjusted_runtime", "k", "is_last", "best_accuracy", "is_correct", "speedup"), "running-bests")
+    at_k = report_at_k(running, thresholds, by)
+    best = report_problem_best(problem_best(fastest_generated(running, by=by), by), thresholds, by)
     references = report_reference(wanted, thresholds, by)
     return at_k.join(references.select("model", F.col("mean_speedup").alias("reference_speedup")), "model").join(
         best.select("model", F.col("mean_solved").alias("solved"), F.col("mean_speedup").alias("problem_speedup")), "model"

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.operators import measurements, report
 from paceline.plans.measuring import STATS_VALUES
 from paceline.plans.registry import query
 from paceline.plans.reporting import INFINITE, REPORT, best_at_k_report, floored_sql, rounded, share_sql, with_test_times
-from paceline.session import scratch_path
+from paceline.session import materialized, scratch_path
 from paceline.sources import files
 
 PAIR_SCHEMA = (
@@ -162,16 +165,20 @@ FROM p JOIN s15 ON s15.model = p.model JOIN s16 ON s16.model = p.model GROUP BY
 @query("e_full_report", FULL_REPORT)
 def _(v):
     folder = scratch_path(v.spark, "evaluation")
-    tried = v.sql(_TRIED)
+    # Numbered and written once: outputs, measurements and the report's rows are made of them.
+    gens = materialized(v("gens"), "generations")
+    columns = ["seq", "model", "gen", "code", "accuracy", "agg_runtime"]
+    single = gens.filter("gen = 0 AND code IS NOT NULL AND seq % 2 = 0").withColumn("agg_runtime", F.col("agg_runtime") + 1)
+    tried = reduce(DataFrame.union, [part.withColumn("model", F.lit(name)).select(columns) for name, part in zip(MODELS, (gens, single))])
     for name in MODELS:
         codes = F.transform(F.sort_array(F.collect_list(F.struct("gen", "code"))), lambda g: g["code"])
         answers = tried.filter(F.col("model") == name).groupBy("seq").agg(codes.alias(name))
-        answers.write.json(f"{folder}/outputs/{name}.jsonl")
+        answers.write.json(f"{folder}/outputs/{name}.jsonl", compression="gzip")
     outputs = files.read_model_outputs(v.spark, f"{folder}/outputs", "seq bigint")
     reference = v("eval_rows").withColumn("model", F.explode(F.array(*[F.lit(name) for name in MODELS])))
     measured = with_test_times(tried.drop("code"))
     summary = rounded(report.full_report(outputs, reference, measured).withColumn("k", F.col("k").cast("bigint")), ("model", "k", "programs"))
-    files.write_report(summary, measured.select("model", "seq", "gen", "tc2time"), f"{folder}/report")
+    files.write_report(summary, measured.select("model", "seq", "gen", "tc2time"), f"{folder}/report", "gzip")
     return v.spark.read.schema(summary.schema).csv(f"{folder}/report/summary", header=True)
 
 

@@ -235,10 +235,10 @@ def model_of_key(key: Column | str) -> Column:
     return F.regexp_replace(key, "_resp$", "")
 
 
-def write_report(summary: DataFrame, rows: DataFrame, path: str) -> None:
-    """The aggregate as CSV with a header, the rows as JSON lines."""
+def write_report(summary: DataFrame, rows: DataFrame, path: str, compression: str | None = None) -> None:
+    """The aggregate as CSV with a header, the rows as JSON lines, these compressed (`gzip`, say) if asked."""
     summary.write.mode("overwrite").csv(f"{path}/summary", header=True)
-    rows.write.mode("overwrite").json(f"{path}/rows")
+    rows.write.mode("overwrite").json(f"{path}/rows", compression=compression)
 
 
 def read_stats_files(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions import numbers
 from paceline.operators import ranking, report
+from paceline.session import materialized
 
 INF = float("inf")
 NAN = float("nan")
@@ -232,3 +233,41 @@ def test_inputs_of_the_report_are_scanned_once(spark, tmp_path):
         adjusted = report.adjust_runtime(counted("gens", GENS)).drop("code")
         build(report.complete_missing(adjusted, counted("rows", ROWS))).collect()
         assert reads("gens") == len(gens) and reads("rows") == len(rows)
+
+
+def test_full_report_moves_neither_programs_nor_test_times(spark, monkeypatch):
+    reference = spark.createDataFrame(
+        [("m", i, "p1", f"slow {i}", "fast", 4.0, 2.0, f"s{i}", f"t{i}") for i in range(3)],
+        "model string, seq int, problem_id string, src_code string, tgt_code string, src_runtime double, tgt_runtime double, src_id string, tgt_id string",
+    )
+    outputs = spark.createDataFrame([("m", 0, ["a", None]), ("m", 1, ["b"])], "model string, seq int, codes array<string>")
+    measured = spark.createDataFrame(
+        [("m", 0, 0, 1.0, 2.0, {"1": 1.0}), ("m", 0, 1, 1.0, 1.0, {"1": 1.0}), ("m", 1, 0, 0.5, 1.0, {})],
+        "model string, seq int, gen int, accuracy double, agg_runtime double, tc2time map<string, double>",
+    )
+    written = {}
+
+    def noting(df, name):
+        written[name] = df.schema
+        return materialized(df, name)
+
+    monkeypatch.setattr(report, "materialized", noting)
+    rows = sorted(map(tuple, report.full_report(outputs, reference, measured).select("k", "programs", "mean_accuracy", "mean_speedup", "solved").collect()))
+    assert rows == [(1, 3, 0.5, pytest.approx(4 / 3), 1.0), (2, 3, 0.5, pytest.approx(4 / 3), 1.0)]
+    moved = {name for schema in written.values() for name in schema.names}
+    assert not moved & {"src_code", "tgt_code", "code", "tc2time", "src_id", "tgt_id"}
+    assert written["reference"]["_key"].dataType.simpleString() == "binary"
+
+
+def test_glued_programs_and_missing_ones_have_keys_of_their_own(spark):
+    rows = [("ab", "c"), ("a", "bc"), ("ab", "c"), (None, "c"), (None, "c")]
+    frame = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "seq int, src_code string, tgt_code string")
+    keys = [bytes(r["_key"]) for r in report.without_programs(frame).orderBy("seq").collect()]
+    assert len(set(keys)) == 4 and keys[0] == keys[2] and all(len(key) == 16 for key in keys[:3])
+
+
+def test_results_without_a_generation_number_stay_apart(spark):
+    results = spark.createDataFrame([(1, 0, 2.0), (1, None, 3.0)], "seq int, gen int, agg_runtime double")
+    reference = spark.createDataFrame([(1, "a", "b")], "seq int, src_code string, tgt_code string")
+    got = report.complete_missing(results, reference).select("gen", "agg_runtime").collect()
+    assert sorted(map(tuple, got)) == [(0, 2.0), (0, float("inf"))]
