@@ -133,14 +133,16 @@ def _mark(path: str, fingerprint: str) -> str:
     return f"{path}/_published-{hashlib.sha256(fingerprint.encode()).hexdigest()[:32]}"
 
 
-def _published(spark: SparkSession, path: str, fingerprint: str, write: Callable[[str], None]) -> str:
-    """The folder under `path` that holds the result of this fingerprint; written first where there is none."""
+def _published(spark: SparkSession, path: str, fingerprint: str, write: Callable[[str], str | None]) -> str:
+    """The folder under `path` that holds the result of this fingerprint; written first where there is none.
+
+    `write` is given a folder's name; one that writes to another returns that one's.
+    """
     mark = _mark(path, fingerprint)
     version = read_mark(spark, mark)
     if version is None:
         own = f"version-{uuid.uuid4().hex}"
-        write(own)
-        version = write_mark(spark, mark, own)
+        version = write_mark(spark, mark, write(own) or own)
     return version
 
 
@@ -159,26 +161,43 @@ def materialize_once(
     return spark.read.parquet(f"{path}/{version}")
 
 
-def bucketed_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], key: Sequence[str], buckets: int, fingerprint: str = "") -> DataFrame:
-    """S6 in buckets: like `materialize_once`, one sorted file for each of `buckets` hash buckets of `key`.
+# Rows of one bucket, which one task sorts, on average at most.
+BUCKET_ROWS = 1 << 21
+
+
+def bucketed_once(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], key: Sequence[str], buckets: int, fingerprint: str = "", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """S6 in buckets: like `materialize_once`, one sorted file for each hash bucket of `key`.
+
+    There are `buckets` of them, doubled until a bucket has at most `bucket_rows` rows on average, so that what a task
+    sorts does not grow with the table. The rows are counted for that before they are written.
 
     Results with the same key and number of buckets meet in joins, and are grouped by the key, without a shuffle or a
     sort; that pays where a result is read more than once. The rows of one key value are in one file.
     """
 
-    def written(own: str) -> None:
+    def written(own: str) -> str:
+        rows, number = build(), buckets
+        size = rows.count()
+        while size > number * bucket_rows:
+            number *= 2
+        # Readers know the number by the folder's name.
+        own = f"{own}-{number}"
         name = f"building_{own.replace('-', '_')}"
         # Dealt like the buckets, each task writes one file.
-        dealt = build().repartition(buckets, *key)
-        dealt.write.bucketBy(buckets, *key).sortBy(*key).option("path", f"{path}/{own}").saveAsTable(name)
+        dealt = rows.repartition(number, *key)
+        dealt.write.bucketBy(number, *key).sortBy(*key).option("path", f"{path}/{own}").saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # the table is external: its files stay
+        return own
 
     version = _published(spark, path, f"{fingerprint} in {buckets} buckets of {', '.join(key)}", written)
     name, place = f"saved_{version.replace('-', '_')}", f"{path}/{version}"
+    number = int(version.split("-")[2]) if version.count("-") == 2 else buckets
     if not spark.catalog.tableExists(name):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(place).schema)
         names = ", ".join(f"`{c}`" for c in key)
-        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({names}) SORTED BY ({names}) INTO {buckets} BUCKETS LOCATION '{place}'")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({names}) SORTED BY ({names}) INTO {number} BUCKETS LOCATION '{place}'")
     # One file per bucket is what makes its order that of the bucket.
     return spark.table(name)
 

@@ -153,6 +153,21 @@ def test_buckets_join_and_group_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_buckets_double_until_each_is_small(spark, tmp_path):
+    rows, save = spark.range(1000).selectExpr("id % 250 AS seq", "id AS gen"), files.bucketed_once
+    for bucket_rows, number in ((1000, 2), (100, 16)):
+        saved = save(spark, f"{tmp_path}/{number}", lambda: rows, ["seq"], 2, bucket_rows=bucket_rows)
+        assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, rows.collect()))
+        table = "saved_" + saved.inputFiles()[0].split("/")[-2].replace("-", "_")
+        described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+        assert described["Num Buckets"] == str(number)
+        parts = list((tmp_path / str(number)).glob("version-*/*.parquet"))
+        assert max(spark.read.parquet(str(part)).count() for part in parts) <= bucket_rows * 2
+    # Results of another number of buckets still join.
+    few, many = (save(spark, f"{tmp_path}/{n}", lambda: rows.limit(0), ["seq"], 2) for n in (2, 16))
+    assert few.join(many, ["seq", "gen"]).count() == 1000
+
+
 def test_model_outputs_are_found_by_their_file_name(spark, tmp_path):
     rows = [
         {"seq": 1, "m-1.5_resp": ["r1", "r2"], "m-1.5": ["c1", None]},
