@@ -4,11 +4,13 @@ import gzip
 import json
 import threading
 from multiprocessing.pool import ThreadPool
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from paceline.operators.measurements import parse_stats_lines, simulated_seconds
+from paceline.plans.catalogue import QUERIES
 from paceline.session import drop_scratch, materialized, path_exists, scratch_folder
 from paceline.sources import files
 
@@ -50,6 +52,19 @@ def test_problem_statements(spark, tmp_path):
     assert {r["problem_id"] for r in statements.collect()} == {"p1", "p 2"}
 
 
+def test_statement_files_are_made_by_many_tasks(spark, tmp_path):
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "'page ' || id AS html").coalesce(1)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    orders = "id AS o_orderkey, id AS o_custkey, 1.0D AS o_totalprice, 'F' AS o_orderstatus, '5-LOW' AS o_orderpriority".split(", ")
+    spark.range(6).selectExpr(*orders).write.parquet(f"{tmp_path}/orders.parquet")
+    before = set(Path(scratch_folder(spark)).glob("statements-*"))
+    got = {r["problem_id"]: r["instruction"] for r in QUERIES["s4_read_problem_statements"](spark, str(tmp_path)).collect()}
+    assert got == {"p0": "page 0", "p2": "page 1", "p4": "page 2", "p3": "", "p5": "", "p7": ""}
+    made = set(Path(scratch_folder(spark)).glob("statements-*")) - before
+    parts = [part.name for folder in made for part in folder.glob("file=*/part-*")]
+    assert len(parts) == 40 and len({name.split("-")[1] for name in parts}) > 1
+
+
 def test_registered_dataset_is_renamed(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"instruction": "i", "output": "o"}\n')
     registry = {"d": {"file_name": "d.jsonl", "columns": {"prompt": "instruction", "response": "output"}}}
