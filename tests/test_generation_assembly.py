@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+import random
+
 import pytest
 import stubs
 from pyspark.sql import functions as F
@@ -180,6 +183,30 @@ def test_attach_testcases_fails_on_a_problem_without_any(spark):
         assembly.attach_testcases(examples, cases).collect()
 
 
+def test_attached_testcases_are_written_once_per_part(spark, tmp_path):
+    """A text above Parquet's default dictionary of 1 MB, which 200 examples repeat, and does not compress."""
+    text = random.Random(1).randbytes(750_000).hex()
+    examples = spark.createDataFrame([(f"p{i % 2}-{i}-x",) for i in range(400)], "id string")
+    cases = spark.createDataFrame([("p0", text), ("p1", text[::-1])], "problem_id string, testcases string")
+    attached = assembly.attach_testcases(examples, cases)
+    attached.write.parquet(str(tmp_path / "attached"))
+    assert sum(f.stat().st_size for f in (tmp_path / "attached").glob("*.parquet")) < 2 * assembly.PROBLEM_PARTS * len(text)
+    written = spark.read.parquet(str(tmp_path / "attached")).select("id", F.md5("testcases").alias("digest")).collect()
+    digests = [hashlib.md5(t.encode()).hexdigest() for t in (text, text[::-1])]
+    assert sorted(map(tuple, written)) == sorted((f"p{i % 2}-{i}-x", digests[i % 2]) for i in range(400))
+
+
+def test_attach_testcases_keeps_repeats_and_sends_no_broadcast(spark):
+    examples = spark.createDataFrame([(f"p{i % 3}-{i % 5}-x", i) for i in range(60)], "id string, n int")
+    cases = spark.createDataFrame([("p0", ["a"]), ("p0", ["b"]), ("p1", []), ("p2", None), ("p9", ["c"])], "problem_id string, testcases array<string>")
+    attached = assembly.attach_testcases(examples, cases)
+    assert attached.columns == ["problem_id", "id", "n", "testcases"]
+    known = {"p0": [["a"], ["b"]], "p1": [[]], "p2": [None]}
+    wanted = [(f"p{i % 3}", f"p{i % 3}-{i % 5}-x", i, tests) for i in range(60) for tests in known[f"p{i % 3}"]]
+    assert sorted(map(tuple, attached.collect()), key=str) == sorted(wanted, key=str)
+    assert "Broadcast" not in attached._jdf.queryExecution().executedPlan().toString()
+
+
 def test_original_code_is_added_only_when_absent(spark):
     frame = spark.createDataFrame([("x ```cpp\nint a;\n```",), ("none",)], "instruction string")
     assert [r["org_code"] for r in assembly.add_original_code(frame).collect()] == ["int a;\n", ""]
