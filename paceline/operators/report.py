@@ -67,7 +67,8 @@ def explode_generations(df: DataFrame, generations: str, pad: int | None = None)
     A row with more than `pad` generations keeps them all.
     """
     if pad is None:
-        return df.select("*", F.posexplode(generations).alias("gen", "code")).drop(generations)
+        # Not the inner form: its filter on the array's size goes below what makes the array, which is then made several times.
+        return df.select("*", F.posexplode_outer(generations).alias("gen", "code")).filter(F.col("gen").isNotNull()).drop(generations)
     wanted = F.greatest(F.coalesce(F.size(generations), F.lit(0)), F.lit(pad))
     return (
         df.withColumn("gen", F.explode(F.when(wanted > 0, F.sequence(F.lit(0), wanted - 1))))

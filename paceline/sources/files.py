@@ -38,6 +38,14 @@ def write_records(df: DataFrame, path: str, cleaned: bool = False, mode: str = "
     return path
 
 
+def _named_in_path(pattern: str) -> Column:
+    """What `pattern` finds in the last two parts of a row's file path, which are all that it may reach; decoded.
+
+    A regular expression over a whole path tries every place of every folder, and it runs once a row.
+    """
+    return _decoded(F.regexp_extract(F.substring_index("_metadata.file_path", "/", -2), pattern, 1))
+
+
 def _line_order() -> Column:
     """Reading order over files: name, then split offset, then row within the split."""
     return F.struct(
@@ -105,7 +113,7 @@ def read_submission_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_problem_statements(spark: SparkSession, path: str) -> DataFrame:
     """(problem_id, instruction) of the `{problem}.html` files under a glob."""
-    name = _decoded(F.regexp_extract("_metadata.file_path", r"([^/=]+)\.html(?:/[^/]*)?$", 1))
+    name = _named_in_path(r"([^/=]+)\.html(?:/[^/]*)?$")
     return spark.read.text(path, wholetext=True).select(name.alias("problem_id"), F.col("value").alias("instruction"))
 
 
@@ -243,7 +251,7 @@ def read_model_outputs(spark: SparkSession, folder: str, schema: StructType | st
             found = F.when(F.col("model") == model, value).otherwise(found)
         return found
 
-    model = _decoded(F.regexp_extract("_metadata.file_path", MODEL_FILE, 1))
+    model = _named_in_path(MODEL_FILE)
     parsed = lines.select(model.alias("model"), record.alias("_record"))
     texts = parsed.select("model", *[F.col("_record")[place[f.name]].alias(f.name) for f in fields], under("_resp").alias("_responses"), under("").alias("_codes"))
     return texts.select("model", *[F.col(f"`{f.name}`") for f in fields], listed(F.col("_responses")).alias("responses"), listed(F.col("_codes")).alias("codes"))

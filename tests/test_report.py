@@ -159,6 +159,14 @@ def test_expand_melt_and_unmelt_round_trip(spark):
     assert report.explode_generations(frame, "model", pad=1).count() == 4
 
 
+def test_generations_are_not_made_again_for_a_filter_on_their_number(spark):
+    """A filter that Spark infers from an inner explode goes below costly arrays, such as parsed ones, and makes them again."""
+    texts = spark.createDataFrame([(1, '["a", null]'), (2, "[]"), (3, None)], "seq int, text string")
+    long = report.explode_generations(texts.select("seq", F.from_json("text", "array<string>").alias("model")), "model")
+    assert set(map(tuple, long.collect())) == {(1, 0, "a"), (1, 1, None)}
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_unmelt_keeps_both_targets_of_a_source(spark):
     rows = [(1, 7, "m", 0.5), (1, 8, "m", 1.0)]
     frame = spark.createDataFrame(rows, "src_id int, tgt_id int, code_type string, accuracy double")

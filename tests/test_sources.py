@@ -65,6 +65,24 @@ def test_statement_files_are_made_by_many_tasks(spark, tmp_path):
     assert len(parts) == 40 and len({name.split("-")[1] for name in parts}) > 1
 
 
+def test_file_names_are_sought_in_the_last_parts_of_a_path(spark, tmp_path):
+    """A search over the whole path, for every row, took most of the time of reading outputs."""
+    folder = tmp_path / "old.jsonl" / "run"
+    (folder / "a+b.jsonl").mkdir(parents=True)
+    (folder / "a+b.jsonl" / "part-0.json").write_text('{"seq": 1, "a+b": "x"}\n')
+    (folder / "c.d.jsonl").write_text('{"seq": 2, "c.d": "y"}\n')
+    outputs = files.read_model_outputs(spark, str(folder), "seq int")
+    assert {(r["seq"], r["model"], *r["codes"]) for r in outputs.collect()} == {(1, "a+b", "x"), (2, "c.d", "y")}
+    (folder / "p 1.html").mkdir()
+    (folder / "p 1.html" / "part-0.txt").write_text("one")
+    (folder / "p2.html").write_text("two")
+    statements = files.read_problem_statements(spark, f"{folder}/*.html")
+    assert set(map(tuple, statements.collect())) == {("p 1", "one"), ("p2", "two")}
+    for frame in (outputs, statements):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") == plan.count("regexp_extract(substring_index(") > 0
+
+
 def test_registered_dataset_is_renamed(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"instruction": "i", "output": "o"}\n')
     registry = {"d": {"file_name": "d.jsonl", "columns": {"prompt": "instruction", "response": "output"}}}
