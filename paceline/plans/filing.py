@@ -53,10 +53,8 @@ LEFT JOIN @pages g ON 'p' || CAST(g.page_id * 2 AS STRING) = p.problem_id""",
 def _(v):
     folder = scratch_path(v.spark, "statements")
     name = F.concat(F.lit("p"), (F.col("page_id") * 2).cast("string"), F.lit(".html"))
-    # A file is made for each page: dealt over all cores, and put in place by the tasks instead of one by one at the end.
-    pages = v.table("pages").select(name.alias("file"), "html").repartition(v.spark.sparkContext.defaultParallelism, "file")
-    pages.write.partitionBy("file").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
-    # The text writer ends each row with a line break that the page did not have.
+    files.write_named_texts(v.table("pages").select(name.alias("file"), "html"), "file", "html", folder)
+    # The writer ends each row with a line break that the page did not have.
     written = files.read_problem_statements(v.spark, f"{folder}/*.html")
     statements = written.withColumn("instruction", F.regexp_replace("instruction", r"\n\z", ""))
     return files.attach_statements(v("subs").select("problem_id").distinct(), statements)

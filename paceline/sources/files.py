@@ -6,7 +6,8 @@ import csv
 import hashlib
 import re
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 from urllib.parse import unquote
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from paceline.functions.text import listed
-from paceline.session import delete_entries, first_line, read_mark, write_mark
+from paceline.session import delete_entries, first_line, mounted_path, path_exists, read_mark, write_mark
 
 
 def _decoded(name: Column) -> Column:
@@ -111,10 +112,86 @@ def read_submission_metadata(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, most: int) -> Iterator[None]:
+    """A number among the session's settings, where 0 is no limit, held to at most `most` for a while."""
+    value = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(value) if int(value) > 0 else most, most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, value)
+
+
+def write_named_texts(df: DataFrame, name: str, text: str, folder: str) -> None:
+    """A text file for each value of `name`, in a folder `<name>=<value>` as a writer by partitions makes it, a line per row.
+
+    Rows are dealt by name to at least as many tasks as there are cores. On a mounted folder the tasks make the files
+    themselves, each under a hidden name until it is whole: Hadoop's local file system starts a process for the permissions of
+    each file and folder, four times a name. Elsewhere Spark's writer does it.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.select(name, text).repartition(tasks, name)
+    place = mounted_path(spark, folder)
+    if place is None:
+        # Put in place by the tasks instead of one by one at the end.
+        dealt.write.partitionBy(name).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+        return
+    if path_exists(spark, folder):
+        raise ValueError(f"{folder} is there already")
+    rows = dealt.select(F.col(name).cast("string"), F.col(text).cast("binary")).sortWithinPartitions(name)
+    # Texts may be long, so few of them are in a batch.
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", 256):
+        rows.mapInArrow(_text_writer(place, name), "files bigint").agg(F.sum("files")).collect()
+
+
+def _text_writer(place: str, name: str) -> Callable:
+    # Inside a function, so that it travels to the workers whole, not by module name.
+    def write(batches):
+        import os
+        import re
+        from itertools import groupby
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        files = 0
+        for value, same in groupby(rows, lambda row: row[0]):
+            # The names that Spark gives to folders of partitions.
+            escaped = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda sign: f"%{ord(sign[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
+            folder = os.path.join(place, f"{name}={escaped}")
+            os.makedirs(folder, exist_ok=True)
+            # A task that runs again writes the same names.
+            part = f"part-{task.partitionId():05d}.txt"
+            hidden = os.path.join(folder, f".{part}.{task.taskAttemptId()}")
+            with open(hidden, "wb") as file:
+                for _, text in same:
+                    file.write((text or b"") + b"\n")
+            os.replace(hidden, os.path.join(folder, part))
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return write
+
+
+# Tasks that list files of statements, for each core.
+LISTINGS_PER_CORE = 16
+
+
 def read_problem_statements(spark: SparkSession, path: str) -> DataFrame:
-    """(problem_id, instruction) of the `{problem}.html` files under a glob."""
+    """(problem_id, instruction) of the `{problem}.html` files under a glob.
+
+    Spark lists each path that the glob finds in up to 10,000 tasks, of which most take longer to start than to list; here
+    there are a few for each core.
+    """
     name = _named_in_path(r"([^/=]+)\.html(?:/[^/]*)?$")
-    return spark.read.text(path, wholetext=True).select(name.alias("problem_id"), F.col("value").alias("instruction"))
+    # The read lists.
+    with _setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", LISTINGS_PER_CORE * spark.sparkContext.defaultParallelism):
+        texts = spark.read.text(path, wholetext=True)
+    return texts.select(name.alias("problem_id"), F.col("value").alias("instruction"))
 
 
 def attach_statements(problems: DataFrame, statements: DataFrame) -> DataFrame:

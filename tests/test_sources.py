@@ -65,6 +65,39 @@ def test_statement_files_are_made_by_many_tasks(spark, tmp_path):
     assert len(parts) == 40 and len({name.split("-")[1] for name in parts}) > 1
 
 
+def test_named_texts_are_those_of_a_writer_by_partitions(spark, tmp_path):
+    """Nulls, names that repeat, and signs that a folder's name escapes; read back as text and by partitions."""
+    rows = [("p1.html", "one\ntwo"), ("p1.html", "one\ntwo"), ("p 2=%.html", "ä"), ("p3.html", ""), ("p4.html", None), (None, "lost"), ("", "lost")]
+    frame = spark.createDataFrame(rows, "file string, html string")
+    ours, sparks = f"{tmp_path}/ours", f"{tmp_path}/sparks"
+    files.write_named_texts(frame, "file", "html", ours)
+    frame.repartition(1, "file").write.partitionBy("file").text(sparks)
+    assert sorted(p.name for p in Path(ours).iterdir()) == sorted(p.name for p in Path(sparks).glob("file=*"))
+    assert not [p for folder in Path(ours).iterdir() for p in folder.glob(".*")]
+    for read in (lambda folder: files.read_problem_statements(spark, f"{folder}/*.html"), spark.read.text):
+        assert sorted(map(str, read(ours).collect())) == sorted(map(str, read(sparks).collect()))
+    with pytest.raises(ValueError, match="there already"):
+        files.write_named_texts(frame, "file", "html", ours)
+
+
+def test_statement_files_are_listed_by_few_tasks(spark, tmp_path):
+    """Not by one task for each file, up to 10,000."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for i in range(200):
+        (tmp_path / f"p{i}.html").write_text(str(i))
+    before = spark.conf.get(setting)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        statements = files.read_problem_statements(spark, f"{tmp_path}/*.html")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(stage) for job in tracker.getJobIdsForGroup("listing") for stage in tracker.getJobInfo(job).stageIds]
+    assert stages and all(stage.numTasks <= files.LISTINGS_PER_CORE * 4 for stage in stages)
+    assert spark.conf.get(setting) == before
+    assert {(r["problem_id"], r["instruction"]) for r in statements.collect()} == {(f"p{i}", str(i)) for i in range(200)}
+
+
 def test_file_names_are_sought_in_the_last_parts_of_a_path(spark, tmp_path):
     """A search over the whole path, for every row, took most of the time of reading outputs."""
     folder = tmp_path / "old.jsonl" / "run"
