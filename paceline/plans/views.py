@@ -7,7 +7,7 @@ functions the two engines name differently.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -179,23 +179,23 @@ SELECT seq, gen, accuracy, agg_runtime + 1 AS agg_runtime, code IS NOT NULL AS c
 _REFERENCE = re.compile(r"@(\w+)")
 
 
-def _needed(name: str, seen: list[str]) -> None:
-    """Append `name` and the views it reads to `seen`, readers last."""
-    if name in seen or name not in VIEWS:
+def _needed(name: str, seen: list[str], saved: Collection[str]) -> None:
+    """Append `name` and the views it reads to `seen`, readers last; not those that are saved."""
+    if name in seen or name in saved or name not in VIEWS:
         return
     for inner in _REFERENCE.findall(VIEWS[name]):
-        _needed(inner, seen)
+        _needed(inner, seen, saved)
     seen.append(name)
 
 
-def _with_views(body: str, names: dict[str, str], table: Callable[[str], str] = str) -> str:
+def _with_views(body: str, names: dict[str, str], table: Callable[[str], str] = str, saved: Collection[str] = ()) -> str:
     needed: list[str] = []
     for name in _REFERENCE.findall(body):
-        _needed(name, needed)
+        _needed(name, needed, saved)
 
     def word(match: re.Match) -> str:
         name = match.group(1)
-        return table(name) if name in TABLES else names.get(name, name)
+        return table(name) if name in TABLES or name in saved else names.get(name, name)
 
     def spell(text: str) -> str:
         return _REFERENCE.sub(word, text)
@@ -220,6 +220,7 @@ class Inputs:
         self.spark = apply_settings(spark)
         self.sf_dir = sf_dir.rstrip("/")
         self._tables: dict[str, str] = {}
+        self._saved: set[str] = set()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(self._registered(name))
@@ -234,8 +235,15 @@ class Inputs:
             frame.createOrReplaceTempView(self._tables[name])
         return self._tables[name]
 
+    def save(self, name: str, save: Callable[[Callable[[], DataFrame]], DataFrame]) -> None:
+        """From here on a view is read from where `save` has written its rows, also by the views over it."""
+        saved = save(lambda: self(name))
+        self._tables[name] = f"paceline_{name}"
+        saved.createOrReplaceTempView(self._tables[name])
+        self._saved.add(name)
+
     def sql(self, body: str) -> DataFrame:
-        return self.spark.sql(_with_views(body, SPARK_NAMES, self._registered))
+        return self.spark.sql(_with_views(body, SPARK_NAMES, self._registered, self._saved))
 
     def __call__(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM @{name}")

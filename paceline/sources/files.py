@@ -6,8 +6,7 @@ import csv
 import hashlib
 import re
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 from urllib.parse import unquote
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from paceline.functions.text import listed
-from paceline.session import delete_entries, first_line, mounted_path, path_exists, read_mark, write_mark
+from paceline.session import delete_entries, first_line, mounted_path, path_exists, read_mark, setting, write_mark
 
 
 def _decoded(name: Column) -> Column:
@@ -112,17 +111,6 @@ def read_submission_metadata(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, most: int) -> Iterator[None]:
-    """A number among the session's settings, where 0 is no limit, held to at most `most` for a while."""
-    value = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(value) if int(value) > 0 else most, most)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, value)
-
-
 def write_named_texts(df: DataFrame, name: str, text: str, folder: str) -> None:
     """A text file for each value of `name`, in a folder `<name>=<value>` as a writer by partitions makes it, a line per row.
 
@@ -142,7 +130,7 @@ def write_named_texts(df: DataFrame, name: str, text: str, folder: str) -> None:
         raise ValueError(f"{folder} is there already")
     rows = dealt.select(F.col(name).cast("string"), F.col(text).cast("binary")).sortWithinPartitions(name)
     # Texts may be long, so few of them are in a batch.
-    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", 256):
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", 256):
         rows.mapInArrow(_text_writer(place, name), "files bigint").agg(F.sum("files")).collect()
 
 
@@ -188,8 +176,9 @@ def read_problem_statements(spark: SparkSession, path: str) -> DataFrame:
     there are a few for each core.
     """
     name = _named_in_path(r"([^/=]+)\.html(?:/[^/]*)?$")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     # The read lists.
-    with _setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", LISTINGS_PER_CORE * spark.sparkContext.defaultParallelism):
+    with setting(spark, key, min(int(spark.conf.get(key)), LISTINGS_PER_CORE * spark.sparkContext.defaultParallelism)):
         texts = spark.read.text(path, wholetext=True)
     return texts.select(name.alias("problem_id"), F.col("value").alias("instruction"))
 
@@ -251,12 +240,21 @@ BUCKET_ROWS = 1 << 21
 
 
 def bucketed_once(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], key: Sequence[str], buckets: int, fingerprint: str = "", bucket_rows: int = BUCKET_ROWS
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    key: Sequence[str],
+    buckets: int,
+    fingerprint: str = "",
+    bucket_rows: int = BUCKET_ROWS,
+    dealt: bool = False,
 ) -> DataFrame:
     """S6 in buckets: like `materialize_once`, one sorted file for each hash bucket of `key`.
 
     There are `buckets` of them, doubled until a bucket has at most `bucket_rows` rows on average, so that what a task
-    sorts does not grow with the table. The rows are counted for that before they are written.
+    sorts does not grow with the table. The rows are counted for that before they are written. `dealt` is for a
+    build that ends in a shuffle by the key's values, for a window say, under whatever name: as its shuffles have as many
+    partitions as there are buckets, its rows are in buckets already and are not dealt again.
 
     Results with the same key and number of buckets meet in joins, and are grouped by the key, without a shuffle or a
     sort; that pays where a result is read more than once. The rows of one key value are in one file.
@@ -270,9 +268,10 @@ def bucketed_once(
         # Readers know the number by the folder's name.
         own = f"{own}-{number}"
         name = f"building_{own.replace('-', '_')}"
-        # Dealt like the buckets, each task writes one file.
-        dealt = rows.repartition(number, *key)
-        dealt.write.bucketBy(number, *key).sortBy(*key).option("path", f"{path}/{own}").saveAsTable(name)
+        with setting(spark, "spark.sql.shuffle.partitions", number):
+            # Dealt like the buckets, each task writes one file.
+            placed = rows if dealt else rows.repartition(number, *key)
+            placed.write.bucketBy(number, *key).sortBy(*key).option("path", f"{path}/{own}").saveAsTable(name)
         spark.sql(f"DROP TABLE {name}")  # the table is external: its files stay
         return own
 

@@ -62,6 +62,24 @@ def test_rounds_of_5000_rows_rank_narrow_rows_and_positions_of_sparse_ids_many_r
     assert sizes.filter("i <> want").count() == 0 and sizes.count() == 1000
 
 
+def test_tests_of_a_pair_are_dealt_once(spark):
+    """Each step read and dealt the measured tests anew, with all columns that number them."""
+    plan = plan_of(QUERIES["m7_pair_results"](spark, SF_DIR))
+    assert "l_extendedprice" not in plan and "Window" not in plan
+    # What is dealt are the orders and, by pair, the results of submissions; no test.
+    dealt = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning", line)]
+    assert dealt and not any("tc_no" in line for line in dealt)
+
+
+def test_a_saved_view_is_read_by_the_views_over_it(spark):
+    inputs = Inputs(spark, SF_DIR)
+    before = inputs("untimed_results").count()
+    inputs.save("test_results", lambda build: build().filter("seq % 2 = 0"))
+    assert 0 < inputs("untimed_results").count() < before
+    assert inputs("untimed_results").filter("seq % 2 = 1").count() == 0
+    assert Inputs(spark, SF_DIR)("untimed_results").count() == before
+
+
 def test_programs_are_pruned_from_the_pair_scan(spark):
     plan = plan_of(QUERIES["p1_speed_ordered_pairs"](spark, SF_DIR))
     assert "o_orderpriority" not in plan and "o_orderstatus" not in plan

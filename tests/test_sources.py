@@ -65,6 +65,21 @@ def test_statement_files_are_made_by_many_tasks(spark, tmp_path):
     assert len(parts) == 40 and len({name.split("-")[1] for name in parts}) > 1
 
 
+def test_rows_that_a_window_has_dealt_are_bucketed_as_they_are(spark, tmp_path):
+    def build():
+        rows = spark.range(1000).selectExpr("id % 97 AS owner", "id AS n").repartition(3)
+        return rows.selectExpr("owner AS seq", "row_number() OVER (PARTITION BY owner ORDER BY n) AS place", "n")
+
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    saved = files.bucketed_once(spark, f"{tmp_path}/saved", build, ["seq"], 2, bucket_rows=200, dealt=True)
+    assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, build().collect()))
+    assert len({Path(name).name for name in saved.inputFiles()}) == 8
+    counted = saved.groupBy("seq").count()
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in counted.collect()} == {(i, 11 if i < 30 else 10) for i in range(97)}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == shuffles
+
+
 def test_named_texts_are_those_of_a_writer_by_partitions(spark, tmp_path):
     """Nulls, names that repeat, and signs that a folder's name escapes; read back as text and by partitions."""
     rows = [("p1.html", "one\ntwo"), ("p1.html", "one\ntwo"), ("p 2=%.html", "ä"), ("p3.html", ""), ("p4.html", None), (None, "lost"), ("", "lost")]
