@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow.parquet as pq
 import pytest
 import stubs
 from pyspark.sql import functions as F
@@ -196,6 +197,22 @@ def test_attached_testcases_are_written_once_per_part(spark, tmp_path):
     assert sorted(map(tuple, written)) == sorted((f"p{i % 2}-{i}-x", digests[i % 2]) for i in range(400))
 
 
+def test_attached_testcases_are_dealt_to_many_tasks_and_not_compared(spark, tmp_path):
+    """Small examples get long texts: as few tasks as the examples fill left cores idle, and each text was compared with the extremes."""
+    examples = spark.createDataFrame([(f"p{i % 5}-{i}-x",) for i in range(400)], "id string")
+    cases = spark.createDataFrame([(f"p{i}", f"{i}," * 1000) for i in range(5)], "problem_id string, testcases string")
+    attached = assembly.attach_testcases(examples, cases)
+    placed = attached.select("problem_id", F.pmod(F.xxhash64("id"), F.lit(assembly.PROBLEM_PARTS)).alias("part"), F.spark_partition_id().alias("task")).distinct().collect()
+    # Each problem and part is in one task, and few of them share one.
+    assert len({(r["problem_id"], r["part"]) for r in placed}) == len(placed) == 5 * assembly.PROBLEM_PARTS
+    assert len({r["task"] for r in placed}) > 4 * 2
+    attached.write.parquet(str(tmp_path / "attached"))
+    for file in (tmp_path / "attached").glob("*.parquet"):
+        meta = pq.read_metadata(file)
+        has = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i).is_stats_set for i in range(meta.num_columns)} if meta.num_row_groups else {}
+        assert not has or (has["id"] and not has["testcases"])
+
+
 def test_attach_testcases_keeps_repeats_and_sends_no_broadcast(spark):
     examples = spark.createDataFrame([(f"p{i % 3}-{i % 5}-x", i) for i in range(60)], "id string, n int")
     cases = spark.createDataFrame([("p0", ["a"]), ("p0", ["b"]), ("p1", []), ("p2", None), ("p9", ["c"])], "problem_id string, testcases array<string>")
