@@ -55,9 +55,11 @@ def _(v):
     name = F.concat(F.lit("p"), (F.col("page_id") * 2).cast("string"), F.lit(".html"))
     files.write_named_texts(v.table("pages").select(name.alias("file"), "html"), "file", "html", folder)
     # The writer ends each row with a line break that the page did not have.
-    written = files.read_problem_statements(v.spark, f"{folder}/*.html")
+    written = files.read_problem_statements(v.spark, f"{folder}/*")
     statements = written.withColumn("instruction", F.regexp_replace("instruction", r"\n\z", ""))
-    return files.attach_statements(v("subs").select("problem_id").distinct(), statements)
+    # Written first, so that it is known how few they are.
+    problems = materialized(v("subs").select("problem_id").distinct(), "problems")
+    return files.attach_statements(problems, statements)
 
 
 @query("s5_load_registered_dataset", "SELECT seq, src_code AS prompt, tgt_code AS response FROM @raw_pairs")

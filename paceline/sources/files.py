@@ -112,19 +112,21 @@ def read_submission_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_named_texts(df: DataFrame, name: str, text: str, folder: str) -> None:
-    """A text file for each value of `name`, in a folder `<name>=<value>` as a writer by partitions makes it, a line per row.
+    """A compressed text file for each value of `name`, a line per row; the folders in `folder` hold them, named `<name>=…`.
 
     Rows are dealt by name to at least as many tasks as there are cores. On a mounted folder the tasks make the files
-    themselves, each under a hidden name until it is whole: Hadoop's local file system starts a process for the permissions of
-    each file and folder, four times a name. Elsewhere Spark's writer does it.
+    themselves, `<name>=<value>.gz` behind the task's number in a folder for each task, and under a hidden name until whole:
+    Hadoop's local file system starts a process for the permissions of each file and folder, and a folder for each name
+    takes as much disk as a short text. Elsewhere Spark's writer by partitions makes them, a folder `<name>=<value>` each.
     """
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.select(name, text).repartition(tasks, name)
+    # No name and an empty one are the same to a writer by partitions.
+    dealt = df.select(F.when(F.col(name) != "", F.col(name)).alias(name), text).repartition(tasks, name)
     place = mounted_path(spark, folder)
     if place is None:
         # Put in place by the tasks instead of one by one at the end.
-        dealt.write.partitionBy(name).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
+        dealt.write.partitionBy(name).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder, compression="gzip")
         return
     if path_exists(spark, folder):
         raise ValueError(f"{folder} is there already")
@@ -137,6 +139,7 @@ def write_named_texts(df: DataFrame, name: str, text: str, folder: str) -> None:
 def _text_writer(place: str, name: str) -> Callable:
     # Inside a function, so that it travels to the workers whole, not by module name.
     def write(batches):
+        import gzip
         import os
         import re
         from itertools import groupby
@@ -145,17 +148,17 @@ def _text_writer(place: str, name: str) -> Callable:
         from pyspark import TaskContext
 
         task = TaskContext.get()
+        folder = os.path.join(place, f"{name}={task.partitionId():05d}")
         rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
         files = 0
         for value, same in groupby(rows, lambda row: row[0]):
             # The names that Spark gives to folders of partitions.
-            escaped = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda sign: f"%{ord(sign[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__"
-            folder = os.path.join(place, f"{name}={escaped}")
-            os.makedirs(folder, exist_ok=True)
+            escaped = re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda sign: f"%{ord(sign[0]):02X}", value) if value is not None else "__HIVE_DEFAULT_PARTITION__"
             # A task that runs again writes the same names.
-            part = f"part-{task.partitionId():05d}.txt"
-            hidden = os.path.join(folder, f".{part}.{task.taskAttemptId()}")
-            with open(hidden, "wb") as file:
+            part = f"part-{task.partitionId():05d}-{name}={escaped}.gz"
+            os.makedirs(folder, exist_ok=True)
+            hidden = os.path.join(folder, f".writing-{task.taskAttemptId()}")
+            with gzip.open(hidden, "wb", 6) as file:
                 for _, text in same:
                     file.write((text or b"") + b"\n")
             os.replace(hidden, os.path.join(folder, part))
@@ -165,27 +168,31 @@ def _text_writer(place: str, name: str) -> Callable:
     return write
 
 
-# Tasks that list files of statements, for each core.
-LISTINGS_PER_CORE = 16
+# Tasks that list or read files of statements, for each core.
+STATEMENT_TASKS_PER_CORE = 16
 
 
 def read_problem_statements(spark: SparkSession, path: str) -> DataFrame:
-    """(problem_id, instruction) of the `{problem}.html` files under a glob.
+    """(problem_id, instruction) of the `{problem}.html` files, compressed or not, under a glob or in the folders it finds.
 
-    Spark lists each path that the glob finds in up to 10,000 tasks, of which most take longer to start than to list; here
-    there are a few for each core.
+    Spark lists what the glob finds in up to 10,000 tasks and reads at most 32 small files in one, so most tasks take longer
+    to start than to work, and each leaves files of its own where a shuffle follows; here there are a few for each core.
     """
-    name = _named_in_path(r"([^/=]+)\.html(?:/[^/]*)?$")
-    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    name = _named_in_path(r"([^/=]+)\.html(?:\.gz)?(?:/[^/]*)?$")
+    key, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", STATEMENT_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
     # The read lists.
-    with setting(spark, key, min(int(spark.conf.get(key)), LISTINGS_PER_CORE * spark.sparkContext.defaultParallelism)):
+    with setting(spark, key, min(int(spark.conf.get(key)), tasks)):
         texts = spark.read.text(path, wholetext=True)
-    return texts.select(name.alias("problem_id"), F.col("value").alias("instruction"))
+    return texts.select(name.alias("problem_id"), F.col("value").alias("instruction")).coalesce(tasks)
 
 
 def attach_statements(problems: DataFrame, statements: DataFrame) -> DataFrame:
-    """Statements onto problems, empty where there is none."""
-    joined = problems.join(statements, "problem_id", "left")
+    """Statements onto problems, empty where there is none.
+
+    Statements that no problem asks for leave first: where problems are few, without being dealt.
+    """
+    wanted = statements.join(problems.select("problem_id"), "problem_id", "left_semi")
+    joined = problems.join(wanted, "problem_id", "left")
     return joined.withColumn("instruction", F.coalesce("instruction", F.lit("")))
 
 

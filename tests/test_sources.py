@@ -81,26 +81,47 @@ def test_rows_that_a_window_has_dealt_are_bucketed_as_they_are(spark, tmp_path):
 
 
 def test_named_texts_are_those_of_a_writer_by_partitions(spark, tmp_path):
-    """Nulls, names that repeat, and signs that a folder's name escapes; read back as text and by partitions."""
+    """Nulls, names that repeat, and signs that a folder's name escapes; read back as statements and as text."""
     rows = [("p1.html", "one\ntwo"), ("p1.html", "one\ntwo"), ("p 2=%.html", "ä"), ("p3.html", ""), ("p4.html", None), (None, "lost"), ("", "lost")]
     frame = spark.createDataFrame(rows, "file string, html string")
     ours, sparks = f"{tmp_path}/ours", f"{tmp_path}/sparks"
     files.write_named_texts(frame, "file", "html", ours)
     frame.repartition(1, "file").write.partitionBy("file").text(sparks)
-    assert sorted(p.name for p in Path(ours).iterdir()) == sorted(p.name for p in Path(sparks).glob("file=*"))
-    assert not [p for folder in Path(ours).iterdir() for p in folder.glob(".*")]
-    for read in (lambda folder: files.read_problem_statements(spark, f"{folder}/*.html"), spark.read.text):
-        assert sorted(map(str, read(ours).collect())) == sorted(map(str, read(sparks).collect()))
+    made = [p.name for p in Path(ours).glob("*/*")]
+    assert sorted("file=" + name.split("=", 1)[1].removesuffix(".gz") for name in made) == sorted(p.name for p in Path(sparks).glob("file=*"))
+    # A folder for each task and none for each name; hidden files are gone.
+    assert len(list(Path(ours).iterdir())) <= 4 < len(made) and not list(Path(ours).glob("*/.*"))
+    statements = [sorted(map(str, files.read_problem_statements(spark, f"{folder}/*").collect())) for folder in (ours, sparks)]
+    assert statements[0] == statements[1] and len(statements[0]) == 5
+    texts = [sorted(r[0] for r in spark.read.text(f"{folder}/*").collect()) for folder in (ours, sparks)]
+    assert texts[0] == texts[1]
     with pytest.raises(ValueError, match="there already"):
         files.write_named_texts(frame, "file", "html", ours)
 
 
-def test_statement_files_are_listed_by_few_tasks(spark, tmp_path):
-    """Not by one task for each file, up to 10,000."""
+def test_statements_that_no_problem_asks_for_are_not_dealt(spark):
+    problems = materialized(spark.createDataFrame([("p1",), ("p2",), ("p2",), (None,)], "problem_id string"), "problems")
+    # As large as the scan of a large table: not one that is broadcast whole.
+    texts = materialized(spark.range(3000).selectExpr("concat('p', id % 1500) AS problem_id", "concat('text ', id) AS instruction"), "statements")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4000")
+    try:
+        got = files.attach_statements(problems, texts)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(tuple, got.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    two = [("p2", "text 2"), ("p2", "text 1502")]
+    assert rows == sorted([("p1", "text 1"), ("p1", "text 1501"), *two, *two, (None, "")], key=str)
+    assert "LeftSemi, BuildRight" in plan
+
+
+def test_statement_files_are_listed_and_read_by_few_tasks(spark, tmp_path):
+    """Not listed by one task for each file, up to 10,000, nor read by one for each four megabytes that opening a file counts as."""
     setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     for i in range(200):
         (tmp_path / f"p{i}.html").write_text(str(i))
-    before = spark.conf.get(setting)
+    before, split = spark.conf.get(setting), spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.sparkContext.setJobGroup("listing", "listing")
     try:
         statements = files.read_problem_statements(spark, f"{tmp_path}/*.html")
@@ -108,8 +129,13 @@ def test_statement_files_are_listed_by_few_tasks(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     tracker = spark.sparkContext.statusTracker()
     stages = [tracker.getStageInfo(stage) for job in tracker.getJobIdsForGroup("listing") for stage in tracker.getJobInfo(job).stageIds]
-    assert stages and all(stage.numTasks <= files.LISTINGS_PER_CORE * 4 for stage in stages)
+    assert stages and all(stage.numTasks <= files.STATEMENT_TASKS_PER_CORE * 4 for stage in stages)
     assert spark.conf.get(setting) == before
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 << 20))
+    try:
+        assert statements.select("instruction", F.spark_partition_id().alias("task")).agg(F.countDistinct("task")).first()[0] <= files.STATEMENT_TASKS_PER_CORE * 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     assert {(r["problem_id"], r["instruction"]) for r in statements.collect()} == {(f"p{i}", str(i)) for i in range(200)}
 
 
